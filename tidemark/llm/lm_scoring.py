@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,21 +29,21 @@ from pyspark.sql import functions as F
 from .common import fold, materialise
 
 ORDER = 5
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 GRAM_SHARE = 1 << 23
 WORD_SHARE = 1 << 21
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK bytes; a longer text stands alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """The first row and the texts (null: empty) of each run of rows of about CHUNK bytes; a longer text stands alone."""
+    column = batch.column("text").cast(pa.binary())
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())).to_numpy()
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+        yield start, [t or b"" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +74,6 @@ def _gram_items(grams: np.ndarray, order: int) -> pa.Array:
     return fixed.cast(pa.binary())
 
 
-def _raw(column: pa.Array) -> list[bytes]:
-    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
-
-
 def _counting(order: int):
     """Counts of words in training texts and of grams in all texts, summed over what one task reads."""
 
@@ -99,27 +96,27 @@ def _counting(order: int):
             return pa.record_batch([_gram_items(keys >> 1, order), pa.array(train), pa.array(counts)], ["item", "n_train", "n_all"])
 
         for batch in batches:
-            texts, train = _raw(batch.column("text")), ~np.array(batch.column("held_out").to_pylist(), bool)
-            for a, b in _chunks(texts):
-                for i in range(a, b):
-                    tokens = texts[i].lower().split()
+            train = ~np.array(batch.column("held_out").to_pylist(), bool)
+            for a, texts in _chunks(batch):
+                for i, text in enumerate(texts):
+                    tokens = text.lower().split()
                     texts[i] = b" ".join(tokens)
-                    if train[i]:
+                    if train[a + i]:
                         words.update(tokens)
                         words[b""] += 1
-                grams, rows = _grams(texts[a:b], order)
-                keys = (grams << 1) | train[a:b][rows]
+                grams, rows = _grams(texts, order)
+                keys = (grams << 1) | train[a : a + len(texts)][rows]
                 keys.sort()
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 held.append((keys[first], np.diff(np.append(first, len(keys)))))
                 size += len(first)
-                if size > 4_000_000:
+                if size > 1_500_000:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size > 2_000_000:
+                    if size > 750_000:
                         yield gram_rows(*held[0])
                         held, size = [], 0
-                if len(words) > 500_000:
+                if len(words) > 200_000:
                     yield word_rows()
                     words.clear()
         if words:
@@ -246,16 +243,15 @@ def _scoring(order: int, shared):
         known, table = _ready(shared)
         get = known.get
         for batch in batches:
-            texts = _raw(batch.column("text"))
             ids = batch.column("doc_id")
             held = batch.column("held_out")
-            for a, b in _chunks(texts):
-                m = b - a
+            for a, texts in _chunks(batch):
+                m = len(texts)
                 n_tokens, n_known, base = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
                 items, item_rows, tf = [], [], []
                 for i in range(m):
-                    words = texts[a + i].lower().split()
-                    texts[a + i] = b" ".join(words)
+                    words = texts[i].lower().split()
+                    texts[i] = b" ".join(words)
                     words.append(b"")
                     n_tokens[i] = len(words)
                     found = [x for x in map(get, words) if x is not None]
@@ -265,8 +261,8 @@ def _scoring(order: int, shared):
                         items += [b"w" + w for w in rare]
                         tf += rare.values()
                         item_rows += [i] * len(rare)
-                th = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts[a:b]), np.uint64, m).view(np.int64)
-                grams, rows = _grams(texts[a:b], order)
+                th = np.fromiter((xxhash.xxh64_intdigest(t) for t in texts), np.uint64, m).view(np.int64)
+                grams, rows = _grams(texts, order)
                 value, hit = table.find(grams)
                 score = np.bincount(rows, value, m)
                 miss = np.flatnonzero(~hit)
