@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, simhash_anchors, token_counts
+from . import lm_scoring, simhash_anchors, token_counts, toxicity, url_rules, vector_search
 from .common import table
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_verdicts": url_rules.oracle()}
 
 
 def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,4 +22,16 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchors.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scores, op5_token_counts, op8_simhash_components)}
+def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ppm_scores, op4_url_verdicts, op5_token_counts, op8_simhash_components, op9_nearest_vectors, op10_toxicity_scores)}
