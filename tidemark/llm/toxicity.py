@@ -3,8 +3,8 @@
 Many voters look at a text: one for each word of an insult lexicon, patterns of disguise and address, and groups of
 words and word beginnings that labelled training texts of the toxic class share (so other languages get voters too).
 A generative label model takes the rates at which voters fire, alone and in pairs, over all training texts: the
-covariance of two independent voters is p(1-p) times the product of their leanings, so the leanings follow from the
-best rank-one fit, and pairs that the fit can't explain are taken as correlated and share their weight. Its posterior
+covariance of two independent voters is p(1-p) times the product of their leanings, so each triple of voters gives
+their leanings, and pairs that these can't explain are taken as correlated and share their weight. Its posterior
 labels train a linear classifier over the mined words and the voters, which scores every text.
 """
 
@@ -129,23 +129,28 @@ class LabelModel:
     weight: np.ndarray
 
     @staticmethod
-    def fit(both: np.ndarray, n: int, prior: float, rounds: int = 200) -> LabelModel:
+    def fit(both: np.ndarray, n: int, prior: float, rounds: int = 3) -> LabelModel:
+        """From pair counts ``both`` (single counts on the diagonal) over ``n`` texts and the share of toxic ones."""
         rate = np.diag(both) / max(n, 1)
-        cov = both / max(n, 1) - np.outer(rate, rate)
-        scale = prior * (1 - prior)
+        cov = (both / max(n, 1) - np.outer(rate, rate)) / (prior * (1 - prior))
         alive = rate > 0
-        use = np.outer(alive, alive) & ~np.eye(len(rate), dtype=bool)
-        sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
-        lean = np.where(alive, np.minimum(rate / prior, 1), 0.0)
+        pairs = np.outer(alive, alive) & ~np.eye(len(rate), dtype=bool)
+        sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) / (prior * (1 - prior)))
         tied = np.zeros_like(cov)
-        for _ in range(3):
-            for _ in range(rounds):
-                den = use @ (lean**2)
-                new = np.where(den > 0, (cov / scale * use) @ lean / np.maximum(den, 1e-12), lean)
-                lean = 0.5 * lean + 0.5 * np.clip(new, -1, 1)
-            left = (cov - scale * np.outer(lean, lean)) / np.outer(sd, sd)
-            tied = np.where(np.outer(alive, alive) & ~np.eye(len(rate), dtype=bool), np.clip(left, 0, 1), 0)
-            use &= tied < 0.2
+        lean = np.zeros(len(rate))
+        for _ in range(rounds):
+            free = pairs & (tied < 0.2)
+            for j in np.flatnonzero(alive):
+                near = np.flatnonzero(free[j])
+                k, l = np.triu_indices(len(near), 1)
+                k, l = near[k], near[l]
+                ok = free[k, l] & (cov[k, l] > 1e-9)
+                k, l = k[ok], l[ok]
+                if len(k):
+                    lean[j] = np.sqrt(min(1.0, max(0.0, np.quantile(cov[j, k] * cov[j, l] / cov[k, l], 0.4))))
+                else:
+                    lean[j] = min(1.0, rate[j] / prior) / 2
+            tied = np.where(pairs, np.clip((cov - np.outer(lean, lean)) / np.outer(sd, sd), 0, 1), 0)
         toxic = np.clip(rate + (1 - prior) * lean, 1e-4, 0.99)
         clean = np.clip(rate - prior * lean, 1e-5, 0.99)
         return LabelModel(prior, toxic, clean, 1 / (1 + np.where(tied >= 0.2, tied, 0).sum(axis=1)))
