@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, simhash_anchors, token_counts, toxicity, url_rules, vector_search
+from . import decontamination, lm_scoring, mixing, simhash_anchors, token_counts, toxicity, url_rules, vector_search
 from .common import table
 
 ORACLES: dict[str, str] = {"op4_url_verdicts": url_rules.oracle()}
@@ -18,6 +18,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchors.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,4 +42,9 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scores, op4_url_verdicts, op5_token_counts, op8_simhash_components, op9_nearest_vectors, op10_toxicity_scores)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ppm_scores, op4_url_verdicts, op5_token_counts, op6_benchmark_leaks, op7_temperature_mix, op8_simhash_components, op9_nearest_vectors, op10_toxicity_scores,
+    )
+}
