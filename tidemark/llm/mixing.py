@@ -94,8 +94,8 @@ def plan(docs: DataFrame, budget: int | None = None, target_entropy: float | Non
     """What to take of each source's blocks: a row for each pass over a block, and the sources with their weights.
 
     ``docs`` has ``source``, ``mark`` (a hash of the document) and ``tokens``. The plan has ``source``, ``block``,
-    ``epoch``, ``offset`` (share of the source's quota spent before), and ``last`` (in the boundary block: the largest
-    in-block rank hash still taken; else null).
+    ``epoch``, ``offset`` and ``width`` (shares of the source's quota spent before it and in it), and ``last`` (in the
+    boundary block: the largest in-block rank hash still taken; else null).
     """
     sizes = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).where("tokens > 0")
     sizes = materialise(sizes)
@@ -119,7 +119,7 @@ def plan(docs: DataFrame, budget: int | None = None, target_entropy: float | Non
     spent = F.sum("tokens").over(Window.partitionBy("source", "block", "epoch").orderBy("rank"))
     last = inside.withColumn("spent", spent).groupBy("source", "block", "epoch").agg(F.coalesce(F.max(F.when(F.col("spent") <= F.col("room"), F.col("rank"))), F.lit(-(1 << 63))).alias("last"))
     out = passes.join(last, ["source", "block", "epoch"], "left")
-    return out.select("source", "block", "epoch", (F.col("before") / F.col("quota")).alias("offset"), "last"), sources
+    return out.select("source", "block", "epoch", (F.col("before") / F.col("quota")).alias("offset"), (F.col("in_block") / F.col("quota")).alias("width"), "last"), sources
 
 
 def _taken(docs: DataFrame, steps: DataFrame, sources: DataFrame, stream_blocks: int, seed: int) -> DataFrame:
@@ -127,7 +127,8 @@ def _taken(docs: DataFrame, steps: DataFrame, sources: DataFrame, stream_blocks:
     dealt = docs.join(sources.select("source", "blocks", "weight"), "source").withColumn("block", F.pmod("mark", F.col("blocks")).cast("int"))
     rank = _mark("mark", F.col("epoch"), seed)
     taken = dealt.join(steps, ["source", "block"]).withColumn("rank", rank).where(F.col("last").isNull() | (F.col("rank") <= F.col("last")))
-    stream = F.least(F.lit(stream_blocks - 1), F.floor(F.coalesce("offset", F.lit(0.0)) * stream_blocks)).cast("int")
+    at = F.coalesce(F.col("offset") + F.col("width") * (F.col("rank") / 2.0**64 + 0.5), F.lit(0.0))
+    stream = F.least(F.lit(stream_blocks - 1), F.floor(at * stream_blocks)).cast("int")
     return taken.withColumn("stream_block", stream).withColumn("place", _mark("mark", F.col("epoch"), F.col("stream_block"), seed))
 
 
