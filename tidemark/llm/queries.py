@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_scoring, mixing, simhash_anchors, token_counts, toxicity, url_rules, vector_search
+from . import decontamination, lm_scoring, mixing, pii, simhash_anchors, token_counts, toxicity, url_rules, vector_search
 from .common import table
 
 ORACLES: dict[str, str] = {"op4_url_verdicts": url_rules.oracle()}
@@ -30,6 +30,10 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchors.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,6 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ppm_scores, op4_url_verdicts, op5_token_counts, op6_benchmark_leaks, op7_temperature_mix, op8_simhash_components, op9_nearest_vectors, op10_toxicity_scores,
+        op1_ppm_scores, op3_personal_data, op4_url_verdicts, op5_token_counts, op6_benchmark_leaks, op7_temperature_mix, op8_simhash_components, op9_nearest_vectors, op10_toxicity_scores,
     )
 }
