@@ -1,5 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import aggregates, relational, series, vectors  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "latest_child_pending"
