@@ -74,11 +74,53 @@ def normal_cdf(x: pd.Series) -> pd.Series:
 
 
 def sharpe_probability(df: DataFrame, ret: str) -> DataFrame:
-    """Probability that the mean return is above zero, and the same at nine tenths of it; 0.5 without spread."""
+    """Probability that the mean return is above zero (``psr``), and of nine tenths of it about itself (``dsr``)."""
     a = df.agg(F.count(ret).alias("n"), F.avg(ret).alias("mean"), F.var_samp(ret).alias("var"))
-    z = F.col("mean") / F.sqrt(F.col("var") / F.col("n"))
-    ok = (F.col("n") > 1) & (F.col("var") > 0)
-    return a.select("n", F.when(ok, normal_cdf(z)).otherwise(0.5).alias("psr"), F.when(ok, normal_cdf(0.9 * z)).otherwise(0.5).alias("dsr"))
+
+    def probability(share: float) -> Column:
+        mu, n = F.col("mean") * share, F.col("n")
+        var = F.greatest(F.col("var") + n * F.pow(F.col("mean") - mu, 2) / (n - 1), F.lit(1e-12))
+        return F.when(n > 1, normal_cdf(mu / F.sqrt(var / n))).otherwise(0.0)
+
+    return a.select("n", probability(1.0).alias("psr"), probability(0.9).alias("dsr"))
+
+
+def combinatorial_folds(n_dates: int, groups: int, tests: int, purge: int) -> list[dict]:
+    """Every choice of ``tests`` of ``groups`` equal date blocks as a test set; training dates within ``purge`` of one are left out."""
+    from itertools import combinations
+
+    edges = [round(i * n_dates / groups) for i in range(groups + 1)]
+    out = []
+    for fold, chosen in enumerate(combinations(range(groups), tests)):
+        test = [d for g in chosen for d in range(edges[g], edges[g + 1])]
+        near = {d + k for d in test for k in range(-purge, purge + 1)}
+        out.append({"fold": fold, "train": [d for d in range(n_dates) if d not in near], "test": test})
+    return out
+
+
+def overlap_adjusted_size(pairs: int, n: int) -> float:
+    """Sample size after a penalty for overlapping pairs."""
+    return float(n) if n <= 1 else n / (1 + pairs / n)
+
+
+def rejections(metrics: dict) -> list[str]:
+    """Why a run's metrics are not good enough."""
+    checks = (
+        ("non_positive_expectancy", metrics.get("expectancy_after_cost", 0.0) <= 0), ("low_psr_or_dsr", max(metrics.get("psr", 0.0), metrics.get("dsr", 0.0)) < 0.55),
+        ("non_monotonic_score_buckets", not metrics.get("score_decile_monotonicity", False)), ("high_calibration_error", metrics.get("calibration_error", 1.0) > 0.25),
+    )
+    return [name for name, holds in checks if holds]
+
+
+def search(space: dict[str, Sequence], run, objective, trials: int, seed: int = 0) -> list[dict]:
+    """Random search on the driver: each trial is a Spark job that ``run`` starts; best first, ties in order of trial."""
+    import random
+
+    rng, out = random.Random(seed), []
+    for trial in range(trials):
+        params = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
+        out.append({"trial": trial, "params": params, "value": objective(run(params))})
+    return sorted(out, key=lambda t: (-t["value"], t["trial"]))
 
 
 def walk_forward(n_dates: int, train: int, test: int, purge: int, embargo: int = 0) -> list[dict]:
