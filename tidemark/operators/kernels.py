@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -190,40 +191,77 @@ def leader_clusters(rows: DataFrame, least: float = 0.985) -> DataFrame:
     return rows.groupBy("as_of").applyInPandas(fold, f"as_of {kinds['as_of']}, row_id {kinds['row_id']}, cluster int, similarity double")
 
 
-def first_leg(strength: Column, price: Column, market: str, side: str, base: float = 0.010, least: float = 0.005, most: float = 0.060) -> Column:
-    """Distance of the first leg from the price, on a whole tick, for an order without gain, range or label hints."""
-    s, step = strength, tick_size(price, market) / price
-    sell = side == "SELL"
-    pct = F.least(F.greatest(base * (0.8 + (s + 1) * 0.8 if sell else 2.4 - (s + 1) * 0.8), F.lit(least)), F.lit(most))
-    pull = 1 - (F.abs(s) - 0.7) * (0.3 / 0.3)
+@dataclass(frozen=True)
+class LadderTuning:
+    """Distances are shares of the price. ``floor`` binds eager orders; None is 1 % in Korea and nothing elsewhere."""
+
+    base_legs: float = 3
+    leg_boost: float = 1.0
+    base: float = 0.010
+    least: float = 0.005
+    most: float = 0.060
+    gain_scale: float = 0.10
+    gain_weight: float = 0.6
+    atr_hint: float = 0.0
+    atr_weight: float = 0.5
+    floor: float | None = None
+    spread: float = 0.0
+    tick_gap: int = 1
+    gap: float = 0.03
+    max_step: float = 0.060
+    decay: float = 1.25
+
+
+def first_leg(s: Column, price: Column, market: str, side: str, tuning: LadderTuning, gain: Column, label: Column, adverse: Column, wanted: Column) -> Column:
+    """Distance of the first leg from the price, on a whole tick.
+
+    It falls with the signal's strength, leans on the gain so far, and gives way to what the target's label says about
+    the first days (``adverse``: their mean excursion) and to a standing recommendation (``wanted``).
+    """
+    t, sell = tuning, side == "SELL"
+    sign, step = (1 if sell else -1), tick_size(price, market) / price
+    pull = 0.8 + (s + 1) * 0.8 if sell else 2.4 - (s + 1) * 0.8
+    pct = t.base * pull * (1 + t.gain_weight * clip(sign * gain / t.gain_scale, -1, 1))
+    pct = F.least(F.greatest(pct, F.lit(t.atr_hint * t.atr_weight), F.lit(t.least)), F.lit(t.most))
     eager = s < -0.7 if sell else s > 0.7
-    pct = F.when(eager, pct * pull).otherwise(pct)
-    if market == "KR":
-        pct = F.when(eager, F.greatest(pct, F.lit(0.010))).otherwise(pct)
+    pct = F.when(eager, pct * (1.7 - F.abs(s))).otherwise(pct)
+    if sell:
+        pct = F.when((label == "UP_FIRST") & (adverse > 0.01), pct * 0.85).otherwise(pct)
+    else:
+        pct = F.when((label == "DOWN_FIRST") & (adverse < -0.01), pct * (1 + F.least(F.abs(adverse) * 0.5, F.lit(0.08)))).otherwise(pct)
+    floor = (0.010 if market == "KR" else 0.0) if t.floor is None else t.floor
+    if floor > 0:
+        pct = F.when(eager, F.greatest(pct, F.lit(floor))).otherwise(pct)
+    if not sell:
+        pct = F.when(wanted, F.greatest(pct * 0.85, F.lit(t.least))).otherwise(pct)
     pct = F.greatest(F.bround(pct / step) * step, step)
-    sign = 1 if sell else -1
     test = round_to_tick(price * (1 + sign * pct), market, side)
     stuck = test <= price if sell else test >= price
     test = F.when(stuck, round_to_tick(price * (1 + sign * (pct + 1e-4)), market, side)).otherwise(test)
-    return clip(F.abs(test / price - 1), least, most)
+    return clip(F.abs(test / price - 1), t.least, t.most)
 
 
-def ladder(orders: DataFrame, market: str = "US", side: str = "BUY", gap: float = 0.03, most: float = 0.060, decay: float = 1.25) -> DataFrame:
+def ladder(orders: DataFrame, market: str = "US", side: str = "BUY", tuning: LadderTuning | None = None) -> DataFrame:
     """Limit legs of orders (``id``, ``price``, ``strength``, ``quantity``): two to six geometric steps away from the price.
 
-    Quantities fall off exponentially and are apportioned by largest remainder (ties to the nearer leg); legs on one
-    tick merge; the farthest leg moves out until it is ``gap`` from the first. Orders without quantity or price have none.
+    Columns ``gain``, ``label``, ``adverse`` and ``wanted`` are hints, if there. Quantities fall off exponentially and
+    are apportioned by largest remainder (ties to the nearer leg); legs on one tick merge; the farthest leg moves out
+    until it is the gap from the first. Orders without quantity or price have no legs.
     """
+    t = tuning or LadderTuning()
+    gap, decay = t.gap, t.decay
     sell, sign = side == "SELL", 1 if side == "SELL" else -1
     s = F.col("strength") if sell else F.abs("strength")
-    o = orders.where("quantity >= 1 AND price > 0").withColumn("s", s.cast("double"))
-    wanted = F.floor(clip(3 + F.abs("s"), 2, 6)).cast("int")
-    legs = F.when(F.col("quantity") == 2, 2).otherwise(F.greatest(F.lit(1), F.least(wanted, F.col("quantity")))).cast("int")
-    o = o.withColumns({"legs": legs, "first": first_leg(F.col("s"), F.col("price"), market, side), "tick": tick_size(F.col("price"), market)})
+    none = {"gain": F.lit(0.0), "label": F.lit(None).cast("string"), "adverse": F.lit(None).cast("double"), "wanted": F.lit(False)}
+    o = orders.withColumns({c: v for c, v in none.items() if c not in orders.columns}).where("quantity >= 1 AND price > 0").withColumn("s", s.cast("double"))
+    most = F.floor(clip(t.base_legs + F.abs("s") * t.leg_boost, 2, 6)).cast("int")
+    legs = F.when(F.col("quantity") == 2, 2).otherwise(F.greatest(F.lit(1), F.least(most, F.col("quantity")))).cast("int")
+    first = first_leg(F.col("s"), F.col("price"), market, side, t, F.col("gain"), F.col("label"), F.col("adverse"), F.coalesce("wanted", F.lit(False)))
+    o = o.withColumns({"legs": legs, "first": first, "tick": tick_size(F.col("price"), market)})
     eager = F.col("s") < -0.7 if sell else F.col("s") > 0.7
     size = F.abs("s")
     widen = F.when(eager, 1.2 + 0.8 * size).otherwise(1.5 + 1.5 * size)
-    spread = F.greatest(F.lit(1), F.col("legs") - 1) * F.col("tick") / F.col("price")
+    spread = F.greatest(F.lit(t.spread), F.greatest(F.lit(1), F.col("legs") - 1) * t.tick_gap * F.col("tick") / F.col("price"))
     # the step limit gives way to the gap
     last = F.greatest(F.col("first") * widen, F.col("first") + spread, F.col("first") + gap)
     o = o.withColumn("ratio", F.when(F.col("legs") > 1, F.pow(last / F.col("first"), 1 / (F.col("legs") - 1))).otherwise(F.lit(1.0)))
@@ -245,7 +283,7 @@ def ladder(orders: DataFrame, market: str = "US", side: str = "BUY", gap: float
     goal = round_to_tick(F.col("price") * (1 + sign * (F.abs(F.col("near") / F.col("price") - 1) + gap)), market, side)
     tries = F.transform(F.sequence(F.lit(0), F.lit(50)), lambda k: F.round(goal + sign * k * F.col("tick"), 6))
     beyond = (lambda p: p > F.col("far")) if sell else (lambda p: p < F.col("far"))
-    clear = lambda p: beyond(p) & ~F.exists("all", lambda q: (q["limit_price"] != F.col("far")) & (F.abs(p - q["limit_price"]) < F.col("tick")))
+    clear = lambda p: beyond(p) & ~F.exists("all", lambda q: (q["limit_price"] != F.col("far")) & (F.abs(p - q["limit_price"]) < F.col("tick") * t.tick_gap))
     moved = F.coalesce(F.get(F.filter(tries, clear), F.lit(0)), F.element_at(tries, -1))
     fixed = F.transform("all", lambda q: F.struct(F.when(short & (q["limit_price"] == F.col("far")), moved).otherwise(q["limit_price"]).alias("limit_price"), q["qty"].alias("qty")))
     out = held.select("id", F.explode(fixed).alias("leg")).select("id", "leg.*")

@@ -253,5 +253,5 @@ def portfolio_greedy(t: Tables) -> DataFrame:
 def broker_fills(t: Tables) -> DataFrame:
     """Simulated fills of limit orders against the bars after them."""
     bars = _bars(t, "event_type")
-    legs = bars.where("day < '2024-01-20'").select("key", "day", F.monotonically_increasing_id().alias("leg_id"), (F.col("close") * 0.9).alias("limit_price"), F.lit(10).cast("long").alias("quantity"), F.lit("BUY").alias("side"))
+    legs = bars.where("day < '2024-01-20'").select("key", "day", F.xxhash64("key", "day").alias("leg_id"), (F.col("close") * 0.9).alias("limit_price"), F.lit(10).cast("long").alias("quantity"), F.lit("BUY").alias("side"))
     return K.simulate_fills(legs, bars, slippage_bps=5.0).drop("leg_id")
