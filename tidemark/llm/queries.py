@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_scoring, mixing, pii, simhash_anchors, token_counts, toxicity, url_rules, vector_search
+from . import decontamination, lm_scoring, mixing, pii, simhash_anchors, token_counts, toxicity, url_rules, vector_search, warc
 from .common import table
 
 ORACLES: dict[str, str] = {"op4_url_verdicts": url_rules.oracle()}
@@ -14,6 +14,10 @@ def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ppm_scores, op3_personal_data, op4_url_verdicts, op5_token_counts, op6_benchmark_leaks, op7_temperature_mix, op8_simhash_components, op9_nearest_vectors, op10_toxicity_scores,
+        op1_ppm_scores, op2_warc_derivatives, op3_personal_data, op4_url_verdicts, op5_token_counts, op6_benchmark_leaks, op7_temperature_mix, op8_simhash_components, op9_nearest_vectors, op10_toxicity_scores,
     )
 }
