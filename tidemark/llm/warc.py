@@ -26,28 +26,39 @@ NAMED = {
     "deg": "°", "middot": "·", "raquo": "»", "iquest": "¿", "times": "×", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "hellip": "…", "euro": "€", "trade": "™",
     "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "iacute": "í", "icirc": "î", "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "uacute": "ú", "ucirc": "û", "uuml": "ü", "szlig": "ß",
 }
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|title)\b.*?(?:</\1\s*+>|\z)"
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul"
 BLOCK_TAG = rf"(?i)</?(?:{BLOCKS})\b[^<>]*+>"
-TAG = r"<[/!?]?[A-Za-z][^<>]*+>"
+#: Comments, elements that hold no text, and all tags but those of blocks.
+HIDDEN = rf"(?is)<(?:!--.*?(?:-->|\z)|(script|style|noscript|template|title)\b.*?(?:</\1\s*+>|\z)|(?!/?(?:{BLOCKS})\b)[/!?]?[A-Z][^<>]*+>)"
 LINK_TAG = r"(?i)<(?:a|area|link|img|script|iframe)\s[^<>]*+>"
-LINK = r"""(?i)\s(?:href|src)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
+LINK = r"""(?i)\s(?:href|src)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 RFC4648 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, also where a plan has no common subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sha1_digest(data: Column) -> Column:
     """``sha1:`` and the digest in base 32, as WARC tools write it."""
-    whole = F.sha1(data)
-    parts = [F.lpad(F.conv(F.substring(whole, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
-    return F.concat(F.lit("sha1:"), F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", RFC4648))
+
+    def written(whole: Column) -> Column:
+        parts = [F.lpad(F.conv(F.substring(whole, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+        return F.concat(F.lit("sha1:"), F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", RFC4648))
+
+    return _once(F.sha1(data), written)
 
 
 def record_id(*parts: Column) -> Column:
     """A UUID URN made from the parts' hash (version 8)."""
-    h = F.md5(F.concat_ws("\n", *parts).cast("binary"))
-    cut = lambda at, n: F.substring(h, at, n)
-    return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-8"), cut(14, 3), F.lit("-b"), cut(18, 3), F.lit("-"), cut(21, 12), F.lit(">"))
+
+    def written(h: Column) -> Column:
+        cut = lambda at, n: F.substring(h, at, n)
+        return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-8"), cut(14, 3), F.lit("-b"), cut(18, 3), F.lit("-"), cut(21, 12), F.lit(">"))
+
+    return _once(F.md5(F.concat_ws("\n", *parts).cast("binary")), written)
 
 
 def header(headers: Column, name: str) -> Column:
@@ -70,24 +81,31 @@ def unescape(text: Column) -> Column:
     """Character references replaced in one pass; unknown names stay, numbers that name no character become U+FFFD."""
     names = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
 
-    def number(ref: Column) -> Column:
-        inner = F.substring(ref, 3, F.length(ref) - 3)
-        code = F.when(F.lower(F.substring(inner, 1, 1)) == "x", F.conv(F.substring(inner, 2, F.length(inner)), 16, 10)).otherwise(inner).cast("long")
+    def number(name: Column) -> Column:
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).try_cast("long")
         fine = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
         return F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
 
-    value = lambda ref: F.when(F.substring(ref, 2, 1) == "#", number(ref)).otherwise(F.coalesce(F.element_at(names, F.substring(ref, 2, F.length(ref) - 2)), ref))
-    refs = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), value)
-    joined = F.array_join(F.zip_with(F.split(text, ENTITY, -1), refs, lambda piece, ref: F.concat(piece, F.coalesce(ref, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    def piece(p: Column) -> Column:
+        def found(name: Column) -> Column:
+            char = F.when(F.substring(name, 1, 1) == "#", number(name)).otherwise(F.element_at(names, name))
+            return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substring(p, F.length(name) + 2, F.length(p))))
+
+        return _once(F.regexp_extract(p, REFERENCE, 1), found)
+
+    def replaced(t: Column) -> Column:
+        parts = F.split(t, "&", -1)
+        joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    return _once(text, replaced)
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: scripts, styles, comments and the title left out, a line for each block."""
-    bare = F.regexp_replace(html, HIDDEN, "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), BLOCK_TAG, "\n")
-    spaced = F.regexp_replace(unescape(F.regexp_replace(bare, TAG, "")), r"[\x20\t\r\f ]+", " ")
-    return F.trim(F.regexp_replace(spaced, r"\x20?\n[\x20\n]*+", "\n"), F.lit(" \n"))
+    """The text of a page: scripts, styles, comments and the title left out, a line for each block (marked by U+0001 meanwhile)."""
+    bare = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BLOCK_TAG, "\x01")
+    spaced = F.regexp_replace(unescape(bare), r"[\s\xA0]{2,}+|[\t\n\r\f\x0B\xA0]", " ")
+    return F.trim(F.regexp_replace(spaced, r"\x20?\x01[\x20\x01]*+", "\n"), F.lit(" \n"))
 
 
 def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -134,7 +152,8 @@ def derive(records: DataFrame, *keys: str) -> DataFrame:
     split = split.withColumn("text", F.when(html, plain_text(F.col("page"))).otherwise(F.col("page"))).drop("raw", "head")
 
     marked = F.when(html, F.col("page"))
-    link = lambda tag: F.struct(F.lower(F.regexp_extract(tag, r"^<([A-Za-z]+)", 1)).alias("element"), F.concat(*(F.regexp_extract(tag, LINK, i) for i in (1, 2, 3))).alias("url"))
+    bare = lambda v: F.when(F.substring(v, 1, 1).isin('"', "'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    link = lambda tag: F.struct(F.lower(F.regexp_extract(tag, r"^<([A-Za-z]+)", 1)).alias("element"), _once(F.regexp_extract(tag, LINK, 1), bare).alias("url"))
     links = F.filter(F.transform(F.regexp_extract_all(marked, F.lit(LINK_TAG), F.lit(0)), link), lambda x: x["url"] != "")
     title = F.trim(F.regexp_replace(unescape(F.regexp_extract(marked, r"(?is)<title\b[^<>]*+>(.*?)(?:</title|\z)", 1)), r"\s+", " "))
     split = split.withColumns({"links": links, "title": title, "conversion_id": F.when(F.col("text").isNotNull(), record_id(F.lit("conversion"), F.col("id")))})
@@ -145,26 +164,26 @@ def derive(records: DataFrame, *keys: str) -> DataFrame:
             F.struct(F.col("title"), F.col("links")).alias("html"), F.col("conversion_id").alias("conversion"),
         )
     )
-    split = split.withColumn("json", json).drop("body", "page")
-
-    def record(kind: str, own_id: Column, content_type: str, block: Column) -> Column:
-        digest, size = sha1_digest(block.cast("binary")), F.octet_length(block)
-        headers = _headers(
-            WARC_Type=F.lit(kind), WARC_Record_ID=own_id, WARC_Refers_To=F.col("id"), WARC_Target_URI=header(F.col("source"), "WARC-Target-URI"), WARC_Date=header(F.col("source"), "WARC-Date"),
-            WARC_Block_Digest=digest, WARC_Source_Payload_Digest=F.coalesce("given", "own"), WARC_Source_Block_Digest=header(F.col("source"), "WARC-Block-Digest"), Content_Type=F.lit(content_type), Content_Length=size,
-        )
-        return F.struct(headers.alias("headers"), block.alias("block"))
-
-    made = F.array(
-        record("metadata", record_id(F.lit("metadata"), F.col("id")), "application/json", F.col("json")), F.when(F.col("text").isNotNull(), record("conversion", F.col("conversion_id"), "text/plain; charset=utf-8", F.col("text")))
+    split = split.withColumn("json", json)
+    named = ("Target-URI", "Date", "Block-Digest")
+    split = split.select(
+        "key", "id", "json", "text", "conversion_id", F.coalesce("given", "own").alias("payload"), F.when(F.lower("given").startswith("sha1:"), F.upper(F.substring("given", 6, 100)) == F.substring("own", 6, 100)).alias("holds"),
+        *(header(F.col("source"), f"WARC-{n}").alias(n) for n in named), record_id(F.lit("metadata"), F.col("id")).alias("metadata_id"), sha1_digest(F.col("json").cast("binary")).alias("json_digest"), sha1_digest(F.col("text").cast("binary")).alias("text_digest"),
+    )
+
+    def record(kind: str, own_id: str, content_type: str, block: str, digest: str) -> Column:
+        values = {"record_type": F.lit(kind), "record_id": F.col(own_id), "content_type": F.lit(content_type), "content_length": F.octet_length(block).cast("long"), "block_digest": F.col(digest), "block": F.col(block)}
+        return F.struct(*(v.alias(k) for k, v in values.items()))
+
+    made = F.array(record("metadata", "metadata_id", "application/json", "json", "json_digest"), record("conversion", "conversion_id", "text/plain; charset=utf-8", "text", "text_digest"))
+    out = split.select("key", "id", "payload", "holds", *named, F.explode(F.when(F.col("text").isNull(), F.slice(made, 1, 1)).otherwise(made)).alias("r"))
+    headers = _headers(
+        WARC_Type=F.col("r.record_type"), WARC_Record_ID=F.col("r.record_id"), WARC_Refers_To=F.col("id"), WARC_Target_URI=F.col("Target-URI"), WARC_Date=F.col("Date"), WARC_Block_Digest=F.col("r.block_digest"),
+        WARC_Source_Payload_Digest=F.col("payload"), WARC_Source_Block_Digest=F.col("Block-Digest"), Content_Type=F.col("r.content_type"), Content_Length=F.col("r.content_length"),
     )
-    holds = F.when(F.lower("given").startswith("sha1:"), F.upper(F.substring("given", 6, 100)) == F.substring("own", 6, 100))
-    out = split.select("key", holds.alias("holds"), F.explode(F.filter(made, lambda r: r.isNotNull())).alias("r"))
-    get = lambda name: header(F.col("r.headers"), name)
     return out.select(
-        *(F.col(f"key.`{k}`").alias(k) for k in keys), get("WARC-Type").alias("record_type"), get("WARC-Record-ID").alias("record_id"), get("WARC-Refers-To").alias("refers_to"), get("WARC-Target-URI").alias("target_uri"),
-        get("WARC-Date").alias("date"), get("Content-Type").alias("content_type"), get("Content-Length").cast("long").alias("content_length"), get("WARC-Block-Digest").alias("block_digest"),
-        get("WARC-Source-Payload-Digest").alias("source_payload_digest"), F.col("holds").alias("source_digest_holds"), F.col("r.headers").alias("headers"), F.col("r.block").alias("block"),
+        *(F.col(f"key.`{k}`").alias(k) for k in keys), "r.record_type", "r.record_id", F.col("id").alias("refers_to"), F.col("Target-URI").alias("target_uri"), F.col("Date").alias("date"), "r.content_type", "r.content_length", "r.block_digest",
+        F.col("payload").alias("source_payload_digest"), F.col("holds").alias("source_digest_holds"), headers.alias("headers"), "r.block",
     )
 
 
