@@ -1,7 +1,11 @@
-"""Vector search and similarity signals over small, stated query sets; exact."""
+"""Vector search and similarity signals; exact."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..functions import arrays as V
 from .relational import top_per
 
 MAX_BROADCAST_VECTORS = 20_000
+#: Pool vectors held by a task, and queries compared with them at once.
+TILE, CHUNK = 16_384, 256
 
 
 def similarities(queries: DataFrame, pool: DataFrame, measure=V.cosine) -> DataFrame:
@@ -28,6 +34,73 @@ def similarities(queries: DataFrame, pool: DataFrame, measure=V.cosine) -> DataF
     return out
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
+    return flat.astype(float).reshape(len(column), -1)
+
+
+def _best(asked: Callable[[], tuple[np.ndarray, np.ndarray]], k: int, per: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` best of a tile for each query, equal ones in order of ``id``."""
+
+    def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.sqrt((x * x).sum(axis=1))
+        return n, np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = [b for b in batches if b.num_rows]
+        if not tile:
+            return
+        rows = pa.Table.from_batches(tile).sort_by("id")
+        ids, x, (q, a) = rows["id"].to_numpy(), _matrix(rows["v"]), asked()
+        rows, (n, u), (an, au) = rows.drop_columns("v"), scaled(x), scaled(a)
+        side = rows[per].to_numpy() if per else np.zeros(len(ids))
+        sides = [np.flatnonzero(side == v) for v in set(side)]
+        for lo in range(0, len(q), CHUNK):
+            near = au[lo : lo + CHUNK] @ u.T
+            near[q[lo : lo + CHUNK, None] == ids[None, :]] = -np.inf
+            for cols in sides:
+                s = near[:, cols]
+                least = np.partition(s, -min(k, len(cols)), axis=1)[:, -min(k, len(cols))]
+                i, j = np.nonzero((s >= least[:, None] - 1e-12) & (s > -np.inf))
+                i, j = i + lo, cols[j]
+                dot = np.zeros(len(i))  # again for each pair by itself, so that equal vectors are equally near
+                for at in range(0, len(i), 50_000):
+                    p = slice(at, at + 50_000)
+                    dot[p] = (a[i[p]] * x[j[p]]).sum(axis=1)
+                scale = an[i] * n[j]
+                sim = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+                order = np.lexsort((j, -sim, i))
+                i, j, sim = i[order], j[order], sim[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out = rows.take(pa.array(j[first]))
+                for b in out.add_column(0, "q", pa.array(q[i[first]])).append_column("sim", pa.array(sim[first])).combine_chunks().to_batches():
+                    yield b
+
+    return run
+
+
+def nearest(queries: DataFrame, pool: DataFrame, k: int, per: str | None = None) -> DataFrame:
+    """Like :func:`similarities` by cosine, but each tile of the pool gives only its ``k`` best for a query (and value of ``per``).
+
+    What is left to rank is ``k`` rows a tile and query. Rows without a vector take no part. Each block of queries is
+    held by the driver and sent to the tasks; the work is all pairs, in matrix products.
+    """
+    rest = [c for c in pool.columns if c != "v"]
+    kinds = dict(pool.dtypes) | {"q": dict(queries.dtypes)["q"]}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("q", *rest)) + ", sim double"
+    queries, pool = queries.select("q", "qv").where("qv IS NOT NULL"), pool.select(*rest, "v").where("v IS NOT NULL")
+    tiles = pool.repartition(max(1, -(-pool.count() // TILE)))
+    blocks = max(1, -(-queries.count() // MAX_BROADCAST_VECTORS))
+    out = None
+    for b in range(blocks):
+        part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).toArrow()  # about MAX_BROADCAST_VECTORS rows
+        held = (part["q"].to_numpy(), _matrix(part["qv"]) if part.num_rows else np.zeros((0, 1)))
+        shared = pool.sparkSession.sparkContext.broadcast(held)
+        each = tiles.mapInArrow(_best(lambda shared=shared: shared.value, k, per), schema)
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
 def top_similar(sims: DataFrame, keys: list[str], k: int, rank: str = "rank") -> DataFrame:
     return top_per(sims, keys, [F.desc("sim"), F.col("id")], k, rank)
 

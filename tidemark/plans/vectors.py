@@ -1,7 +1,13 @@
-"""Vector queries over ``embeddings``: query set ids under 20, direction from the label's parity."""
+"""Vector queries over ``embeddings``: direction from the label's parity.
+
+Each search is registered twice: as ``NAME_full`` with every vector as a query, and as ``NAME`` over the few queries
+(ids under 20, or 10) for which its SQL is quick.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,60 +25,72 @@ def _pool(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), way.alias("direction"), "label")
 
 
-def _sims(t: Tables, measure=V.cosine) -> DataFrame:
-    pool = _pool(t)
-    return X.similarities(pool.where("id < 20").select(F.col("id").alias("q"), F.col("v").alias("qv")), pool, measure)
+def searches(sql: str, few: str = "id < 20"):
+    """Register a function of the tables and the rows to ask with over the few that the SQL covers, and over all as ``NAME_full``."""
+
+    def register(f: Callable[[Tables, DataFrame], DataFrame]):
+        part, whole = (lambda t: f(t, _pool(t).where(few))), (lambda t: f(t, _pool(t)))
+        part.__name__, whole.__name__ = f.__name__, f"{f.__name__}_full"
+        query(sql)(part)
+        query()(whole)
+        return f
+
+    return register
+
+
+def _sims(t: Tables, asked: DataFrame, k: int, per: str | None = None) -> DataFrame:
+    return X.nearest(asked.select(F.col("id").alias("q"), F.col("v").alias("qv")), _pool(t), k, per)
 
 
-@query(f"{SIMS} SELECT q, CAST(rank AS INT) AS rank, id, round(sim, 6) AS sim FROM ranked WHERE rank <= 5")
-def cosine_topk(t: Tables) -> DataFrame:
-    return X.top_similar(_sims(t), ["q"], 5).select("q", "rank", "id", r6("sim").alias("sim"))
+@searches(f"{SIMS} SELECT q, CAST(rank AS INT) AS rank, id, round(sim, 6) AS sim FROM ranked WHERE rank <= 5")
+def cosine_topk(t: Tables, asked: DataFrame) -> DataFrame:
+    return X.top_similar(_sims(t, asked, 5), ["q"], 5).select("q", "rank", "id", r6("sim").alias("sim"))
 
 
-@query(f"{SIMS} SELECT q, direction, CAST(side_rank AS INT) AS rank, id, round(sim, 6) AS sim FROM ranked WHERE side_rank <= 3")
-def cosine_topk_by_direction(t: Tables) -> DataFrame:
-    return X.top_similar(_sims(t), ["q", "direction"], 3).select("q", "direction", "rank", "id", r6("sim").alias("sim"))
+@searches(f"{SIMS} SELECT q, direction, CAST(side_rank AS INT) AS rank, id, round(sim, 6) AS sim FROM ranked WHERE side_rank <= 3")
+def cosine_topk_by_direction(t: Tables, asked: DataFrame) -> DataFrame:
+    return X.top_similar(_sims(t, asked, 3, "direction"), ["q", "direction"], 3).select("q", "direction", "rank", "id", r6("sim").alias("sim"))
 
 
-@query(f"""{SIMS}, lse AS (SELECT q, direction, max(sim) + ln(sum(exp(sim - m)) + 1e-12) AS lse FROM (SELECT *, max(sim) OVER (PARTITION BY q, direction) AS m FROM ranked WHERE side_rank <= 20) GROUP BY ALL),
+@searches(f"""{SIMS}, lse AS (SELECT q, direction, max(sim) + ln(sum(exp(sim - m)) + 1e-12) AS lse FROM (SELECT *, max(sim) OVER (PARTITION BY q, direction) AS m FROM ranked WHERE side_rank <= 20) GROUP BY ALL),
     w AS (SELECT q, greatest(-50, least(50, coalesce(max(lse) FILTER (direction = 'UP'), -50) - coalesce(max(lse) FILTER (direction = 'DOWN'), -50))) AS d FROM lse GROUP BY 1)
     SELECT q, round(1 / (1 + exp(-d)), 6) AS p_up, round(CASE WHEN d >= 0 THEN 1 / (1 + exp(-d)) ELSE -(1 - 1 / (1 + exp(-d))) END, 6) AS signal FROM w""")
-def lse_signal(t: Tables) -> DataFrame:
-    top = X.top_similar(_sims(t), ["q", "direction"], 20)
+def lse_signal(t: Tables, asked: DataFrame) -> DataFrame:
+    top = X.top_similar(_sims(t, asked, 20, "direction"), ["q", "direction"], 20)
     return X.directional_signal(top).select("q", r6("p_up").alias("p_up"), r6("signal").alias("signal"))
 
 
-@query(f"""{SIMS} SELECT q, round(sum(exp(8 * (sim - 1)) * label) / sum(exp(8 * (sim - 1))), 6) AS mean, round(pow(sum(exp(8 * (sim - 1))), 2) / sum(pow(exp(8 * (sim - 1)), 2)), 6) AS n_eff FROM ranked WHERE rank <= 12 GROUP BY 1""")
-def kernel_mixture(t: Tables) -> DataFrame:
-    return X.kernel_mixture(X.top_similar(_sims(t), ["q"], 12), 8.0, F.col("label")).select("q", r6("mean").alias("mean"), r6("n_eff").alias("n_eff"))
+@searches(f"""{SIMS} SELECT q, round(sum(exp(8 * (sim - 1)) * label) / sum(exp(8 * (sim - 1))), 6) AS mean, round(pow(sum(exp(8 * (sim - 1))), 2) / sum(pow(exp(8 * (sim - 1)), 2)), 6) AS n_eff FROM ranked WHERE rank <= 12 GROUP BY 1""")
+def kernel_mixture(t: Tables, asked: DataFrame) -> DataFrame:
+    return X.kernel_mixture(X.top_similar(_sims(t, asked, 12), ["q"], 12), 8.0, F.col("label")).select("q", r6("mean").alias("mean"), r6("n_eff").alias("n_eff"))
 
 
-@query(f"""{SIMS}, p AS (SELECT q, max(id) FILTER (rank = 1) AS best, max(sim) FILTER (rank = 1) AS top1, max(sim) FILTER (rank = 2) AS top2 FROM ranked GROUP BY 1)
+@searches(f"""{SIMS}, p AS (SELECT q, max(id) FILTER (rank = 1) AS best, max(sim) FILTER (rank = 1) AS top1, max(sim) FILTER (rank = 2) AS top2 FROM ranked GROUP BY 1)
     SELECT q, round(top1, 6) AS top1, round(top2, 6) AS top2, CASE WHEN top1 >= 0.52 AND top1 - top2 >= 0.005 THEN best END AS anchor FROM p""")
-def anchor_classify(t: Tables) -> DataFrame:
-    return X.anchor_classes(_sims(t)).select("q", r6("top1").alias("top1"), r6("top2").alias("top2"), "anchor")
+def anchor_classify(t: Tables, asked: DataFrame) -> DataFrame:
+    return X.anchor_classes(_sims(t, asked, 2)).select("q", r6("top1").alias("top1"), r6("top2").alias("top2"), "anchor")
 
 
-@query(f"""{SIMS}, t AS (SELECT *, max(sim >= 0.59) OVER (PARTITION BY q) AS any_high FROM ranked WHERE rank <= 20)
+@searches(f"""{SIMS}, t AS (SELECT *, max(sim >= 0.59) OVER (PARTITION BY q) AS any_high FROM ranked WHERE rank <= 20)
     SELECT q, id, CAST(rank AS INT) AS rank FROM t WHERE CASE WHEN any_high THEN sim >= 0.59 ELSE rank <= 3 AND sim >= 0.56 END""")
-def tiered_map(t: Tables) -> DataFrame:
-    return X.tiered(_sims(t)).select("q", "id", "rank")
+def tiered_map(t: Tables, asked: DataFrame) -> DataFrame:
+    return X.tiered(_sims(t, asked, 20)).select("q", "id", "rank")
 
 
-@query(f"{SIMS} SELECT q, min(direction) AS direction FROM ranked WHERE rank <= 3 GROUP BY 1 HAVING count(DISTINCT direction) = 1 AND count(*) = 3")
-def unanimous_topk(t: Tables) -> DataFrame:
-    return X.unanimous(X.top_similar(_sims(t), ["q"], 3))
+@searches(f"{SIMS} SELECT q, min(direction) AS direction FROM ranked WHERE rank <= 3 GROUP BY 1 HAVING count(DISTINCT direction) = 1 AND count(*) = 3")
+def unanimous_topk(t: Tables, asked: DataFrame) -> DataFrame:
+    return X.unanimous(X.top_similar(_sims(t, asked, 3), ["q"], 3))
 
 
-@query(f"""{SIMS}, c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 10)
-    SELECT q.vec_id AS q, a.label, round(list_cosine_similarity(q.v, a.v), 6) AS sim FROM c q, (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1) a""")
-def anchors_by_model(t: Tables) -> DataFrame:
+@searches(f"""{SIMS}, c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 10)
+    SELECT q.vec_id AS q, a.label, round(list_cosine_similarity(q.v, a.v), 6) AS sim FROM c q, (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1) a""", "id < 10")
+def anchors_by_model(t: Tables, asked: DataFrame) -> DataFrame:
     """Queries against the mean vector of each label, a handful of anchors."""
     parts = _pool(t).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     anchors = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))  # one value a dimension
-    asked = _pool(t).where("id < 10").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    sims = X.similarities(asked, anchors.select((-F.col("label") - 1).cast("long").alias("id"), "label", "v"))
-    return sims.select("q", "label", r6("sim").alias("sim"))
+    anchors = anchors.select((-F.col("label") - 1).cast("long").alias("q"), "label", F.col("v").alias("qv"))
+    sims = X.similarities(anchors, asked.select("id", "v"))  # the anchors are the few that are sent
+    return sims.select(F.col("id").alias("q"), "label", r6("sim").alias("sim"))
 
 
 @query("""
@@ -89,8 +107,8 @@ def vector_shapes(t: Tables) -> DataFrame:
     )
 
 
-@query(f"""{SIMS} SELECT q, count(*) AS n, round(sum(sim * up) FILTER (up > 0) / sum(sim), 6) AS up, round(sum(sim * up) FILTER (up <= 0) / sum(sim), 6) AS down FROM (SELECT q, sim, label - 4.5 AS up FROM ranked WHERE rank <= 15) GROUP BY 1""")
-def neighbour_expectation(t: Tables) -> DataFrame:
-    top = X.top_similar(_sims(t), ["q"], 15).withColumn("up", F.col("label") - 4.5)
+@searches(f"""{SIMS} SELECT q, count(*) AS n, round(sum(sim * up) FILTER (up > 0) / sum(sim), 6) AS up, round(sum(sim * up) FILTER (up <= 0) / sum(sim), 6) AS down FROM (SELECT q, sim, label - 4.5 AS up FROM ranked WHERE rank <= 15) GROUP BY 1""")
+def neighbour_expectation(t: Tables, asked: DataFrame) -> DataFrame:
+    top = X.top_similar(_sims(t, asked, 15), ["q"], 15).withColumn("up", F.col("label") - 4.5)
     part = lambda c: r6(F.sum(F.when(c, F.col("sim") * F.col("up"))) / F.sum("sim"))
     return top.groupBy("q").agg(F.count("*").alias("n"), part(F.col("up") > 0).alias("up"), part(F.col("up") <= 0).alias("down"))
