@@ -10,7 +10,7 @@ from ..operators import planning as P
 from ..operators import research as S
 from ..operators import shapes as H
 from ..operators import windows as W
-from .registry import Tables, query, r6
+from .registry import ORACLES, Tables, query, r6
 from .series import BARS, TYPE_BARS, _bars
 
 FEATURES = ["ret_1", "ret_3", "ret_5", "realized_vol_20", "atr_pct_14", "body_pct"]
@@ -60,6 +60,12 @@ def macro_freshness(t: Tables) -> DataFrame:
 
 
 def _dates(t: Tables) -> DataFrame:
+    """Decision dates: the day after each day with a bar, so that every bar is asked about once."""
+    return _bars(t).select(F.date_add("day", 1).alias("as_of")).distinct()
+
+
+def _three_dates(t: Tables) -> DataFrame:
+    """The dates that the SQL of ``event_memory`` names."""
     return t.spark.createDataFrame([("2024-01-15",), ("2024-01-22",), ("2024-01-29",)], "as_of string").select(F.to_date("as_of").alias("as_of"))
 
 
@@ -73,7 +79,16 @@ def _events(t: Tables) -> DataFrame:
     SELECT as_of, count(*) AS n, round(avg(ret_1), 6) AS mean_ret_1, round(greatest(1e-8, stddev_pop(ret_1)), 6) AS std_ret_1, max(end_day) < as_of AS leak_free FROM d JOIN f ON entry > 0 AND end_day < as_of GROUP BY 1""")
 def event_memory(t: Tables) -> DataFrame:
     """Scalers of each decision date's memory, held against the filtered memory itself; no event ends on or after its date."""
-    events, dates = _events(t), _dates(t)
+    return _memory(_events(t), _three_dates(t))
+
+
+@query(ORACLES["event_memory"].replace("SELECT unnest([DATE '2024-01-15', DATE '2024-01-22', DATE '2024-01-29']) AS as_of", "SELECT DISTINCT day + 1 AS as_of FROM bars"))
+def event_memory_full(t: Tables) -> DataFrame:
+    """The same for every decision date."""
+    return _memory(_events(t), _dates(t))
+
+
+def _memory(events: DataFrame, dates: DataFrame) -> DataFrame:
     scalers = S.memory_scalers(events, dates, FEATURES).select("as_of", "n", r6("mean_ret_1").alias("mean_ret_1"), r6("std_ret_1").alias("std_ret_1"))
     return scalers.join(S.memory_asof(events, dates).groupBy("as_of").agg((F.max("end_day") < F.col("as_of")).alias("leak_free")), "as_of")
 
@@ -83,7 +98,7 @@ def _prototypes(t: Tables) -> tuple[DataFrame, DataFrame]:
     scalers = S.memory_scalers(events, dates, FEATURES)
     memory = S.embed(S.memory_asof(events, dates), scalers, FEATURES)
     memory = memory.select("as_of", F.xxhash64("key", "day").alias("row_id"), "day", "vector", "quality", F.col("relative_volume").alias("liquidity"), F.when(F.col("ret_5") > 0, "UP").otherwise("DOWN").alias("regime"), F.pmod("key", F.lit(4)).cast("string").alias("sector"), "buy", "sell")
-    asked = S.bar_features(_bars(t), (1, 3, 5)).where("key < 40").join(dates, F.col("day") == F.date_sub("as_of", 1))
+    asked = S.bar_features(_bars(t), (1, 3, 5)).join(dates, F.col("day") == F.date_sub("as_of", 1))
     asked = S.embed(asked, scalers, FEATURES).select("as_of", F.col("key").alias("q"), F.col("vector").alias("qv"), F.when(F.col("ret_5") > 0, "UP").otherwise("DOWN").alias("q_regime"), F.pmod("key", F.lit(4)).cast("string").alias("q_sector"))
     return asked, S.prototypes(memory, 0.9)
 
