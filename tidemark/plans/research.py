@@ -173,9 +173,20 @@ def sell_intensity(t: Tables) -> DataFrame:
     f AS (SELECT *, floor(exact)::BIGINT AS whole, row_number() OVER (PARTITION BY id ORDER BY exact - floor(exact) DESC, leg) AS r FROM e WHERE goal > 0)
     SELECT id, leg, whole + CASE WHEN r <= goal - total_whole THEN 1 ELSE 0 END AS quantity FROM (SELECT *, sum(whole) OVER (PARTITION BY id) AS total_whole FROM f) WHERE whole + CASE WHEN r <= goal - total_whole THEN 1 ELSE 0 END > 0""")
 def leg_apportionment(t: Tables) -> DataFrame:
+    """Orders under 800, beside their SQL; ``leg_apportionment_full`` has all."""
+    return _apportioned(t.lineitem.where("l_orderkey < 800"))
+
+
+@query(ORACLES["leg_apportionment"].replace(" WHERE l_orderkey < 800", "").replace("l_suppkey)", "l_suppkey, l_quantity)"))
+def leg_apportionment_full(t: Tables) -> DataFrame:
+    """Some lines agree in order, number, part and supplier, so the quantity decides which is kept."""
+    return _apportioned(t.lineitem)
+
+
+def _apportioned(lineitem: DataFrame) -> DataFrame:
     from ..operators.relational import top_per
 
-    lines = top_per(t.lineitem.where("l_orderkey < 800"), ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey")])
+    lines = top_per(lineitem, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")])
     legs = lines.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("leg"), F.col("l_quantity").cast("long").alias("quantity"))
     return P.rescale_legs(legs, F.lit(0.37)).select("id", "leg", "quantity")
 
