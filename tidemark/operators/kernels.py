@@ -6,9 +6,12 @@ for the few that do, always within one key, batch or date.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -163,32 +166,100 @@ def latest_price_and_range(bars: DataFrame, rows: int = 14, least_rows: int = 5,
     return last.groupBy("key").agg(F.max(F.when(F.col("n") == 1, F.col("close"))).alias("price"), F.when(F.count("*") < least_rows, default).otherwise(clip(mean, 0.01, 0.2)).alias("atr_pct"))
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """The rows written once to the folder that all executors share, and read again."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(path)
+    path = f"{path.rstrip('/')}/clusters-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(float)
+    n = np.linalg.norm(x, axis=1)
+    return np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
+
+
+#: Rows whose leaders are found in one round: of all dates, and of one.
+ROUND_ROWS, BLOCK_ROWS = 40_000, 4_096
+
+
 def leader_clusters(rows: DataFrame, least: float = 0.985) -> DataFrame:
-    """For each ``as_of``, rows in order of ``row_id`` join the first cluster whose first member is similar enough.
+    """For each ``as_of``, rows in order of ``row_id`` (unique there) join the first cluster whose first member is similar enough.
 
-    The order decides, so each ``as_of`` is one fold; different dates run apart.
+    In rounds: a bounded block of each date's first rows is folded, its leaders are sent to all tasks, and what follows
+    joins one of them or waits for the next round. A later leader never comes before these, so the order is kept.
     """
+    kinds = dict(rows.dtypes)
+    ids = f"as_of {kinds['as_of']}, row_id {kinds['row_id']}"
+    left = _held(rows.select("as_of", "row_id", "vector"))
+    dates = left.select("as_of").distinct().count()
+    block = max(1, min(BLOCK_ROWS, ROUND_ROWS // max(1, dates)))
+    first = Window.partitionBy("as_of").orderBy("row_id")
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("row_id")
-        x = np.stack(df["vector"].to_numpy()).astype(float)
-        n = np.linalg.norm(x, axis=1)
-        x = np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
-        leaders, home, near = np.zeros((0, x.shape[1])), [], []
+        x, base = _units(df["vector"]), int(df["base"].iloc[0])
+        leaders, n, home, near = np.zeros_like(x), 0, [], []
         for v in x:
-            s = leaders @ v
+            s = leaders[:n] @ v
             hit = np.flatnonzero(s >= least)
             if len(hit):
                 home.append(hit[0])
                 near.append(s[hit[0]])
             else:
-                home.append(len(leaders))
+                home.append(n)
                 near.append(1.0)
-                leaders = np.vstack([leaders, v])
-        return pd.DataFrame({"as_of": df["as_of"].to_numpy(), "row_id": df["row_id"].to_numpy(), "cluster": np.array(home, np.int32), "similarity": near})
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy("as_of").applyInPandas(fold, f"as_of {kinds['as_of']}, row_id {kinds['row_id']}, cluster int, similarity double")
+                leaders[n] = v
+                n += 1
+        home = np.array(home)
+        new = np.diff(np.maximum.accumulate(home), prepend=-1) > 0
+        return pd.DataFrame({"as_of": df["as_of"].to_numpy(), "row_id": df["row_id"].to_numpy(), "cluster": (home + base).astype(np.int32), "similarity": near, "leader": [list(v) if f else None for v, f in zip(x, new, strict=True)]})
+
+    def assign(shared):
+        def run(frames):
+            for df in frames:
+                if df.empty:
+                    continue
+                home, near, after = np.full(len(df), -1, np.int32), np.zeros(len(df)), np.ones(len(df), bool)
+                for key, at in df.groupby("as_of").indices.items():
+                    cluster, leaders, last = shared.value[key]
+                    after[at] = df["row_id"].to_numpy()[at] > last
+                    for lo in range(0, len(at), 1_000):
+                        p = at[lo : lo + 1_000]
+                        s = _units(df["vector"].iloc[p]) @ leaders.T
+                        hit = s >= least
+                        j = hit.argmax(axis=1)
+                        home[p] = np.where(hit.any(axis=1), cluster[j], -1) if len(cluster) else -1
+                        near[p] = s[np.arange(len(p)), j]
+                yield df.assign(cluster=home, similarity=near)[after]
+
+        return run
+
+    out, base = [], None
+    while not left.isEmpty():
+        head = left.withColumn("n", F.row_number().over(first)).where(F.col("n") <= block).drop("n")
+        head = head.withColumn("base", F.lit(0)) if base is None else head.join(F.broadcast(base), "as_of")  # a row a date
+        found = _held(head.groupBy("as_of").applyInPandas(fold, f"{ids}, cluster int, similarity double, leader array<double>"))
+        out.append(found.drop("leader"))
+        grown = found.groupBy("as_of").agg((F.max("cluster") + 1).alias("base"))
+        base = grown if base is None else grown.unionByName(base).groupBy("as_of").agg(F.max("base").alias("base"))
+        last = {r.as_of: r.last for r in found.groupBy("as_of").agg(F.max("row_id").alias("last")).collect()}
+        heads: dict = {k: ([], []) for k in last}
+        for r in found.where("leader IS NOT NULL").orderBy("as_of", "cluster").toLocalIterator():  # ROUND_ROWS at most, or one a date
+            heads[r.as_of][0].append(r.cluster)
+            heads[r.as_of][1].append(r.leader)
+        shared = left.sparkSession.sparkContext.broadcast({k: (np.array(c, np.int32), np.array(v, float), last[k]) for k, (c, v) in heads.items()})
+        rest = _held(left.mapInPandas(assign(shared), f"{ids}, vector {kinds['vector']}, cluster int, similarity double"))
+        out.append(rest.where("cluster >= 0").drop("vector"))
+        left = rest.where("cluster < 0").drop("cluster", "similarity")
+    if not out:
+        return left.select("as_of", "row_id", F.lit(0).alias("cluster"), F.lit(1.0).alias("similarity"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @dataclass(frozen=True)
@@ -295,7 +366,8 @@ def allocate(c: DataFrame, cash: float, soft: float = 2.0, weight: float = 0.25,
     """Budgets of each ``batch``'s candidates (``id, price, atr_pct, signal``): what the least ladder costs, then the rest by priority.
 
     The dearest candidates go until the least ladders fit; both passes then run in order of priority, and what one
-    candidate takes in the second is gone for the next, so each batch is one fold.
+    candidate takes in the second is gone for the next, so each batch passes through one task in that order. The first
+    pass takes all that is kept, as their least needs fit together.
     """
     size = F.count("*").over(Window.partitionBy("batch"))
     cap = F.least(soft * cash / size, F.lit(weight * cash))
@@ -309,20 +381,24 @@ def allocate(c: DataFrame, cash: float, soft: float = 2.0, weight: float = 0.25,
     kept = c.withColumn("running", running).where(F.col("running") <= cash)
     kinds = dict(c.dtypes)
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["priority", "price", "id"], ascending=[False, True, True]).reset_index(drop=True)
-        rest, budget = cash, np.zeros(len(df))
-        for i, need in enumerate(df["need"]):
-            if rest >= need:
-                budget[i], rest = need, rest - need
-        total = df["priority"][budget > 0].sum() or 1.0
-        for i in np.flatnonzero(budget > 0):
-            more = min(df["cap"][i] - budget[i], rest * df["priority"][i] / total)
-            if more > 0:
-                budget[i], rest = budget[i] + more, rest - more
-        return df.assign(budget=budget)[["batch", "id", "budget"]][budget > 0]
-
-    return kept.groupBy("batch").applyInPandas(fold, f"batch {kinds['batch']}, id {kinds['id']}, budget double")
+    kept = kept.where("need > 0").withColumn("total", F.sum("priority").over(Window.partitionBy("batch")))
+    kept = kept.withColumn("rest", cash - F.sum("need").over(Window.partitionBy("batch")))
+
+    def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, rest = None, 0.0
+        for df in frames:
+            budget = df["need"].to_numpy(float).copy()
+            for i, r in enumerate(df.itertuples(index=False)):
+                if r.batch != batch:
+                    batch, rest = r.batch, r.rest
+                more = min(r.cap - r.need, rest * r.priority / (r.total or 1.0))
+                if more > 0:
+                    budget[i], rest = budget[i] + more, rest - more
+            yield df.assign(budget=budget)[["batch", "id", "budget"]]
+
+    # sorted rows pass by, so a task holds what is left of one batch's cash and not its rows
+    ordered = kept.select("batch", "id", "price", "cap", "need", "priority", "total", "rest").repartition("batch").sortWithinPartitions("batch", F.desc("priority"), "price", "id")
+    return ordered.mapInPandas(second, f"batch {kinds['batch']}, id {kinds['id']}, budget double")
 
 
 def select_portfolio(c: DataFrame, capital: float, top: int = 5, per_sector: int = 2, per_group: int = 1, turnover: int = 5, risk: float = 0.95, least_ev: float = 0.0) -> DataFrame:
