@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import relational as R
-from .registry import Tables, query, r6
+from .registry import ORACLES, Tables, query, r6
 
 
 @query("""
@@ -39,7 +41,17 @@ def sector_map_uncovered(t: Tables) -> DataFrame:
     WHERE ts >= '2024-01-05' AND ts < '2024-01-20' AND event_type IN ('view', 'click') AND user_id BETWEEN 5 AND 90 GROUP BY user_id""")
 def bars_scan(t: Tables) -> DataFrame:
     """List and range predicates that reach the scan."""
-    chosen = t.events.where((F.col("ts") >= "2024-01-05") & (F.col("ts") < "2024-01-20") & F.col("event_type").isin("view", "click") & F.col("user_id").between(5, 90))
+    return _scan(t.events.where(F.col("user_id").between(5, 90)))
+
+
+@query(ORACLES["bars_scan"].replace(" AND user_id BETWEEN 5 AND 90", ""))
+def bars_scan_full(t: Tables) -> DataFrame:
+    """The same for every user."""
+    return _scan(t.events)
+
+
+def _scan(events: DataFrame) -> DataFrame:
+    chosen = events.where((F.col("ts") >= "2024-01-05") & (F.col("ts") < "2024-01-20") & F.col("event_type").isin("view", "click"))
     return chosen.groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -299,38 +311,64 @@ def _old_new(t: Tables) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-@query(f"WITH n AS ({NEW}), o AS ({OLD}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n)")
-def upsert_last_wins(t: Tables) -> DataFrame:
-    return R.upsert(*_old_new(t), ["o_orderkey"])
+ALL_NEW, ALL_OLD = NEW.replace(" WHERE o_orderkey % 2 = 0", "").replace("7000", "700"), OLD.replace(" WHERE o_orderkey % 4 = 0", "")
+
+
+def _whole(t: Tables) -> tuple[DataFrame, DataFrame]:
+    old = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    price = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
+    return old, t.orders.select((F.col("o_orderkey") + 700).alias("o_orderkey"), "o_custkey", price.alias("o_totalprice"))
+
+
+def upserts(sql: str, few: str = ""):
+    """Register a function of the old and new sides over the parts that its SQL names, and over all orders as ``NAME_full``; ``few`` is for the new rows of the former."""
+
+    def register(f: Callable[[DataFrame, DataFrame], DataFrame]):
+        def part(t: Tables) -> DataFrame:
+            old, new = _old_new(t)
+            return f(old, new.where(few) if few else new)
+
+        whole = lambda t: f(*_whole(t))
+        part.__name__, whole.__name__ = f.__name__, f"{f.__name__}_full"
+        query(sql)(part)
+        sql_all = sql.replace(NEW, ALL_NEW).replace(OLD, ALL_OLD)
+        query(sql_all.replace(f" WHERE {few}", "") if few else sql_all)(whole)
+        return f
+
+    return register
+
+
+@upserts(f"WITH n AS ({NEW}), o AS ({OLD}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n)")
+def upsert_last_wins(old: DataFrame, new: DataFrame) -> DataFrame:
+    return R.upsert(old, new, ["o_orderkey"])
 
 
-@query(f"WITH n AS ({NEW}), o AS ({OLD}) SELECT * FROM o UNION ALL SELECT * FROM n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)")
-def insert_ignore(t: Tables) -> DataFrame:
-    return R.insert_ignore(*_old_new(t), ["o_orderkey"])
+@upserts(f"WITH n AS ({NEW}), o AS ({OLD}) SELECT * FROM o UNION ALL SELECT * FROM n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)")
+def insert_ignore(old: DataFrame, new: DataFrame) -> DataFrame:
+    return R.insert_ignore(old, new, ["o_orderkey"])
 
 
-@query(f"""WITH n AS ({NEW}), o AS ({OLD})
+@upserts(f"""WITH n AS ({NEW}), o AS ({OLD})
     SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice, greatest(o.o_custkey, n.o_custkey) AS o_custkey FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")
-def upsert_coalesce(t: Tables) -> DataFrame:
+def upsert_coalesce(old: DataFrame, new: DataFrame) -> DataFrame:
     """A null does not overwrite; the customer only ever rises."""
-    return R.upsert_with(*_old_new(t), ["o_orderkey"], {"o_totalprice": "coalesce", "o_custkey": "greatest"})
+    return R.upsert_with(old, new, ["o_orderkey"], {"o_totalprice": "coalesce", "o_custkey": "greatest"})
 
 
-@query(f"""WITH n AS ({NEW}), o AS ({OLD}), j AS (SELECT o.o_orderkey AS k, o.o_totalprice AS a, n.o_totalprice AS b FROM n LEFT JOIN o ON o.o_orderkey = n.o_orderkey)
+@upserts(f"""WITH n AS ({NEW}), o AS ({OLD}), j AS (SELECT o.o_orderkey AS k, o.o_totalprice AS a, n.o_totalprice AS b FROM n LEFT JOIN o ON o.o_orderkey = n.o_orderkey)
     SELECT count(*) FILTER (k IS NULL) AS inserted, count(*) FILTER (k IS NOT NULL AND a IS DISTINCT FROM b) AS updated, count(*) FILTER (k IS NOT NULL AND a IS NOT DISTINCT FROM b) AS unchanged FROM j""")
-def upsert_if_changed_counts(t: Tables) -> DataFrame:
-    return R.upsert_counts(*_old_new(t), ["o_orderkey"], "o_totalprice")
+def upsert_if_changed_counts(old: DataFrame, new: DataFrame) -> DataFrame:
+    return R.upsert_counts(old, new, ["o_orderkey"], "o_totalprice")
 
 
-@query(f"WITH n AS ({NEW}), o AS ({OLD}) SELECT * FROM n WHERE o_custkey < 60 UNION ALL SELECT * FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM n WHERE o_custkey < 60)")
-def replace_group_members(t: Tables) -> DataFrame:
-    old, new = _old_new(t)
-    return R.replace_members(old, new.where("o_custkey < 60"), "o_custkey")
+@upserts(f"WITH n AS ({NEW}), o AS ({OLD}) SELECT * FROM n WHERE o_custkey < 60 UNION ALL SELECT * FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM n WHERE o_custkey < 60)", "o_custkey < 60")
+def replace_group_members(old: DataFrame, new: DataFrame) -> DataFrame:
+    return R.replace_members(old, new, "o_custkey")
 
 
-@query(f"WITH o AS ({OLD}) SELECT * FROM o WHERE NOT coalesce(o_custkey BETWEEN 10 AND 60, FALSE)")
-def delete_range(t: Tables) -> DataFrame:
-    return R.delete_where(_old_new(t)[0], F.col("o_custkey").between(10, 60))
+@upserts(f"WITH o AS ({OLD}) SELECT * FROM o WHERE NOT coalesce(o_custkey BETWEEN 10 AND 60, FALSE)")
+def delete_range(old: DataFrame, new: DataFrame) -> DataFrame:
+    return R.delete_where(old, F.col("o_custkey").between(10, 60))
 
 
 @query("""SELECT n_nationkey, 'n_name' AS name, NULL::DOUBLE AS value, n_name AS text FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', n_regionkey::DOUBLE, NULL FROM nation""")
