@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once a row, however often (or in which lambda) ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -38,46 +43,46 @@ def dot_truncated(x: Column, y: Column) -> Column:
 def unit(x: Column) -> Column:
     """Scaled to length one in single precision; nulls and not-a-numbers count as 0, a zero vector stays."""
     clean = F.transform(x, lambda v: F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0)))
-    n = norm(clean)
-    return F.transform(clean, lambda v: F.when(n > 0, v / n).otherwise(v).cast("float"))
+    scaled = lambda y, n: F.transform(y, lambda v: F.when(n > 0, v / n).otherwise(v).cast("float"))
+    return once(clean, lambda y: once(norm(y), lambda n: scaled(y, n)))
 
 
 def mean(x: Column) -> Column:
-    return total(x) / F.size(x)
+    return once(x, lambda y: total(y) / F.size(y))
 
 
 def std(x: Column) -> Column:
     """Population standard deviation."""
-    m = mean(x)
-    return F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / F.size(x))
+    return once(x, lambda y: once(mean(y), lambda m: F.sqrt(total(F.transform(y, lambda v: (v - m) * (v - m))) / F.size(y))))
 
 
 def standardise(x: Column, limit: float = 5.0, floor: float = 1e-8) -> Column:
-    m, s = mean(x), std(x)
-    return F.transform(x, lambda v: F.when(s < floor, F.lit(0.0)).otherwise(F.greatest(F.lit(-limit), F.least(F.lit(limit), (v - m) / s))))
+    def scaled(y: Column, m: Column, s: Column) -> Column:
+        return F.transform(y, lambda v: F.when(s < floor, F.lit(0.0)).otherwise(F.greatest(F.lit(-limit), F.least(F.lit(limit), (v - m) / s))))
+
+    return once(x, lambda y: once(F.struct(mean(y).alias("m"), std(y).alias("s")), lambda c: scaled(y, c["m"], c["s"])))
 
 
 def resample(x: Column, m: int) -> Column:
     """``m`` values by linear interpolation between the first and the last."""
 
-    def at(i: Column) -> Column:
+    def at(x: Column, i: Column) -> Column:
         place = i * (F.size(x) - 1) / max(m - 1, 1)
         low = F.floor(place).cast("int")
         high = F.least(low + 1, F.size(x) - 1)
         return F.get(x, low) + (F.get(x, high) - F.get(x, low)) * (place - low)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), at)
+    return once(x, lambda y: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: at(y, i)))
 
 
 def segment_means(x: Column, m: int) -> Column:
     """Piecewise aggregate approximation; null where there are fewer than ``m`` values."""
 
-    def seg(i: Column) -> Column:
+    def seg(x: Column, i: Column) -> Column:
         a, b = F.floor(i * F.size(x) / m).cast("int"), F.floor((i + 1) * F.size(x) / m).cast("int")
-        part = F.slice(x, a + 1, b - a)
-        return total(part) / F.size(part)
+        return mean(F.slice(x, a + 1, b - a))
 
-    return F.when(F.size(x) >= m, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), seg))
+    return once(x, lambda y: F.when(F.size(y) >= m, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: seg(y, i))))
 
 
 def fit_length(x: Column, n: int) -> Column:

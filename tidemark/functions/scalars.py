@@ -50,10 +50,10 @@ def tick_size(price: Column, market: str = "KR") -> Column:
     return out
 
 
-def round_to_tick(price: Column, side: str, market: str = "KR") -> Column:
-    """To a whole tick, in decimals: buys down, sells up, anything else half up."""
-    step = tick_size(price, market).cast("decimal(18,6)")
-    units = price.cast("decimal(18,6)") / step
+def round_to_tick(price: Column, market: str, side: str) -> Column:
+    """To a whole tick, in decimals: buys down, sells up, anything else half up. A double keeps all its digits."""
+    step = tick_size(price, market).cast("decimal(10,2)")
+    units = price.cast("decimal(28,14)") / step
     whole = {"BUY": F.floor(units), "SELL": F.ceil(units)}.get(side, F.round(units, 0))
     return (whole.cast("decimal(18,0)") * step).cast("double")
 

@@ -10,7 +10,7 @@ from ..functions import arrays as V
 
 def steps(x: Column) -> Column:
     """Differences of neighbours."""
-    return F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.get(x, i) - F.get(x, i - 1))
+    return V.once(x, lambda y: F.transform(F.sequence(F.lit(1), F.size(y) - 1), lambda i: F.get(y, i) - F.get(y, i - 1)))
 
 
 def log_steps(x: Column, add: float = 0.0, floor: float | None = None) -> Column:
@@ -20,16 +20,24 @@ def log_steps(x: Column, add: float = 0.0, floor: float | None = None) -> Column
 
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's; 0 where it is undefined."""
-    mx, my = V.mean(x), V.mean(y)
-    cov = V.total(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
-    scale = F.sqrt(V.total(F.transform(x, lambda a: (a - mx) * (a - mx))) * V.total(F.transform(y, lambda b: (b - my) * (b - my))))
-    return F.when((F.size(x) > 1) & (scale > 0), cov / scale).otherwise(0.0)
+    square = lambda c: V.total(F.transform(c, lambda v: v * v))
+
+    def of(a: Column, b: Column) -> Column:
+        scale = F.sqrt(square(a) * square(b))
+        return F.when((F.size(a) > 1) & (scale > 0), V.dot(a, b) / scale).otherwise(0.0)
+
+    return V.once(F.struct(_centred(x).alias("x"), _centred(y).alias("y")), lambda c: of(c["x"], c["y"]))
+
+
+def _centred(x: Column) -> Column:
+    return V.once(x, lambda y: V.once(V.mean(y), lambda m: F.transform(y, lambda v: v - m)))
 
 
 def ordinal_ranks(x: Column) -> Column:
     """Place of each value in ascending order; equal values in order of appearance."""
-    placed = F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    return F.transform(placed, lambda p: F.size(F.filter(placed, lambda q: (q["v"] < p["v"]) | ((q["v"] == p["v"]) & (q["i"] < p["i"])))).cast("double"))
+    ordered = F.array_sort(F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    back = F.array_sort(F.transform(ordered, lambda p, rank: F.struct(p["i"].alias("i"), rank.alias("rank"))))
+    return F.transform(back, lambda p: p["rank"].cast("double"))
 
 
 def spearman(x: Column, y: Column) -> Column:
@@ -60,9 +68,13 @@ def _weighted(x: Column, w: float) -> Column:
 
 def shape_v1(closes: Column, volumes: Column, m: int = 5, w_seq: float = 1.0, w_meta: float = 0.5) -> Column:
     """2m + 7 values: standardised and resampled price and volume moves, and squashed path features."""
-    moves, flows = log_steps(closes, 1e-9), log_steps(volumes, 1.0)
-    sequences = [_weighted(V.resample(V.standardise(x), m), w_seq) for x in (moves, flows)]
-    return F.when(F.size(closes) >= 3, F.concat(*sequences, F.array(*(F.tanh(v) * w_meta for v in path_meta(moves, flows)))))
+
+    def vector(moves: Column, flows: Column) -> Column:
+        sequences = [_weighted(V.resample(V.standardise(x), m), w_seq) for x in (moves, flows)]
+        return F.concat(*sequences, F.array(*(F.tanh(v) * w_meta for v in path_meta(moves, flows))))
+
+    series = F.struct(log_steps(closes, 1e-9).alias("moves"), log_steps(volumes, 1.0).alias("flows"))
+    return F.when(F.size(closes) >= 3, V.once(series, lambda s: vector(s["moves"], s["flows"])))
 
 
 def candles(opens: Column, highs: Column, lows: Column, closes: Column) -> dict[str, Column]:
@@ -77,24 +89,31 @@ def candles(opens: Column, highs: Column, lows: Column, closes: Column) -> dict[
 
 def shape_v2(opens: Column, highs: Column, lows: Column, closes: Column, volumes: Column, m: int = 5, w_meta: float = 0.5) -> Column:
     """6m + 10 values: :func:`shape_v1`'s sequences, four of candle changes, and candle features among the rest."""
-    moves, flows = log_steps(closes, 1e-9), log_steps(volumes, 1.0)
-    c = {k: steps(v) for k, v in candles(opens, highs, lows, closes).items()}
-    sequences = [V.resample(V.standardise(x), m) for x in (moves, flows, c["body"], c["up"], c["down"], c["range"])]
-    thin = F.size(F.filter(F.arrays_zip(c["body"].alias("b"), c["range"].alias("r")), lambda x: F.abs(x["b"]) <= 0.1 * (x["r"] + 1e-9))) / F.size(c["body"])
-    lean = V.mean(F.zip_with(c["up"], c["down"], lambda a, b: a - b))
-    meta = [*path_meta(moves, flows), thin, lean, spearman(F.transform(c["body"], F.abs), c["range"])]
-    return F.when(F.size(closes) >= 3, F.concat(*sequences, F.array(*(F.tanh(v) * w_meta for v in meta))))
+
+    def vector(c: Column) -> Column:
+        moves, flows, body, reach = c["moves"], c["flows"], c["body"], c["range"]
+        sequences = [V.resample(V.standardise(x), m) for x in (moves, flows, body, c["up"], c["down"], reach)]
+        thin = F.size(F.filter(F.zip_with(body, reach, lambda b, r: F.abs(b) <= 0.1 * (r + 1e-9)), lambda x: x)) / F.size(body)
+        lean = V.mean(F.zip_with(c["up"], c["down"], lambda a, b: a - b))
+        meta = [*path_meta(moves, flows), thin, lean, spearman(F.transform(body, F.abs), reach)]
+        return F.concat(*sequences, F.array(*(F.tanh(v) * w_meta for v in meta)))
+
+    changes = {k: steps(v) for k, v in candles(opens, highs, lows, closes).items()}
+    series = {"moves": log_steps(closes, 1e-9), "flows": log_steps(volumes, 1.0)} | changes
+    return F.when(F.size(closes) >= 3, V.once(F.struct(*(v.alias(k) for k, v in series.items())), vector))
 
 
 def premarket_shape(opens: Column, highs: Column, lows: Column, closes: Column, volumes: Column, m: int, w_price: float = 1.0, w_volume: float = 1.0, w_candle: float = 1.0, w_meta: float = 1.0) -> Column:
     """Unit vector of segment means: price and volume moves, three candle series, range and mean true range of seven."""
     bars = F.arrays_zip(opens.alias("o"), highs.alias("h"), lows.alias("l"), closes.alias("c"))
     safe = lambda b: F.greatest(F.abs(b["c"]), F.lit(1e-9))
-    true = F.transform(bars, lambda b, i: F.greatest(b["h"] - b["l"], F.abs(b["h"] - F.get(closes, F.greatest(i - 1, F.lit(0)))), F.abs(b["l"] - F.get(closes, F.greatest(i - 1, F.lit(0))))))
-    seven = lambda i: F.slice(true, F.greatest(i - 6, F.lit(0)) + 1, F.least(i + 1, F.lit(7)))
+    before = lambda i: F.get(closes, F.greatest(i - 1, F.lit(0)))
+    true = F.transform(bars, lambda b, i: F.greatest(b["h"] - b["l"], F.abs(b["h"] - before(i)), F.abs(b["l"] - before(i))))
+    seven = lambda t, i: F.slice(t, F.greatest(i - 6, F.lit(0)) + 1, F.least(i + 1, F.lit(7)))
+    mean_range = V.once(true, lambda t: F.transform(bars, lambda b, i: V.mean(seven(t, i)) / safe(b)))
     series = [
         (log_steps(closes, floor=1e-9), w_price), (log_steps(volumes, floor=1.0), w_volume), (F.transform(bars, lambda b: (b["c"] - b["o"]) / safe(b)), w_candle), (F.transform(bars, lambda b: (b["h"] - F.greatest(b["o"], b["c"])) / safe(b)), w_candle),
-        (F.transform(bars, lambda b: (F.least(b["o"], b["c"]) - b["l"]) / safe(b)), w_candle), (F.transform(bars, lambda b: (b["h"] - b["l"]) / safe(b)), w_meta), (F.transform(bars, lambda b, i: V.mean(seven(i)) / safe(b)), w_meta),
+        (F.transform(bars, lambda b: (F.least(b["o"], b["c"]) - b["l"]) / safe(b)), w_candle), (F.transform(bars, lambda b: (b["h"] - b["l"]) / safe(b)), w_meta), (mean_range, w_meta),
     ]
     return V.unit(F.concat(*(_weighted(V.segment_means(x, m), w) for x, w in series if w > 0)))
 

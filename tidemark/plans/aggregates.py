@@ -104,19 +104,25 @@ def _scored(t: Tables) -> DataFrame:
 
 
 BUCKETS = f"""WITH s AS ({SCORED}), b AS (SELECT *, CAST((row_number() OVER (ORDER BY score, row_id) - 1) // greatest(1, (count(*) OVER ()) // 5) AS INT) AS bucket FROM s),
-    g AS (SELECT bucket, count(*) AS n, avg(score) AS score, avg(hit) AS hit FROM b GROUP BY 1)"""
+    g AS (SELECT bucket, count(*) AS n, CAST(sum(CAST(score AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS score, avg(hit) AS hit FROM b GROUP BY 1)"""
+
+
+def _bucketed(t: Tables) -> DataFrame:
+    """Buckets with exact sums, in hundredths: a mean of doubles would depend on the order in which tasks finish."""
+    exact = F.sum(F.col("score").cast("decimal(18,2)")).cast("double") / F.count("*")
+    return A.buckets(_scored(t), "score", "row_id", 5).groupBy("bucket").agg(F.count("*").alias("n"), exact.alias("score"), F.avg("hit").alias("hit"))
 
 
 @query(f"{BUCKETS} SELECT bucket, n, round(score, 6) AS score, round(hit, 6) AS hit FROM g")
 def calibration_buckets(t: Tables) -> DataFrame:
-    return A.buckets(_scored(t), "score", "row_id", 5).groupBy("bucket").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("score"), r6(F.avg("hit")).alias("hit"))
+    return _bucketed(t).select("bucket", "n", r6("score").alias("score"), r6("hit").alias("hit"))
 
 
 @query(f"""{BUCKETS}, o AS (SELECT *, hit >= coalesce(lag(hit) OVER (ORDER BY bucket), hit) AS up FROM g)
     SELECT round(avg(abs(score - hit)), 6) AS ece, bool_and(up) AS monotone FROM o""")
 def calibration_error(t: Tables) -> DataFrame:
     """Mean gap between score and hit rate over the buckets, and whether hit rates rise."""
-    g = A.buckets(_scored(t), "score", "row_id", 5).groupBy("bucket").agg(F.avg("score").alias("score"), F.avg("hit").alias("hit"))
+    g = _bucketed(t)
     before = F.lag("hit").over(Window.orderBy("bucket"))  # six rows at most
     return g.withColumn("up", F.col("hit") >= F.coalesce(before, "hit")).agg(r6(F.avg(F.abs(F.col("score") - F.col("hit")))).alias("ece"), F.every("up").alias("monotone"))
 

@@ -34,5 +34,6 @@ def query(sql: str | None = None):
 
 
 def r6(x: Column | str, places: int = 6) -> Column:
-    """Rounded, and without a negative zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, places) + F.lit(0.0)
+    """Rounded as DuckDB rounds (scaled, half away from zero), so that ties fall alike; without a negative zero."""
+    scale = 10.0**places
+    return F.round((F.col(x) if isinstance(x, str) else x) * scale) / scale + F.lit(0.0)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels as K
 from ..operators import planning as P
+from ..operators import relational as R
 from ..operators import research as S
 from ..operators import shapes as H
 from ..operators import windows as W
-from .registry import ORACLES, Tables, query, r6
+from .registry import Tables, query, r6
 from .series import BARS, TYPE_BARS, _bars
 
 FEATURES = ["ret_1", "ret_3", "ret_5", "realized_vol_20", "atr_pct_14", "body_pct"]
@@ -64,27 +65,16 @@ def _dates(t: Tables) -> DataFrame:
     return _bars(t).select(F.date_add("day", 1).alias("as_of")).distinct()
 
 
-def _three_dates(t: Tables) -> DataFrame:
-    """The dates that the SQL of ``event_memory`` names."""
-    return t.spark.createDataFrame([("2024-01-15",), ("2024-01-22",), ("2024-01-29",)], "as_of string").select(F.to_date("as_of").alias("as_of"))
-
-
 def _events(t: Tables) -> DataFrame:
     bars = _bars(t)
     shape = S.bar_features(bars, (1, 3, 5)).select("key", "day", *FEATURES, "relative_volume")
     return K.event_outcomes(bars).join(shape, ["key", "day"])
 
 
-@query(f"""WITH {BARS}, f AS (SELECT key, day, lead(open) OVER w AS entry, max(day) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS end_day, coalesce(close / lag(close) OVER w - 1, 0) AS ret_1 FROM bars WINDOW w AS (PARTITION BY key ORDER BY day)), d AS (SELECT unnest([DATE '2024-01-15', DATE '2024-01-22', DATE '2024-01-29']) AS as_of)
+@query(f"""WITH {BARS}, f AS (SELECT key, day, lead(open) OVER w AS entry, max(day) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS end_day, coalesce(close / lag(close) OVER w - 1, 0) AS ret_1 FROM bars WINDOW w AS (PARTITION BY key ORDER BY day)), d AS (SELECT DISTINCT day + 1 AS as_of FROM bars)
     SELECT as_of, count(*) AS n, round(avg(ret_1), 6) AS mean_ret_1, round(greatest(1e-8, stddev_pop(ret_1)), 6) AS std_ret_1, max(end_day) < as_of AS leak_free FROM d JOIN f ON entry > 0 AND end_day < as_of GROUP BY 1""")
 def event_memory(t: Tables) -> DataFrame:
-    """Scalers of each decision date's memory, held against the filtered memory itself; no event ends on or after its date."""
-    return _memory(_events(t), _three_dates(t))
-
-
-@query(ORACLES["event_memory"].replace("SELECT unnest([DATE '2024-01-15', DATE '2024-01-22', DATE '2024-01-29']) AS as_of", "SELECT DISTINCT day + 1 AS as_of FROM bars"))
-def event_memory_full(t: Tables) -> DataFrame:
-    """The same for every decision date."""
+    """Scalers of every decision date's memory, and the check that no event of it ends on or after its date."""
     return _memory(_events(t), _dates(t))
 
 
@@ -153,7 +143,7 @@ def shape_vectors(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH x AS (SELECT event_id, CAST(value % 201 AS INT) - 100 AS regime, CAST(value % 101 AS INT) AS risk, (event_id % 11) / 10.0 AS conf FROM events), y AS (SELECT *, 0.7 * risk / 100.0 + 0.3 * greatest(0, least(1, -regime / 100.0)) AS raw FROM x)
+    WITH x AS (SELECT event_id, CAST(value % 201 AS INT) - 100 AS regime, CAST(value % 101 AS INT) AS risk, (event_id % 11) / 10.0 AS conf FROM events), y AS (SELECT *, 0.7 * least(1, risk / 100.0) + 0.3 * greatest(0, least(1, -regime / 100.0)) AS raw FROM x)
     SELECT event_id, round(greatest(1, least(3, 1 + 2 * (0.55 * raw + 0.45 * pow(raw, 1.6)) * (0.55 + 0.45 * conf))), 4) AS buy_multiplier,
     round(1 + (CASE WHEN regime <= 20 THEN 1.0 WHEN regime <= 45 THEN 1.12 WHEN regime <= 65 THEN 1.28 WHEN regime <= 80 THEN 1.45 ELSE 1.6 END - 1) * (0.7 + 0.3 * conf), 4) AS sell_markup FROM y""")
 def headline_risk(t: Tables) -> DataFrame:
@@ -168,25 +158,13 @@ def sell_intensity(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", r6(P.sell_intensity(g, s)).alias("intensity"), r6(P.ratchet(p * 0.97, p), 4).alias("ratchet"), P.action_code(s).alias("action"))
 
 
-@query("""WITH x AS (SELECT l_orderkey AS id, l_linenumber AS leg, CAST(l_quantity AS BIGINT) AS quantity, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey) AS total FROM lineitem WHERE l_orderkey < 800 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1),
+@query("""WITH x AS (SELECT l_orderkey AS id, l_linenumber AS leg, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
     g AS (SELECT id, leg, quantity, sum(quantity) OVER (PARTITION BY id) AS total FROM x), e AS (SELECT *, round_even(total * 0.37, 0)::BIGINT AS goal, quantity / total * round_even(total * 0.37, 0) AS exact FROM g),
     f AS (SELECT *, floor(exact)::BIGINT AS whole, row_number() OVER (PARTITION BY id ORDER BY exact - floor(exact) DESC, leg) AS r FROM e WHERE goal > 0)
     SELECT id, leg, whole + CASE WHEN r <= goal - total_whole THEN 1 ELSE 0 END AS quantity FROM (SELECT *, sum(whole) OVER (PARTITION BY id) AS total_whole FROM f) WHERE whole + CASE WHEN r <= goal - total_whole THEN 1 ELSE 0 END > 0""")
 def leg_apportionment(t: Tables) -> DataFrame:
-    """Orders under 800, beside their SQL; ``leg_apportionment_full`` has all."""
-    return _apportioned(t.lineitem.where("l_orderkey < 800"))
-
-
-@query(ORACLES["leg_apportionment"].replace(" WHERE l_orderkey < 800", "").replace("l_suppkey)", "l_suppkey, l_quantity)"))
-def leg_apportionment_full(t: Tables) -> DataFrame:
-    """Some lines agree in order, number, part and supplier, so the quantity decides which is kept."""
-    return _apportioned(t.lineitem)
-
-
-def _apportioned(lineitem: DataFrame) -> DataFrame:
-    from ..operators.relational import top_per
-
-    lines = top_per(lineitem, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")])
+    """Every order's lines brought to 37 % of their quantity. Of lines that share order and number one is kept."""
+    lines = R.top_per(t.lineitem, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")])
     legs = lines.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("leg"), F.col("l_quantity").cast("long").alias("quantity"))
     return P.rescale_legs(legs, F.lit(0.37)).select("id", "leg", "quantity")
 

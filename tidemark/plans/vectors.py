@@ -1,7 +1,6 @@
 """Vector queries over ``embeddings``: direction from the label's parity.
 
-Each search is registered twice: as ``NAME_full`` with every vector as a query, and as ``NAME`` over the few queries
-(ids under 20, or 10) for which its SQL is quick.
+The stated queries of a search are the vectors whose id 50 divides, asked against all vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from ..operators import vectors as X
 from .registry import Tables, query, r6
 
 SIMS = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN label % 2 = 0 THEN 'UP' ELSE 'DOWN' END AS direction, label FROM embeddings),
-    sims AS (SELECT q.id AS q, e.id, e.direction, e.label, list_cosine_similarity(q.v, e.v) AS sim FROM e q JOIN e ON q.id < 20 AND q.id <> e.id),
+    sims AS (SELECT q.id AS q, e.id, e.direction, e.label, list_cosine_similarity(q.v, e.v) AS sim FROM e q JOIN e ON q.id % 50 = 0 AND q.id <> e.id),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank, row_number() OVER (PARTITION BY q, direction ORDER BY sim DESC, id) AS side_rank FROM sims)"""
 
 
@@ -25,14 +24,13 @@ def _pool(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), way.alias("direction"), "label")
 
 
-def searches(sql: str, few: str = "id < 20"):
-    """Register a function of the tables and the rows to ask with over the few that the SQL covers, and over all as ``NAME_full``."""
+def searches(sql: str, stated: str | None = "id % 50 = 0"):
+    """Register a function of the tables and the rows to ask with; without ``stated`` all rows ask."""
 
     def register(f: Callable[[Tables, DataFrame], DataFrame]):
-        part, whole = (lambda t: f(t, _pool(t).where(few))), (lambda t: f(t, _pool(t)))
-        part.__name__, whole.__name__ = f.__name__, f"{f.__name__}_full"
-        query(sql)(part)
-        query()(whole)
+        ask = lambda t: f(t, _pool(t).where(stated) if stated else _pool(t))
+        ask.__name__ = f.__name__
+        query(sql)(ask)
         return f
 
     return register
@@ -71,10 +69,11 @@ def anchor_classify(t: Tables, asked: DataFrame) -> DataFrame:
     return X.anchor_classes(_sims(t, asked, 2)).select("q", r6("top1").alias("top1"), r6("top2").alias("top2"), "anchor")
 
 
-@searches(f"""{SIMS}, t AS (SELECT *, max(sim >= 0.59) OVER (PARTITION BY q) AS any_high FROM ranked WHERE rank <= 20)
-    SELECT q, id, CAST(rank AS INT) AS rank FROM t WHERE CASE WHEN any_high THEN sim >= 0.59 ELSE rank <= 3 AND sim >= 0.56 END""")
+@searches(f"""{SIMS}, t AS (SELECT *, max(sim >= 0.35) OVER (PARTITION BY q) AS any_high FROM ranked WHERE rank <= 20)
+    SELECT q, id, CAST(rank AS INT) AS rank FROM t WHERE CASE WHEN any_high THEN sim >= 0.35 ELSE rank <= 3 AND sim >= 0.3 END""")
 def tiered_map(t: Tables, asked: DataFrame) -> DataFrame:
-    return X.tiered(_sims(t, asked, 20)).select("q", "id", "rank")
+    """With tiers that these vectors reach: their nearest are less alike than the texts the defaults are for."""
+    return X.tiered(_sims(t, asked, 20), 0.35, 0.3).select("q", "id", "rank")
 
 
 @searches(f"{SIMS} SELECT q, min(direction) AS direction FROM ranked WHERE rank <= 3 GROUP BY 1 HAVING count(DISTINCT direction) = 1 AND count(*) = 3")
@@ -82,8 +81,8 @@ def unanimous_topk(t: Tables, asked: DataFrame) -> DataFrame:
     return X.unanimous(X.top_similar(_sims(t, asked, 3), ["q"], 3))
 
 
-@searches(f"""{SIMS}, c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 10)
-    SELECT q.vec_id AS q, a.label, round(list_cosine_similarity(q.v, a.v), 6) AS sim FROM c q, (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1) a""", "id < 10")
+@searches(f"""{SIMS}, c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+    SELECT q.vec_id AS q, a.label, round(list_cosine_similarity(q.v, a.v), 6) AS sim FROM c q, (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1) a""", None)
 def anchors_by_model(t: Tables, asked: DataFrame) -> DataFrame:
     """Queries against the mean vector of each label, a handful of anchors."""
     parts = _pool(t).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
