@@ -3,7 +3,10 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm.simhash_anchors import keep_one, links, near_duplicates
+import pytest
+
+from tidemark.llm import common
+from tidemark.llm.simhash_anchors import NARROW, WIDE, keep_one, links, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string, component int"
 
@@ -63,7 +66,8 @@ def test_against_brute_force(spark):
     check(spark, rows)
 
 
-def test_links_are_all_pairs_in_reach(spark):
+@pytest.mark.parametrize(("layout", "crowd"), [(NARROW, 4096), (NARROW, 2), (WIDE, 4096), (WIDE, 1)])
+def test_links_are_all_pairs_in_reach(spark, layout, crowd):
     r = random.Random(1)
     fps = set()
     for _ in range(25):
@@ -75,7 +79,7 @@ def test_links_are_all_pairs_in_reach(spark):
                 y ^= 1 << b
             fps.add(y)
     signed = {f - (1 << 64) if f >> 63 else f for f in fps}
-    got = {tuple(x) for x in links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    got = {tuple(x) for x in links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4, layout, crowd).collect()}
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
 
 
@@ -89,3 +93,23 @@ def test_table(spark, sf):
     rows = [tuple(x) for x in docs.collect()]
     check(spark, rows)
     assert keep_one(docs).agg(F.min("doc_id")).first()[0] == 0
+
+
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [r.choice(words) for _ in range(200)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(30):
+        t = list(base)
+        t[r.randrange(len(t))] = r.choice(words)
+        rows.append((40 + i, " ".join(t)))
+    rows += [(100 + i, " ".join(r.choice(words) for _ in range(60))) for i in range(20)]
+    check(spark, rows)
+
+
+def test_clashing_names(spark):
+    rows = [(i, "one two three four five six" if i < 3 else f"text {i} is not like the others", "a", i, "b", i, "c", i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_mark string, kept_id int, kept_same string, same int, mark string, kept_0 int")
+    assert sorted(keep_one(docs).collect()) == sorted(x for x in docs.collect() if x.doc_id in (0, 3, 4, 5))

@@ -19,9 +19,11 @@ def fold(doc_id: Column, remainder: int, parts: int = 5) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests on one machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset and all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -43,13 +45,37 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key that holds more rows than this, and than one row in HOT_KEYS, is hot; so there are fewer than HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 50_000, 1_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and, as ``n``, how many of the ``total`` rows have that key.
+
+    Rows of hot keys stay where they are and get the fewer than HOT_KEYS rows of ``keyed`` sent; all others meet by a
+    shuffle in which no key has more than ``max(HOT_ROWS, total / HOT_KEYS)`` rows. ``n`` is dropped.
+    """
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    there = rows.join(F.broadcast(keyed.where(hot)), key)  # HOT_KEYS rows at most
+    return there.unionByName(rows.join(keyed.where(~hot), key)).drop("n")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores as it needs not to be taken (columns differ by more than case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node for each node of an undirected graph.
 
     ``edges`` has two columns ``u`` and ``v`` of one orderable type. Returns ``node``, ``root`` for every node
     that has an edge to another. Alternates the large-star and small-star steps (Kiveris and others, 2014) until
     the edge set is a forest of stars; every round is written to the shared folder, and only row counts and sums
-    reach the driver. Self-loops, repeated edges and nulls are dropped; no edges give no rows.
+    reach the driver. A node with very many neighbours is no single task. Self-loops, repeated edges and nulls are
+    dropped; no edges give no rows.
     """
     pairs = materialise(
         edges.where(F.col("u") != F.col("v"))
@@ -63,11 +89,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = state(pairs)
     while before[0]:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        ahead = both.where(F.col("v") > F.col("u"))
+        large = join_counted(ahead, low, "u", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, low, "u", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         after = materialise(small.where(F.col("u") != F.col("v")).distinct())
         drop_table(pairs)
         pairs, now = after, state(after)
