@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.decontamination import _hashes, contaminated, drop_contaminated, tile, tokens
+from tidemark.llm.decontamination import Benchmark, _hashes, contaminated, drop_contaminated, tile, tokens
 
 DOCS = "doc_id long, text string, item_id string, covered int"
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda mu nu xi omicron pi, rho sigma tau upsilon phi chi psi omega!"
@@ -77,3 +77,9 @@ def test_table(spark, sf):
                     want.add((r.doc_id, k, n))
     got = {(r.doc_id, r.item_id, r.covered) for r in contaminated(docs, bench).collect()}
     assert got == want and got
+
+
+def test_unspaced_scripts():
+    assert tokens("我们test的x_1 ภาษา") == ["我", "们", "test", "的", "x", "1", *"ภาษา"]
+    item = Benchmark([(1, "今天天气很好我们去公园")])
+    assert [x[0] for x in item.matches("他说今天天气很好我们去公园吧")] == [1]

@@ -80,3 +80,30 @@ def test_stream_blocks_hold_the_weights(spark):
     got = mix(docs, stream_blocks=8, block_docs=32)
     by = got.groupBy("stream_block").agg(F.sum("tokens").alias("n")).collect()
     assert len(by) == 8 and max(r.n for r in by) < 1.3 * min(r.n for r in by)
+
+
+@pytest.mark.parametrize(("target", "limit"), [(0.05, 4.0), (1.5, 1.5), (2.3, 1.2)])
+def test_limit_holds_at_every_exponent(spark, target, limit):
+    """Eleven sources of equal texts; a low entropy wants almost all tokens from the largest."""
+    rows = [(s * 100 + i, "a b c d e", f"s{s}", 1, "x") for s in range(11) for i in range(30 if s == 0 else 21)]
+    got = mix(spark.createDataFrame(rows, DOCS), max_repeats=limit, target_entropy=target, block_docs=8).collect()
+    size = Counter(r[2] for r in rows)
+    used = Counter(r.source for r in got)
+    assert max(Counter(r.doc_id for r in got).values()) <= math.ceil(limit)
+    assert all(used[s] <= limit * size[s] for s in size)
+    if target > 2:
+        assert len(used) == 11
+
+
+def test_many_sources_and_a_high_exponent(spark):
+    rows = [(i, "a b", f"s{i % 500}", 1, "x") for i in range(500)] + [(1000 + i, "a b", "top", 1, "x") for i in range(2)]
+    got = mix(spark.createDataFrame(rows, DOCS), max_repeats=1e9, target_entropy=0.001)
+    assert {r.source for r in got.collect()} == {"top"}
+
+
+def test_names_that_the_stage_adds(spark):
+    rows = [(i, "a b c", "s", 7, "m", 8) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_epoch int, MIX_PLACE string, row int")
+    got = mixed_documents(docs)
+    assert got.columns == [*docs.columns, "mix_epoch_", "mix_block", "mix_place_"]
+    assert got.where("mix_epoch = 7 AND MIX_PLACE = 'm' AND row = 8").count() == got.count() == 20

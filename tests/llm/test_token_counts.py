@@ -1,3 +1,6 @@
+import random
+import time
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,6 +29,15 @@ def test_any_text(texts):
     assert Counter(public_tokenizers.path(VOCABULARY)).counts(texts) == library(texts)
 
 
+def test_long_pre_tokens():
+    """Letters without a space, as in base64 or scripts that write none: merged, and in reasonable time."""
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEF") for _ in range(n)) for n in (1, 2, 3000, 80_000)] + ["ab" * 40_000, "a" * 80_001]
+    start = time.perf_counter()
+    assert Counter(public_tokenizers.path(VOCABULARY)).counts(words) == library(words)
+    assert time.perf_counter() - start < 30
+
+
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: r for r in count_tokens(docs).collect()}

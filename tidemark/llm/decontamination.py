@@ -5,21 +5,30 @@ longest common runs of unmarked tokens, marks them as tiles on both sides, and g
 The share of an item's tokens that tiles cover does not depend on the order of its passages in the text.
 
 The benchmark is broadcast in blocks whose size is checked, one narrow pass over the texts for each, so texts are
-never shuffled and the benchmark may be of any size.
+never shuffled. Where there are several blocks, what one finds is written before the next is sent, and the block is
+taken back, so a benchmark of any size takes the memory of one block (and time in proportion).
+
+Tokens are runs of letters and digits; in scripts that write no spaces between words (Chinese characters, kana, Thai,
+Lao, Khmer, Burmese, Tibetan) each letter is a token. An item of fewer than five tokens has no seed and matches nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W_]+")
+from .common import materialise
+
+#: Letters of scripts without spaces between words, as ranges of a character class.
+UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"(?=\w)[{UNSPACED}]|[^\W_{UNSPACED}]+")
 SHORTEST = 5
 COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20
@@ -152,13 +161,13 @@ class Benchmark:
         return [(self.items[k][0], int(tile(self.items[k][1], kept, self.shortest).sum()), len(self.items[k][1])) for k in found.tolist()]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_bytes`` of text, one at a time."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in blocks of about ``block_bytes`` of text, one at a time, and whether it is the last."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = max(1, -(-size // block_bytes))
     for k in range(count):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()], k + 1 == count
 
 
 def _pairs(shared, coverage: float):
@@ -192,21 +201,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Tokens are runs of letters and digits, lower-cased. Items of fewer than five tokens, and null ones, match nothing;
     null texts are empty; repeated items count once, repeated rows of ``docs`` give repeated rows.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = spark.createDataFrame([], "doc_id long, item_id long, covered long, item_tokens long")
-    for rows in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Benchmark(rows))
-        out = out.unionByName(texts.mapInArrow(_pairs(shared, coverage), out.schema))
-    return out.withColumn("coverage", F.col("covered") / F.col("item_tokens"))
+    kinds = "doc_id long, item_id long, covered long, item_tokens long"
+    parts = _by_block(benchmark, block_bytes, lambda shared, _: texts.mapInArrow(_pairs(shared, coverage), kinds))
+    return reduce(DataFrame.unionByName, parts).withColumn("coverage", F.col("covered") / F.col("item_tokens"))
+
+
+def _by_block(benchmark: DataFrame, block_bytes: int, work: Callable) -> list[DataFrame]:
+    """``work`` of each broadcast block and the block's rows before it. Of several blocks, only one is held at a time, and its rows are written."""
+    out = []
+    for rows, last in _blocks(benchmark, block_bytes):
+        shared = benchmark.sparkSession.sparkContext.broadcast(Benchmark(rows))
+        found = work(shared, out[-1] if out else None)
+        if out or not last:
+            found = materialise(found)
+            shared.destroy()
+        out.append(found)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows and columns of ``docs`` that no item's tiles cover to ``coverage``."""
+    """The rows and columns of ``docs`` that no item's tiles cover to ``coverage``.
+
+    Null and empty texts, and all texts if there is no item, stay; repeated rows stay or go together. Columns may have
+    any names. An empty table gives no rows.
+    """
     names = [f"kept_{i}" for i in range(len(docs.columns))]
-    left = docs.toDF(*names)
+    rows = docs.toDF(*names)
     at = names[docs.columns.index("text")]
-    for rows in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(rows))
-        left = left.mapInArrow(_clean(shared, coverage, at), left.schema)
-    return left.toDF(*docs.columns)
+    left = _by_block(benchmark, block_bytes, lambda shared, before: (rows if before is None else before).mapInArrow(_clean(shared, coverage, at), rows.schema))
+    return left[-1].toDF(*docs.columns)

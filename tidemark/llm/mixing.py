@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 BLOCK_DOCS = 4_096
 STREAM_BLOCKS = 64
@@ -30,7 +30,10 @@ def words(text: Column) -> Column:
 
 
 def _bisect(measure, low: float, high: float, rounds: int = 10) -> float:
-    """Where a falling function crosses zero, given its values at many points at once; an end where it doesn't."""
+    """Where a falling function crosses zero, given its values at many points at once; an end where it doesn't.
+
+    Of the last interval's ends the one with a value of zero or less is taken, ``high``'s side.
+    """
     first = measure([low, high])
     if first[0] <= 0:
         return low
@@ -41,21 +44,24 @@ def _bisect(measure, low: float, high: float, rounds: int = 10) -> float:
         values = measure(at)
         k = max(i for i in range(17) if values[i] > 0)
         low, high = at[k], at[min(k + 1, 16)]
-    return (low + high) / 2
+    return high
+
+
+def _powers(exponent: float) -> Column:
+    """A share to the exponent, over the largest share's, so that it doesn't underflow for all sources."""
+    return F.exp(F.col("lead") * exponent)
 
 
 def entropies(sources: DataFrame, exponents: list[float]) -> list[float]:
-    """Entropy in nats of the weights for each exponent, from ``share`` of each source."""
-    log = F.log("share")
-    sums = [s for a in exponents for s in (F.sum(F.exp(log * a)), F.sum(F.exp(log * a) * log))]
+    """Entropy in nats of the weights for each exponent, from ``lead`` of each source."""
+    sums = [s for a in exponents for s in (F.sum(_powers(a)), F.sum(_powers(a) * F.col("lead")))]
     row = sources.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
     return [math.log(row[2 * i]) - a * row[2 * i + 1] / row[2 * i] for i, a in enumerate(exponents)]
 
 
 def repeats(sources: DataFrame, exponents: list[float], budget_share: float) -> list[float]:
     """How often the most repeated source is passed over, for each exponent."""
-    log = F.log("share")
-    cols = [c for a in exponents for c in (F.sum(F.exp(log * a)), F.max(F.exp(log * (a - 1))))]
+    cols = [c for a in exponents for c in (F.sum(_powers(a)), F.max(_powers(a) / F.col("share")))]
     row = sources.agg(*(c.alias(f"s{i}") for i, c in enumerate(cols))).first()
     return [budget_share * row[2 * i + 1] / row[2 * i] for i in range(len(exponents))]
 
@@ -64,21 +70,27 @@ def source_weights(sources: DataFrame, budget: int, total: int, target_entropy:
     """``sources`` with ``weight`` and integer ``quota``, and the exponent.
 
     ``target_entropy`` (nats) defaults to half way between the sources' own entropy and that of equal weights. The
-    repetition limit wins over the entropy; a limit that even proportional weights exceed gives proportional weights.
+    repetition limit wins over the entropy, at exponents under 1, where small sources are repeated, and over 1, where
+    the largest is. A limit that even proportional weights exceed gives proportional weights.
     """
-    n = sources.count()
+    n, top = sources.agg(F.count("*"), F.max("share")).first()
+    sources = sources.withColumn("lead", F.log(F.col("share") / F.lit(top or 1.0)))
     own = entropies(sources, [1.0])[0] if n else 0.0
     target = (own + math.log(max(n, 1))) / 2 if target_entropy is None else target_entropy
     exponent = 1.0
     if n > 1:
         exponent = _bisect(lambda at: [h - target for h in entropies(sources, at)], 0.0, MAX_EXPONENT)
-        if exponent < 1:
-            exponent = max(exponent, _bisect(lambda at: [r - max_repeats for r in repeats(sources, at, budget / total)], 0.0, 1.0))
-    exponent = round(exponent, 9)
-    power = F.pow("share", F.lit(exponent))
-    norm = sources.agg(F.sum(power)).first()[0] or 1.0
-    weighted = sources.withColumn("weight", power / norm)
-    return weighted.withColumn("quota", F.floor(F.col("weight") * budget).cast("long")), exponent
+        over = lambda at: [r - max_repeats for r in repeats(sources, at, budget / total)]
+        if exponent < 1:  # repeats fall towards 1
+            exponent = max(exponent, _bisect(over, 0.0, 1.0))
+        elif exponent > 1:  # and rise beyond it
+            exponent = 2 - max(2 - exponent, _bisect(lambda at: over([2 - a for a in at]), 2 - MAX_EXPONENT, 1.0))
+    norm = sources.agg(F.sum(_powers(exponent))).first()[0] or 1.0
+    weighted = sources.withColumn("weight", _powers(exponent) / norm)
+    quota = F.floor(F.col("weight") * budget)
+    if n and budget <= max_repeats * total:  # the limit can be kept, so it is kept to the token
+        quota = F.least(quota, F.floor(F.col("tokens") * F.lit(float(max_repeats))))
+    return weighted.withColumn("quota", quota.cast("long")).drop("lead"), exponent
 
 
 def _source() -> Column:
@@ -151,12 +163,19 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with ``epoch``, ``stream_block`` and ``place``: a row for each time that the schedule takes a document."""
+    """``docs`` with ``mix_epoch``, ``mix_block`` and ``mix_place``: a row for each time that the schedule takes a document.
+
+    A name that ``docs`` already has gets underscores appended; its own columns stay as they are. A null source is the
+    empty one and null text is empty; documents without tokens are taken once a pass. Repeated rows are each taken.
+    Sources without tokens, and an empty table, give no rows.
+    """
     seed, stream_blocks = how.get("seed", SEED), how.pop("stream_blocks", STREAM_BLOCKS)
     light = materialise(_marked(docs))
     steps, sources = plan(light, **how)
+    names = [f"kept_{i}" for i in range(len(docs.columns))]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.struct(docs.columns).alias("row"), _source().alias("source"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("mark"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("row"), _source().alias("source"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("mark"))
     taken = _taken(own, materialise(steps), sources, stream_blocks, seed)
-    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return taken.select(*kept, F.col("epoch").alias("mix_epoch"), F.col("stream_block").alias("mix_block"), F.col("place").alias("mix_place"))
+    kept = [F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)]
+    added = [F.col(c).alias(fresh(f"mix_{n}", docs.columns)) for c, n in (("epoch", "epoch"), ("stream_block", "block"), ("place", "place"))]
+    return taken.select(*kept, *added)

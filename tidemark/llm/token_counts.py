@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .lm_scoring import Lookup
 
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBER = 1_000_000
+#: Pre-tokens, and letters in them, that a task remembers.
+REMEMBER, REMEMBER_LETTERS = 1_000_000, 32 << 20
 PART = 1 << 20
 #: Fixed value: the pre-token pattern of byte-level BPE, as the vocabulary's pre-tokenizer applies it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,36 +56,49 @@ class Merger:
         self.split = regex.compile(SPLIT)
 
     def count(self, words: list[bytes]) -> np.ndarray:
-        """Symbols left of each word after all merges."""
+        """Symbols left of each word after all merges.
+
+        Ranks of adjacent pairs are kept from round to round; only those beside a merge are looked up again.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         out = lengths.copy()
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        row = np.repeat(np.arange(len(words)), lengths)
+        row = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        rank = self._ranks(symbols, row, np.arange(len(symbols)))
         none = len(self.made)
-        while len(symbols) > 1:
-            rank, hit = self.rank.find(symbols[:-1] * self.size + symbols[1:])
-            rank = np.where(hit & (row[:-1] == row[1:]), rank, none).astype(np.int64)
+        while len(symbols):
             starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            low = np.minimum.reduceat(np.append(rank, none), starts)
+            low = np.minimum.reduceat(rank, starts)
             open_rows = low < none
             size = np.diff(np.append(starts, len(row)))
-            out[row[starts[~open_rows]]] = size[~open_rows]
-            stay = np.repeat(open_rows, size)
-            least = np.repeat(low[open_rows], size[open_rows])
-            symbols, row, rank = symbols[stay], row[stay], np.append(rank, none)[stay]
-            if not len(symbols):
-                return out
-            at = rank == least
+            if not open_rows.all():
+                out[row[starts[~open_rows]]] = size[~open_rows]
+                stay = np.repeat(open_rows, size)
+                symbols, row, rank = symbols[stay], row[stay], rank[stay]
+                low, size = low[open_rows], size[open_rows]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(rank == np.repeat(low, size))
             # in a run of overlapping occurrences, every other one from the left is merged
-            index = np.arange(len(at))
-            begin = np.maximum.accumulate(np.where(at & ~np.concatenate([[False], at[:-1]]), index, -1))
-            merge = np.flatnonzero(at & ((index - begin) % 2 == 0))
-            symbols[merge] = self.made[least[merge]]
+            begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
+            merge = at[(np.arange(len(at)) - begin) % 2 == 0]
+            symbols[merge] = self.made[rank[merge]]
             gone = np.ones(len(symbols), bool)
             gone[merge + 1] = False
-            symbols, row = symbols[gone], row[gone]
-        if len(symbols):
-            out[row[0]] = 1
+            symbols, row, rank = symbols[gone], row[gone], rank[gone]
+            new = merge - np.arange(len(merge))  # where the merged symbols stand now
+            near = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            rank[near] = self._ranks(symbols, row, near)
+        return out
+
+    def _ranks(self, symbols: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at the places ``at``; the number of merges where there is none in a row."""
+        out = np.full(len(at), len(self.made), np.int64)
+        inside = at < len(symbols) - 1
+        inside[inside] = row[at[inside]] == row[at[inside] + 1]
+        a = at[inside]
+        rank, hit = self.rank.find(symbols[a] * self.size + symbols[a + 1])
+        out[inside] = np.where(hit, rank, len(self.made)).astype(np.int64)
         return out
 
 
@@ -94,14 +108,16 @@ def merger(path: str) -> Merger:
 
 
 class Counter:
-    """Token counts of texts; remembers what it has counted, up to REMEMBER pre-tokens."""
+    """Token counts of texts; remembers what it has counted, up to REMEMBER pre-tokens and REMEMBER_LETTERS letters."""
 
     def __init__(self, path: str):
         self.bpe = merger(path)
         self.known: dict[str, int] = {}
+        self.letters = 0
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
+        self.letters += sum(map(len, new))
         part: list[str] = []
         size = 0
         for w in [*new, None]:
@@ -120,8 +136,9 @@ class Counter:
                 get = self.known.__getitem__
                 out += [extra + sum(map(get, words)) for words, extra in group]
                 group, size = [], 0
-                if len(self.known) > REMEMBER:
+                if len(self.known) > REMEMBER or self.letters > REMEMBER_LETTERS:
                     self.known.clear()
+                    self.letters = 0
             if text is not None:
                 pieces = bpe.special.split(text) if bpe.special else [text]
                 words = bpe.split.findall(pieces[0]) if len(pieces) == 1 else [w for p in pieces for w in bpe.split.findall(p)]
