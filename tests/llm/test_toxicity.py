@@ -1,9 +1,11 @@
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from tidemark.llm.toxicity import LabelModel, Voters, drop_toxic, score_toxicity
+from tidemark.llm import toxicity
+from tidemark.llm.toxicity import LabelModel, Voters, drop_toxic, score_toxicity, train
 
 DOCS = "doc_id long, text string, score string, held_out int, predicted string"
 
@@ -67,3 +69,48 @@ def test_disguised_words():
     assert v.look("what an 1d1ot")[0] == [] or n in v.look("what an 1d1ot")[0]
     assert n in v.look("an id1ot")[0] and n + 1 in v.look("an i d i o t here")[0]
     assert n + 2 in v.look("You are a clown")[0] and v.look("") == ([], [])
+
+
+def brute_score(c, text):
+    """The classifier's score of a text, feature by feature."""
+    text = (text or "").lower()
+    words = {w for w in re.findall(r"[^\W\d_]+", text)}
+    hits = [w for w in toxicity.LEXICON if w in words]
+    z, at = c.weights[-1] + sum(c.weights[toxicity.LEXICON.index(w)] for w in hits), len(toxicity.LEXICON)
+    plain = {w for w in re.findall(r"[^\W\d_]+", text.translate(toxicity.LEET))}
+    if re.search(r"[a-z][013457@$*!]+[a-z]", text) and any(w in plain and w not in hits for w in toxicity.LEXICON):
+        z += c.weights[at]
+    if any(m.replace(" ", "") in toxicity.LEXICON for m in re.findall(r"\b(?:[a-z] ){3,}[a-z]\b", text)):
+        z += c.weights[at + 1]
+    if any(f"{p} {w}" in text for w in hits for p in ("you", "you are", "you're", "you are a")):
+        z += c.weights[at + 2]
+    if len(hits) > 2:
+        z += c.weights[at + 3]
+    for kind, names in enumerate(c.voters.mined):
+        new = [i for s, i in names.items() if any(w == s if kind == 0 else len(w) > kind + 3 and w.startswith(s) for w in words)]
+        z += sum(c.weights[toxicity.VOTERS + i] for i in new) + sum(c.weights[at + 4 + kind * toxicity.GROUPS + g] for g in {i % toxicity.GROUPS for i in new})
+    return 1 / (1 + np.exp(-min(40, max(-40, z))))
+
+
+def test_scores_against_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in score_toxicity(docs, labels).collect()}
+    c = train(docs, labels)
+    for r in docs.collect():
+        assert got[r.doc_id] == pytest.approx(brute_score(c, r.text), abs=1e-9)
+
+
+def test_posteriors_decide(spark, monkeypatch):
+    """With the label model's output dealt out at random, the score says nothing, whatever the given labels are used for."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    plain, rng = LabelModel.logits, np.random.default_rng(3)
+    monkeypatch.setattr(LabelModel, "logits", lambda self, fires: rng.permutation(plain(self, fires)))
+    got = {r.doc_id: r.score for r in score_toxicity(docs, labels).collect()}
+    assert abs(auc([(got[r.doc_id], r.toxic) for r in labels.collect() if held(r.doc_id)]) - 0.5) < 0.2
+
+
+def test_an_id_of_many_rows_takes_its_share(spark):
+    rows = [(1, f"fine text {i}") for i in range(300)] + [(1, "copy")] * 200 + [(i, "you idiot" if i % 2 else "hello there") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert toxicity._sampled(docs, 50, docs.count()).count() <= 50
+    assert toxicity._sampled(docs, 1000, docs.count()).count() == 339

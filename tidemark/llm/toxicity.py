@@ -5,7 +5,9 @@ words and word beginnings that labelled training texts of the toxic class share
 A generative label model takes the rates at which voters fire, alone and in pairs, over all training texts: the
 covariance of two independent voters is p(1-p) times the product of their leanings, so each triple of voters gives
 their leanings, and pairs that these can't explain are taken as correlated and share their weight. Its posterior
-labels train a linear classifier over the mined words and the voters, which scores every text.
+labels, and nothing else, train a linear classifier over the mined words and the voters on a bounded sample of all
+training texts. Given labels serve three ends only: the share of toxic texts, the mining of voters on three quarters of
+the labelled texts, and the scale of the classifier's log odds on the other quarter, which mining has not seen.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, materialise
 
 #: The insult lexicon.
 LEXICON = (
@@ -32,7 +34,9 @@ DISGUISE = re.compile(r"[a-z][013457@$*!]+[a-z]")
 SPACED = re.compile(r"\b(?:[a-z] ){3,}[a-z]\b")
 LEET = str.maketrans("013457@$!", "oieastasi")
 MAX_LABELLED = 20_000
+MAX_FITTED = 20_000
 MAX_MINED = 2_048
+RIDGE = 0.0025
 GROUPS = 8
 VOTERS = len(LEXICON) + 4 + 3 * GROUPS
 
@@ -164,7 +168,8 @@ def _looked(voters: Voters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = [voters.look(t) for _, texts in _texts(batch) for t in texts]
-            yield pa.record_batch([batch.column("toxic"), pa.array([f for f, _ in seen], pa.list_(pa.int32())), pa.array([m for _, m in seen], pa.list_(pa.int32()))], ["toxic", "fired", "mined"])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in ([f for f, _ in seen], [m for _, m in seen])]
+            yield pa.record_batch([batch.column("toxic"), *lists], ["toxic", "fired", "mined"])
 
     return run
 
@@ -176,15 +181,15 @@ def _design(fired: list[list[int]], mined: list[list[int]], n_mined: int) -> tup
     return rows, np.concatenate(cols) if cols else np.zeros(0, np.int64)
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, width: int, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
-    """Logistic regression on soft labels by Adam over all rows; the last weight is the bias."""
+def fit_linear(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, width: int, ridge: float = RIDGE, rounds: int = 400) -> np.ndarray:
+    """Logistic regression on soft labels by Adam over all rows, the mean loss with a ridge; the last weight is the bias."""
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     n = max(len(target), 1)
     for t in range(1, rounds + 1):
         z = np.bincount(rows, w[cols], len(target)) + w[-1]
         error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
         g = np.append(np.bincount(cols, error[rows], width) / n, error.sum() / n)
-        g[:-1] += ridge * w[:-1] / n
+        g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w
@@ -223,21 +228,44 @@ class Classifier:
     label_model: LabelModel
 
 
-def train(docs: DataFrame, labels: DataFrame, held_remainder: int = 0, max_labelled: int = MAX_LABELLED, max_mined: int = MAX_MINED) -> Classifier:
-    """Mine voters and fit the classifier on at most ``max_labelled`` labelled training rows, those whose ids hash least.
+def _sampled(rows: DataFrame, most: int, total: int) -> DataFrame:
+    """At most ``most`` of about ``total`` rows (``doc_id``, ``text`` and more), those whose hashes are least; equal ones once.
+
+    Written, so that each use sees the same rows.
+    """
+    marked = rows.withColumn("mark", F.xxhash64("doc_id", "text"))
+    if total > most:
+        marked = marked.where(F.pmod("mark", F.lit(1 << 30)) < int((1 << 30) * most / total))
+    return materialise(marked.dropDuplicates(["doc_id", "mark"]).drop("mark").limit(most))
+
+
+def _read(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, list, list]:
+    """Labels, fired voters and mined features of a bounded sample, in the driver."""
+    got = sample.mapInArrow(_looked(voters), "toxic int, fired array<int>, mined array<int>").toArrow().to_pydict()
+    return np.array(got["toxic"], float), got["fired"], got["mined"]
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, held_remainder: int = 0, max_labelled: int = MAX_LABELLED, max_mined: int = MAX_MINED, max_fitted: int = MAX_FITTED
+) -> Classifier:
+    """Mine voters on at most ``max_labelled`` labelled training rows, and fit on at most ``max_fitted`` training rows.
 
     The label model's rates are taken over all training rows, labelled or not. Rows of the held-out fold are never read.
     Without labelled rows there are no mined voters, the prior is 0.05, and the label model's own log odds are the
-    classifier's weights. Null labels and ids are left out; of several labels of an id the toxic one holds.
+    classifier's weights. Null labels and ids are left out; of several labels of an id the toxic one holds. Rows equal
+    in id and text are sampled once, so an id with any number of rows takes no more than its share of the samples.
     """
     learn = docs.where(~fold(F.col("doc_id"), held_remainder)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     given = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~fold(F.col("doc_id"), held_remainder))
     given = given.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = learn.join(F.broadcast(given), "doc_id").select("text", "toxic")  # max_labelled rows of 12 bytes at most
-    stems = sample.mapInArrow(_tally, "kind int, stem string, clean long, toxic long").groupBy("kind", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sizes = sample.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in sizes}
+    given = materialise(given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
+    joined = learn.join(F.broadcast(given), "doc_id")  # max_labelled rows of 12 bytes at most
+    labelled = _sampled(joined, max_labelled, joined.count())
+    last = F.pmod(F.xxhash64(F.lit("scale"), "doc_id"), F.lit(4)) == 0
+    mined, scale = labelled.where(~last), labelled.where(last)
+
+    stems = mined.select("text", "toxic").mapInArrow(_tally, "kind int, stem string, clean long, toxic long").groupBy("kind", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in mined.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     voters = Voters()
     if clean and toxic:
@@ -255,25 +283,26 @@ def train(docs: DataFrame, labels: DataFrame, held_remainder: int = 0, max_label
             seen = r.n
         else:
             both[r.cell] = r.n
-    model = LabelModel.fit(both.reshape(VOTERS, VOTERS), seen, prior)
+    both = both.reshape(VOTERS, VOTERS)
+    model = LabelModel.fit(both, seen, prior)
 
     weights = np.zeros(VOTERS + n_mined + 1)
-    looked = sample.mapInArrow(_looked(voters), "toxic int, fired array<int>, mined array<int>").toArrow().to_pydict()
-    y = np.array(looked["toxic"], float)
     if clean and toxic:
-        fires = np.zeros((len(y), VOTERS))
-        for i, f in enumerate(looked["fired"]):
+        _, fired, found = _read(_sampled(learn, max_fitted, seen).withColumn("toxic", F.lit(0)), voters)
+        fires = np.zeros((len(fired), VOTERS))
+        for i, f in enumerate(fired):
             fires[i, f] = 1
-        # the given label is one more voter, right in 49 of 50 cases
-        posterior = 1 / (1 + np.exp(-np.clip(model.logits(fires) + np.where(y > 0, 1, -1) * np.log(49), -40, 40)))
-        rows, cols = _design(looked["fired"], looked["mined"], n_mined)
-        w = fit_linear(rows, cols, posterior, VOTERS + n_mined)
-        a, b = _calibrate(np.bincount(rows, w[cols], len(y)) + w[-1], y)
-        weights = a * w
-        weights[-1] += b
+        posterior = 1 / (1 + np.exp(-np.clip(model.logits(fires), -40, 40)))
+        weights = fit_linear(*_design(fired, found, n_mined), posterior, VOTERS + n_mined)
+        y, fired, found = _read(scale, voters)
+        if 0 < y.sum() < len(y):
+            rows, cols = _design(fired, found, n_mined)
+            a, b = _calibrate(np.bincount(rows, weights[cols], len(y)) + weights[-1], y)
+            weights = a * weights
+            weights[-1] += b
     else:
         on, off = np.log(model.toxic / model.clean), np.log((1 - model.toxic) / (1 - model.clean))
-        weights[:VOTERS] = np.where(both.reshape(VOTERS, VOTERS).diagonal() > 0, model.weight * (on - off), 2.0)
+        weights[:VOTERS] = np.where(both.diagonal() > 0, model.weight * (on - off), 2.0)
         weights[: len(LEXICON)] = np.maximum(weights[: len(LEXICON)], 4.0)
         weights[-1] = np.log(prior / (1 - prior))
     return Classifier(voters, weights, model)
@@ -291,7 +320,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_remainder: int = 0)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, held_remainder: int = 0) -> DataFrame:
-    """The rows and columns of ``docs`` whose text scores under 0.5."""
+    """The rows and columns of ``docs`` whose text scores under 0.5.
+
+    Null text is scored as empty; rows with a null id are learned from and judged like others; repeated rows stay or
+    go together. Columns may have any names. An empty table gives no rows.
+    """
     c = train(docs, labels, held_remainder)
     names = [f"kept_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("text", docs_text(docs, names))
