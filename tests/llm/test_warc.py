@@ -7,6 +7,8 @@ import html as pages_html
 import json
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import warc
 from tidemark.llm.queries import QUERIES
 
@@ -90,3 +92,50 @@ def test_files(spark, tmp_path):
     back = warc.read_warc(spark, str(tmp_path / "out") + "/part-*")
     want = sorted((tuple(map(tuple, r["headers"])), r["block"].encode()) for r in out.collect())
     assert sorted((tuple(map(tuple, r["headers"])), bytes(r["block"])) for r in back.collect()) == want
+
+
+def response(body: bytes, kind: str = "text/html", id_: str | None = "<urn:uuid:1>", target: str = "http://x/", **http: str):
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n".encode() + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in http.items()).encode() + b"\r\n" + body
+    headers = [("WARC-Type", "response"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", sha1(body))] + ([("WARC-Record-ID", id_)] if id_ else [])
+    return headers, block
+
+
+def test_bodies_and_charsets(spark):
+    chunks = b"5\r\n<p>he\r\n3;x=1\r\nllo\r\n0\r\n\r\n"
+    cases = [
+        (response(chunks, Transfer_Encoding="chunked"), "hello"),
+        (response(b"not in chunks", Transfer_Encoding="chunked"), "not in chunks"),
+        (response(b"3\r\nabc\r\n9\r\nde", Transfer_Encoding="Chunked"), "abcde"),
+        (response(b"\x93q\x94 \x80 caf\xe9 \x81", "text/html; charset=windows-1252"), "“q” € café \x81"),
+        (response(b"\x93q\x94", "text/plain; charset=\"ISO-8859-1\""), "“q”"),
+        (response("日本語".encode("shift_jis"), "text/html; charset=Shift_JIS"), "日本語"),
+        (response("简体".encode("gbk"), "text/html; charset=GBK"), "简体"),
+        (response("\ufefföü".encode("utf-16-le"), "text/html; charset=utf-8"), "öü"),
+        (response("\ufeffö".encode(), "text/plain"), "ö"),
+        (response("<meta http-equiv=x content='text/html; charset=koi8-r'><p>привет".encode("koi8-r")), "привет"),
+        (response("<meta charset=big5>中文".encode("big5")), "中文"),
+        (response("ö\xff".encode("latin-1"), "text/html; charset=x-nothing"), "\ufffd\ufffd"),
+        (response("4\r\n".encode() + "文".encode("gbk") + b"ab\r\n0\r\n\r\n", "text/html; charset=gb2312", Transfer_Encoding="chunked"), "文ab"),
+        (response(b""), ""),
+    ]
+    rows = [(i, [{"name": n, "value": v} for n, v in h], b) for i, ((h, b), _) in enumerate(cases)]
+    got = {(r.n, r.record_type): r for r in warc.derive(spark.createDataFrame(rows, f"n int, {warc.RECORD}"), "n").collect()}
+    for i, (_, text) in enumerate(cases):
+        assert got[i, "conversion"].block == text, i
+        assert got[i, "conversion"].source_digest_holds is True, i
+    assert json.loads(got[0, "metadata"].block)["http"]["payload_digest"] == sha1(b"<p>hello")
+
+
+def test_references(spark):
+    texts = ["AT&amp T &copy 2 &Eacute;&Uuml;&Ouml;&Ntilde; &ampfoo; &notit; &NotEqualTilde; &alpha;&rarr;", "&#150;&#x92;&#128;&#1;&#99999999;&#xD800;&", "&&amp;&;&x;&#;&#x;&hellip;&nbsp;x", "&CounterClockwiseContourIntegral;&AMP&AMP;"]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(warc.unescape(F.col("t")).alias("x")).collect()]
+    assert got == [pages_html.unescape(t) for t in texts]
+
+
+def test_missing_ids_and_key_names(spark):
+    rows = [(target, "k", [{"name": n, "value": v} for n, v in h], b) for target in ("http://a/", "http://b/") for h, b in [response(b"x", id_=None, target=target)]]
+    out = warc.derive(spark.createDataFrame(rows, f"date string, n string, {warc.RECORD}"), "date", "n")
+    assert out.columns[:2] == ["date_", "n"]
+    got = out.collect()
+    assert len({r.record_id for r in got}) == 4 and all(r.refers_to is None and r.date is None for r in got)
+    assert {r["date_"] for r in got} == {"http://a/", "http://b/"}
