@@ -238,7 +238,8 @@ def accepted_cells(found: DataFrame, precision: float = PRECISION) -> list[int]:
     is set on texts that the trees have not seen. A cell's own score is the mean of both halves' trees. A half without both
     real and other candidates learns nothing and scores nothing; if neither does, nothing is added.
     """
-    each = found.select("half", F.explode("every").alias("c")).groupBy("half", "c.cell", "c.real").agg(F.count("*").cast("double").alias("n"))
+    # outer: a plain explode has the candidates worked out once more, to filter out rows without any
+    each = found.select("half", F.explode_outer("every").alias("c")).where("c.cell IS NOT NULL").groupBy("half", "c.cell", "c.real").agg(F.count("*").cast("double").alias("n"))
     cells = materialise(each.coalesce(1).orderBy("half", "cell", "real"))  # four rows for each of CELLS cells at most
     described = lambda rows: VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.select("*", *_features(F.col("cell"))))
     trees = GBTClassifier(featuresCol="features", labelCol="real", weightCol="n", maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=16)
