@@ -104,7 +104,7 @@ def anchors(fps: DataFrame, visiting: bool, layout: tuple = NARROW) -> DataFrame
         else:
             near = F.transform(F.array(*(F.lit(m).cast("long") for m in flips)), value.bitwiseXOR)
         rows.append(F.transform(F.transform(near, _home), _tag(k)))
-    return fps.select("fp", F.explode(F.array_distinct(F.concat(*rows))).alias("anchor"))
+    return fps.select("fp", F.explode_outer(F.array_distinct(F.concat(*rows))).alias("anchor"))
 
 
 def links(fps: DataFrame, threshold: int = 4, layout: tuple = NARROW, crowd: int = CROWD) -> DataFrame:

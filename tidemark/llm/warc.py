@@ -259,7 +259,7 @@ def derive(records: DataFrame, *keys: str) -> DataFrame:
         return F.struct(*(v.alias(k) for k, v in values.items()))
 
     made = F.array(record("metadata", "metadata_id", "application/json", "json", "json_digest"), record("conversion", "conversion_id", "text/plain; charset=utf-8", "text", "text_digest"))
-    out = split.select("key", "given_id", "payload", "holds", *named, F.explode(F.when(F.col("text").isNull(), F.slice(made, 1, 1)).otherwise(made)).alias("r"))
+    out = split.select("key", "given_id", "payload", "holds", *named, F.explode_outer(F.when(F.col("text").isNull(), F.slice(made, 1, 1)).otherwise(made)).alias("r"))
     headers = _headers(
         WARC_Type=F.col("r.record_type"), WARC_Record_ID=F.col("r.record_id"), WARC_Refers_To=F.col("given_id"), WARC_Target_URI=F.col("Target-URI"), WARC_Date=F.col("Date"), WARC_Block_Digest=F.col("r.block_digest"),
         WARC_Source_Payload_Digest=F.col("payload"), WARC_Source_Block_Digest=F.col("Block-Digest"), Content_Type=F.col("r.content_type"), Content_Length=F.col("r.content_length"),
