@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from tidemark.llm.vector_search import Codes, nearest, rotations
+from tidemark.llm.queries import QUERIES
+from tidemark.llm.vector_search import Codes, fit_centroids, nearest, needed_probes, rotations
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rank string"
 
@@ -49,3 +50,32 @@ def test_error_bounds_hold():
     true = (x / np.linalg.norm(x, axis=1)[:, None]) @ q
     assert (np.abs(dot - true) <= error).mean() > 0.99
     assert np.corrcoef(dot, true)[0, 1] > 0.9
+
+
+def share_found(got, want):
+    found = {(q, i) for q, _, i, _ in got}
+    return sum((q, i) in found for q, _, i, _ in want) / len(want)
+
+
+def test_recall_of_the_query(spark):
+    """Measured against all pairs: at least 0.9 of the true neighbours, in order, with exact distances."""
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = [tuple(r) for r in QUERIES["op9_nearest_vectors"](spark, sf).collect()]
+    want = brute(rows)
+    print("recall", share_found(got, want))
+    assert share_found(got, want) >= 0.9 and len(got) == len(want)
+    true = {(q, i): d for q, _, i, d in want}
+    assert all(d == pytest.approx(true[q, i], rel=1e-12) for q, _, i, d in got if (q, i) in true)
+
+
+def test_probes_on_clustered_and_equal_vectors(spark):
+    """Clusters, one of them a third of all rows and nearly equal, and a vector that many rows share."""
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(30, 64)) * 3
+    rows = [(i, (middle[i % 30] + rng.normal(size=64) * (1e-3 if i % 30 < 10 else 0.5)).tolist()) for i in range(1, 3001)]
+    rows += [(5000 + i, rows[0][1]) for i in range(400)]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
+    assert share_found([tuple(r) for r in nearest(df, cells=40, recall=0.95).collect()], brute(rows)) >= 0.95
+    few = needed_probes(np.array([v for _, v in rows]), fit_centroids(np.array([v for _, v in rows]), 40), 10)
+    assert few < 20

@@ -43,7 +43,7 @@ def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), recall=vector_search.RECALL)
 
 
 def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
