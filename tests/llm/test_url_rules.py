@@ -1,10 +1,11 @@
+import random
 import re
 
 import duckdb
 import pytest
 
 from tidemark.llm import url_rules
-from tidemark.llm.url_rules import RULES, judge_urls, prefix_rule
+from tidemark.llm.url_rules import RULES, judge_urls, prefix_rule, filter_line
 
 SCHEMA = "page_id long, url string, html string, host string, rule int"
 URLS = [
@@ -51,3 +52,51 @@ def test_table_and_sql(spark, sf):
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     assert got == sorted(db.execute(url_rules.oracle()).fetchall())
     assert {r[4] for r in got} == {"allow", "block"}
+
+
+def brute_line(line):
+    """A filter line as a Python expression and its rank, worked out character by character."""
+    text = line.removeprefix("@@")
+    text, _, option = text.partition("$")
+    out, i = "", 0
+    if text.startswith("/") and text.endswith("/") and len(text) > 1:
+        out = text[1:-1]
+    else:
+        if text.startswith("||"):
+            out, i = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*[.])?", 2
+        elif text.startswith("|"):
+            out, i = "^", 1
+        while i < len(text):
+            c = text[i]
+            out += {"*": ".*", "^": "(?:[^A-Za-z0-9_.%-]|$)"}.get(c) or ("$" if c == "|" and i == len(text) - 1 else re.escape(c))
+            i += 1
+    flags = 0 if option == "match-case" else re.I
+    return re.compile(out, flags), (0 if option == "important" else 1 if line.startswith("@@") else 2, -len(line), line)
+
+
+@pytest.mark.parametrize("many", [40, 10_000])
+def test_filter_lines_against_brute_force(spark, many):
+    r = random.Random(6)
+    names = ["ads", "track", "cdn", "img", "news", "shop", "a1", "banner", "x", "pixel", "Stat", "en"]
+    hosts = [f"{a}.{b}.{c}" for a in names[:6] for b in names[3:9] for c in ("com", "net", "de")]
+    urls = [f"{r.choice(['http', 'https'])}://{r.choice(hosts)}/" + "/".join(r.choice(names) + r.choice(["", "", "2", ".js"]) for _ in range(r.randint(0, 3))) + r.choice(["", "?q=ads&x", "#top"]) for _ in range(300)]
+    urls += [None, "", "no scheme/ads/", "http://", urls[0], urls[0]]
+    lines = ["||ads.news.com^", "@@||ads.news.com^$important", "/banner[0-9]\\.js/", "|https://cdn.*|", "*ads*", "^pixel^", "track.js|", "@@/stat/", "/Stat/$match-case", "x"]
+    while len(lines) < many:
+        host = r.choice(hosts) if r.random() < 0.7 else f"h{r.randint(0, 9999)}.com"
+        lines.append(r.choice(["", "", "@@"]) + r.choice([f"||{host}^", f"||{host}/{r.choice(names)}", f"/{r.choice(names)}/{r.choice(names)}{r.randint(0, 99)}^", f"{r.choice(names)}*{r.choice(names)}{r.randint(0, 99)}|", f"|http://{host}/*{r.choice(names)}^"]) + r.choice(["", "", "", "$match-case", "$important"]))
+    lines = list(dict.fromkeys(lines))
+    rules = tuple(filter_line(x) for x in lines)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in judge_urls(pages, rules, ()).collect()}
+    known = sorted(((rank, p, x) for x in lines for p, rank in [brute_line(x)]), key=lambda k: k[0])
+    for i, url in enumerate(urls):
+        first = next((x for _, p, x in known if p.search(url)), None) if url and "://" in url else None
+        want = (first, "allow" if first is None or first.startswith("@@") else "block")
+        assert got[i] == want, url
+
+
+def test_lines_that_are_no_rules():
+    assert [filter_line(x) for x in ("", "! note", "[Adblock Plus]", "a.com##.ad", "a.com#@#.ad", "||a.com^$script,third-party", "$important")] == [None] * 7
+    assert filter_line("||ads.example.com^").tokens == ("ads", "example", "com")
+    assert filter_line("*ads*").tokens == () and filter_line("/banner/img*").tokens == ("banner",) and filter_line("|http://x").tokens == ("http",)
