@@ -1,4 +1,7 @@
-"""From raw documents to a mixed training stream, in five stages, each written as Parquet and read again by the next."""
+"""From raw documents to a mixed training stream, in five stages, each written as Parquet and read again by the next.
+
+Every stage keeps columns of any names, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,30 @@ from tidemark.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
+    """Documents whose toxicity score is under 0.5. Null text is scored as empty; repeated rows stay or go together."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id."""
+    """One document of each SimHash component, the one with the smallest id; of repeated rows one. Null text is empty."""
     return simhash_anchors.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is covered by tiles."""
+    """Documents in which no benchmark item is covered by tiles; null and empty texts stay."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; null text stays null, other columns as they are but for ``n_chars``."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, with its pass, stream block and place."""
+    """A row for each time that the mix takes a document, with its pass, stream block and place.
+
+    Null text is empty, a null source the empty one. Names that the documents already have get underscores appended.
+    """
     return mixing.mixed_documents(docs)
 
 
