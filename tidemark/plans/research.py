@@ -40,7 +40,10 @@ def context_series(t: Tables) -> DataFrame:
     return out.select("key", "day", *(r6(c).alias(c) for c in ("zscore_20", "change_5", "pct_change_5", "slope_5")))
 
 
-@query()
+@query(f"""WITH {TYPE_BARS}, w AS (SELECT key, day, close AS x, list(close) OVER (PARTITION BY key ORDER BY day ROWS 19 PRECEDING) AS l, list(close) OVER (PARTITION BY key ORDER BY day ROWS 4 PRECEDING) AS f, lag(close, 5) OVER (PARTITION BY key ORDER BY day) AS b5, lag(close, 20) OVER (PARTITION BY key ORDER BY day) AS b20 FROM bars),
+    s AS (SELECT day, coalesce(CASE WHEN list_stddev_pop(l) > 1e-12 AND abs((x - list_avg(l)) / list_stddev_pop(l)) > 1e-12 THEN (x - list_avg(l)) / list_stddev_pop(l) END, CASE WHEN abs(x / b20 - 1) > 1e-12 THEN x / b20 - 1 END, CASE WHEN abs(x / b5 - 1) > 1e-12 THEN x / b5 - 1 END,
+          CASE WHEN len(f) > 1 AND abs((x - f[1]) / (len(f) - 1)) > 1e-12 THEN (x - f[1]) / (len(f) - 1) END, len(list_filter(l, lambda v: v <= x)) / len(l) - 0.5) AS say FROM w), g AS (SELECT day, avg(CASE WHEN say > 1e-12 THEN 1 WHEN say < -1e-12 THEN -1 ELSE 0 END) AS score FROM s GROUP BY 1)
+    SELECT day, round(score, 6) AS score, CASE WHEN score > 0.2 THEN 'RISK_ON' WHEN score < -0.2 THEN 'RISK_OFF' ELSE 'NEUTRAL' END AS regime FROM g""")
 def regime_states(t: Tables) -> DataFrame:
     context = S.context_features(_bars(t, "event_type").select("key", "day", F.col("close").alias("value")))
     return S.regime(context).select("day", r6("score").alias("score"), "regime")
@@ -120,10 +123,10 @@ def quote_policy(t: Tables) -> DataFrame:
     return S.quote_policy(d).select("as_of", "q", "gap", "size", r6("utility").alias("utility"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"""WITH {TYPE_BARS}, n AS (SELECT *, row_number() OVER w - 1 AS i, lag(close, 20) OVER w AS c20, lag(close, 5) OVER w AS c5, max(high) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS top FROM bars WINDOW w AS (PARTITION BY key ORDER BY day))
-    SELECT key, day, round(CASE WHEN i >= 20 THEN close / c20 - 1 ELSE 0 END, 6) AS momentum_20d, round(CASE WHEN i >= 5 THEN -(close / c5 - 1) ELSE 0 END, 6) AS reversal_5d, CASE WHEN i >= 20 AND close > top THEN 1.0 ELSE 0.0 END::DOUBLE AS breakout, round((i * 17) % 100 / 100.0 - 0.5, 6)::DOUBLE AS random_ranking FROM n""")
+@query(f"""WITH {TYPE_BARS}, n AS (SELECT *, row_number() OVER w - 1 AS i, lag(close, 20) OVER w AS c20, lag(close, 5) OVER w AS c5, max(high) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS top, sum(greatest(move, 0)) OVER (PARTITION BY key ORDER BY day ROWS 13 PRECEDING) AS gain, sum(greatest(-move, 0)) OVER (PARTITION BY key ORDER BY day ROWS 13 PRECEDING) AS loss FROM (SELECT *, close - lag(close) OVER (PARTITION BY key ORDER BY day) AS move FROM bars) WINDOW w AS (PARTITION BY key ORDER BY day))
+    SELECT key, day, round(CASE WHEN i >= 20 THEN close / c20 - 1 ELSE 0 END, 6) AS momentum_20d, round(CASE WHEN i >= 5 THEN -(close / c5 - 1) ELSE 0 END, 6) AS reversal_5d, CASE WHEN i >= 20 AND close > top THEN 1.0 ELSE 0.0 END::DOUBLE AS breakout, round(CASE WHEN i >= 14 THEN (50 - (100 - 100 / (1 + gain / 14 / greatest(loss / 14, 1e-12)))) / 50 ELSE 0 END, 6) AS rsi, round((i * 17) % 100 / 100.0 - 0.5, 6)::DOUBLE AS random_ranking FROM n""")
 def baseline_signals(t: Tables) -> DataFrame:
-    return S.baseline_signals(_bars(t, "event_type")).select("key", "day", r6("momentum_20d").alias("momentum_20d"), r6("reversal_5d").alias("reversal_5d"), "breakout", r6("random_ranking").alias("random_ranking"))
+    return S.baseline_signals(_bars(t, "event_type")).select("key", "day", r6("momentum_20d").alias("momentum_20d"), r6("reversal_5d").alias("reversal_5d"), "breakout", r6("rsi").alias("rsi"), r6("random_ranking").alias("random_ranking"))
 
 
 def _paths(t: Tables) -> DataFrame:

@@ -67,9 +67,16 @@ def ema_pair(t: Tables) -> DataFrame:
     return out.select("key", "day", r6("ema_12").alias("ema_12"), r6("ema_26").alias("ema_26"))
 
 
-@query()
+def _ewm_of(x: str, span: int, a: str = "a", b: str = "b") -> str:
+    decay = 1 - 2.0 / (span + 1)
+    return f"CASE WHEN count({b}.{x}) >= {span} THEN sum({b}.{x} * pow({decay!r}, {a}.n - {b}.n)) / sum(pow({decay!r}, {a}.n - {b}.n)) FILTER ({b}.{x} IS NOT NULL) END"
+
+
+@query(f"""WITH {TYPE_BARS}, r AS (SELECT *, row_number() OVER w AS n, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM bars WINDOW w AS (PARTITION BY key ORDER BY day)),
+    m AS (SELECT a.key, a.day, a.n, {_ewm_of('close', 12)} - {_ewm_of('close', 26)} AS macd, {_ewm_of('tr', 14)} AS atr FROM r a JOIN r b ON a.key = b.key AND b.n <= a.n GROUP BY a.key, a.day, a.n)
+    SELECT a.key, a.day, round(any_value(a.macd), 6) AS macd, round({_ewm_of('macd', 9)}, 6) AS macd_signal, round(any_value(a.atr), 6) AS atr FROM m a JOIN m b ON a.key = b.key AND b.n <= a.n GROUP BY a.key, a.day""")
 def macd_atr(t: Tables) -> DataFrame:
-    """MACD, its signal line and exponential ATR (held against pandas in the tests)."""
+    """MACD, its signal line and exponential ATR (held against pandas in the tests as well)."""
     out = W.indicators(_bars(t, "event_type"))
     return out.select("key", "day", *(r6(c).alias(c) for c in ("macd", "macd_signal", "atr")))
 
@@ -136,11 +143,20 @@ def first_touch_label(t: Tables) -> DataFrame:
     return out.select("key", "day", "path_label", F.col("buy.target_day").alias("target_day"), F.col("buy.stop_day").alias("stop_day"), r6("buy.horizon_return").alias("gross"))
 
 
-@query()
+OUTCOMES = f"""WITH {BARS}, f AS (SELECT key, day, lead(open) OVER (PARTITION BY key ORDER BY day) AS e, coalesce(list(high) OVER w, []) AS hi, coalesce(list(low) OVER w, []) AS lo, coalesce(list(close) OVER w, []) AS cl FROM bars WINDOW w AS (PARTITION BY key ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+    x AS (SELECT *, nullif(list_position(list_transform(hi, lambda v: v >= e * (1 + 0.04)), TRUE), 0) AS bt, nullif(list_position(list_transform(lo, lambda v: v <= e * (1 - 0.03)), TRUE), 0) AS bs, nullif(list_position(list_transform(lo, lambda v: v <= e * (1 - 0.04)), TRUE), 0) AS st, nullif(list_position(list_transform(hi, lambda v: v >= e * (1 + 0.03)), TRUE), 0) AS ss,
+          len(list_filter(range(1, len(hi) + 1), lambda i: hi[i] >= e * (1 + 0.04) AND lo[i] <= e * (1 - 0.03) OR lo[i] <= e * (1 - 0.04) AND hi[i] >= e * (1 + 0.03))) > 0 AS two, cl[-1] / e - 1 AS g, greatest(0, list_max(hi) / e - 1) AS best, least(0, list_min(lo) / e - 1) AS worst, list_max(hi) / e - 1 AS top, list_min(lo) / e - 1 AS bottom FROM f WHERE e > 0),
+    y AS (SELECT *, CASE WHEN two AND bt IS NOT NULL AND bt = bs THEN 'AMBIGUOUS' WHEN coalesce(bt, 99) < coalesce(bs, 99) THEN 'UP_FIRST' WHEN coalesce(bs, 99) < coalesce(bt, 99) THEN 'DOWN_FIRST' WHEN abs(g) <= 0.005 THEN 'FLAT' WHEN g > 0 THEN 'HORIZON_UP' ELSE 'HORIZON_DOWN' END AS bl,
+          CASE WHEN two AND st IS NOT NULL AND st = ss THEN 'AMBIGUOUS' WHEN coalesce(st, 99) < coalesce(ss, 99) THEN 'UP_FIRST' WHEN coalesce(ss, 99) < coalesce(st, 99) THEN 'DOWN_FIRST' WHEN abs(g) <= 0.005 THEN 'FLAT' WHEN -g > 0 THEN 'HORIZON_UP' ELSE 'HORIZON_DOWN' END AS sl FROM x),
+    z AS (SELECT *, CASE WHEN bl IN ('UP_FIRST', 'AMBIGUOUS') THEN bt WHEN bl = 'DOWN_FIRST' THEN bs END AS days FROM y)"""
+
+
+@query(f"""{OUTCOMES} SELECT key, day, CASE WHEN two THEN 'AMBIGUOUS' ELSE bl END AS path_label, round(greatest(0, least(1, 0.35::DOUBLE / (1 + exp(-8 * g)) + 0.25::DOUBLE / (1 + exp(-6 * g)) + 0.2::DOUBLE * greatest(0, least(1, 0.6::DOUBLE * best + 0.4::DOUBLE * greatest(0, 1 + worst))) + 0.2::DOUBLE * CASE WHEN days IS NULL THEN 0 ELSE 1 - least(days - 1, 4) / 4.0::DOUBLE END)), 6) AS quality,
+    bl AS buy_label, round(greatest(-1, least(1, g)), 6) AS buy_after_cost, round(greatest(-1, least(1, worst)), 6) AS buy_mae, round(greatest(-1, least(1, best)), 6) AS buy_mfe, sl AS sell_label, round(greatest(-1, least(1, -g)), 6) AS sell_after_cost, round(greatest(-1, least(1, least(0, -top))), 6) AS sell_mae, round(greatest(-1, least(1, greatest(0, -bottom))), 6) AS sell_mfe FROM z""")
 def event_outcomes_both_sides(t: Tables) -> DataFrame:
     """Outcomes of buying and selling, with excursions, costs and quality (held against plain Python in the tests)."""
     out = K.event_outcomes(_bars(t))
-    return out.select("key", "day", "path_label", r6("quality").alias("quality"), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("buy", "sell") for c in ("label", "after_cost", "mae", "mfe")))
+    return out.select("key", "day", "path_label", r6("quality").alias("quality"), *((F.col(f"{s}.{c}") if c == "label" else r6(F.col(f"{s}.{c}"))).alias(f"{s}_{c}") for s in ("buy", "sell") for c in ("label", "after_cost", "mae", "mfe")))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY key) AS c, abs(close - lag(close) OVER w) AS d FROM bars WINDOW w AS (PARTITION BY key ORDER BY day)),
