@@ -174,16 +174,31 @@ def trend_v4(t: Tables) -> DataFrame:
     return K.trend_v4(_bars(t), "UP", 5, 0.05, 0.5).select("key", "day", "close", r6("change").alias("change"))
 
 
-@query()
+#: Both detectors; the second by recursion over each key's rows, carrying its recent changes, the change before and the last signal.
+TRENDS = f"""WITH RECURSIVE {BARS}, a AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY key) AS c, abs(close - lag(close) OVER w) AS d FROM bars WINDOW w AS (PARTITION BY key ORDER BY day)),
+    s AS (SELECT *, CASE WHEN count(d) OVER (PARTITION BY key ORDER BY day ROWS 6 PRECEDING) = 7 THEN avg(d) OVER (PARTITION BY key ORDER BY day ROWS 6 PRECEDING) END AS atr, (lag(close, 1) OVER w - lag(close, 3) OVER w) / 3 AS slope,
+          stddev_samp(close) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS sd, min(close) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS past,
+          max(close) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS hi, min(close) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS lo FROM a WINDOW w AS (PARTITION BY key ORDER BY day)),
+    one AS (SELECT key, day, close, (hi - close) / (close + 1e-9) AS change FROM s WHERE n > 3 AND n <= c - 5 AND close > 1e-9 AND slope <= 0 AND sd < atr AND (hi - close) / (close + 1e-9) >= 0.05 AND (close - past) / (close + 1e-9) <= 5.0),
+    x AS (SELECT key, day, close, n, (hi - close) / (close + 1e-12) AS ch, abs((lo - close) / (close + 1e-12)) AS ag, row_number() OVER (PARTITION BY key ORDER BY n) AS i FROM s WHERE n > 3 AND n <= c - 5 AND close > 1e-12 AND NOT coalesce(slope <= 0 AND sd < atr + 1e-12, FALSE)),
+    f AS (SELECT key, 0::BIGINT AS i, []::DOUBLE[] AS recent, NULL::DOUBLE AS before, NULL::BIGINT AS last, NULL::DOUBLE AS momentum, NULL::DATE AS day, NULL::DOUBLE AS close, NULL::DOUBLE AS ch FROM (SELECT DISTINCT key FROM x)
+          UNION ALL SELECT f.key, x.i, list_append(f.recent, x.ch)[-3:], CASE WHEN x.ch >= 0.05 AND x.ag <= 5.0 OR f.before IS NULL THEN x.ch ELSE f.before END,
+          CASE WHEN {{take}} THEN x.n ELSE f.last END, CASE WHEN {{take}} THEN {{gain}} END, x.day, x.close, x.ch FROM f JOIN x ON f.key = x.key AND x.i = f.i + 1),
+    two AS (SELECT key, day, close, ch AS change, momentum FROM f WHERE momentum IS NOT NULL)"""
+_GAIN = "CASE WHEN f.before IS NULL THEN 0.0 ELSE x.ch - f.before END"
+TRENDS = TRENDS.format(gain=_GAIN, take=f"x.ch >= 0.05 AND x.ag <= 5.0 AND {_GAIN} > 0.05 * 0.35 AND (len(f.recent) = 0 OR x.ch > list_max(f.recent)) AND (f.last IS NULL OR x.n - f.last >= 2)")
+
+
+@query(f"{TRENDS} SELECT key, day, close, round(change, 6) AS change, round(momentum, 6) AS momentum FROM two")
 def trend_v2(t: Tables) -> DataFrame:
-    """Stateful continuation signals, one fold a key (held against plain Python in the tests)."""
-    return K.trend_v2(_bars(t), "UP", 3, 5, 0.05, 5.0, 1.0)
+    """Stateful continuation signals, one fold a key (held against plain Python in the tests as well)."""
+    return K.trend_v2(_bars(t), "UP", 3, 5, 0.05, 5.0, 1.0).select("key", "day", "close", r6("change").alias("change"), r6("momentum").alias("momentum"))
 
 
-@query()
+@query(f"""{TRENDS} SELECT key, day, close, round(change, 6) AS change, 1 AS detector FROM one UNION ALL SELECT key, day, close, round(change, 6), 2 FROM two WHERE (key, day) NOT IN (SELECT (key, day) FROM one)""")
 def trend_v3(t: Tables) -> DataFrame:
     """Signals of the first and second detector, the first winning a shared date."""
-    return K.trend_v3(_bars(t), "UP", 3, 5, 0.05, 5.0, 1.0)
+    return K.trend_v3(_bars(t), "UP", 3, 5, 0.05, 5.0, 1.0).select("key", "day", "close", r6("change").alias("change"), "detector")
 
 
 @query(f"""WITH {TYPE_BARS}, r AS (SELECT key, day, coalesce(close / lag(close) OVER (PARTITION BY key ORDER BY day) - 1, 0) AS ret FROM bars), e AS (SELECT *, sum(ret) OVER (PARTITION BY key ORDER BY day) AS eq FROM r), p AS (SELECT key, eq, greatest(0, max(eq) OVER (PARTITION BY key ORDER BY day)) AS peak FROM e)
@@ -248,11 +263,18 @@ def ladders(t: Tables) -> DataFrame:
     return K.ladder(c, "US").unionByName(K.ladder(c, "US", side="SELL"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT c_mktsegment AS batch, c_custkey AS id, abs(c_acctbal) / 40 + 1 AS price, (c_custkey % 10) / 10.0::DOUBLE AS signal, count(*) OVER (PARTITION BY c_mktsegment) AS size FROM customer),
+    l AS (SELECT *, least(40000.0::DOUBLE / size, 5000.0::DOUBLE) AS cap, 2 * (floor(CAST(price * (1 - greatest(0.012::DOUBLE, 0.4::DOUBLE * 0.03::DOUBLE)) AS DECIMAL(28,14)) / 0.01 + 0.5) * 0.01)::DOUBLE AS required FROM c WHERE price > 0 AND signal > 0),
+    p AS (SELECT *, signal / greatest(price * 0.03::DOUBLE, 1e-9) * sqrt(least(1, cap / greatest(required, 1e-9))) AS priority, least(required, cap) AS need FROM l),
+    k AS (SELECT * FROM (SELECT *, sum(need) OVER (PARTITION BY batch ORDER BY price, id ROWS UNBOUNDED PRECEDING) AS running FROM p) WHERE running <= 20000 AND need > 0),
+    o AS (SELECT *, sum(priority) OVER (PARTITION BY batch) AS total, 20000 - sum(need) OVER (PARTITION BY batch) AS rest0, row_number() OVER (PARTITION BY batch ORDER BY priority DESC, price, id) AS i FROM k),
+    f AS (SELECT batch, 0::BIGINT AS i, max(rest0) AS rest, NULL::BIGINT AS id, 0.0::DOUBLE AS budget FROM o GROUP BY batch
+          UNION ALL SELECT f.batch, o.i, f.rest - greatest(0, least(o.cap - o.need, f.rest * o.priority / o.total)), o.id, o.need + greatest(0, least(o.cap - o.need, f.rest * o.priority / o.total)) FROM f JOIN o ON f.batch = o.batch AND o.i = f.i + 1)
+    SELECT batch, id, round(budget, 4) AS budget FROM f WHERE id IS NOT NULL""")
 def budget_allocation(t: Tables) -> DataFrame:
     """Two-pass budgets of each segment's candidates."""
     c = t.customer.select(F.col("c_mktsegment").alias("batch"), F.col("c_custkey").alias("id"), (F.abs("c_acctbal") / 40 + 1).alias("price"), F.lit(0.03).alias("atr_pct"), (F.pmod(F.col("c_custkey"), F.lit(10)) / 10.0).alias("signal"))
-    return K.allocate(c, 20_000.0)
+    return K.allocate(c, 20_000.0).select("batch", "id", r6("budget", 4).alias("budget"))
 
 
 @query()
