@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -403,30 +403,54 @@ def allocate(c: DataFrame, cash: float, soft: float = 2.0, weight: float = 0.25,
     return ordered.mapInPandas(second, f"batch {kinds['batch']}, id {kinds['id']}, budget double")
 
 
-def select_portfolio(c: DataFrame, capital: float, top: int = 5, per_sector: int = 2, per_group: int = 1, turnover: int = 5, risk: float = 0.95, least_ev: float = 0.0) -> DataFrame:
-    """Decisions on each day's candidates in order of utility; a refused one keeps the first reason that holds."""
-    utility = F.col("policy_utility") + 0.35 * F.col("ev") + 0.10 * F.col("confidence") - 0.50 * F.col("uncertainty")
-    c = c.withColumn("utility", utility).withColumn("group", F.concat_ws(":", "side", "sector"))
-    c = c.withColumn("wish", capital * risk / top * clip(F.when(F.col("no_trade"), 0.0).otherwise(F.col("size")), 0, 2) * clip(1 + F.col("utility"), 0.25, 1.5))
-    kinds = dict(c.dtypes)
+def select_portfolio(
+    c: DataFrame, capital: float, top: int = 5, per_sector: int = 2, per_group: int = 1, turnover: int = 5, risk: float = 0.95, least_ev: float = 0.0, cash: float | None = None, reserved: float = 0.0
+) -> DataFrame:
+    """Decisions on each day's candidates in order of utility; a refused one keeps the first reason that holds.
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["utility", "ev", "confidence", "id"], ascending=[False, False, False, True])
-        sectors, groups, names, spent, out = {}, {}, 0, 0.0, []
-        for r in df.itertuples():
-            budget = min(r.wish, max(0.0, capital - spent))
-            reasons = (
-                ("already_open", r.held), ("quote_policy_no_trade", r.no_trade), ("below_ev_threshold", r.ev < least_ev), ("sector_cap", sectors.get(r.sector, 0) >= per_sector),
-                ("correlated_cap", groups.get(r.group, 0) >= per_group), ("turnover_budget", names >= turnover), ("top_n_limit", names >= top), ("capital_reserved", budget <= 0),
-            )
-            why = next((name for name, holds in reasons if holds), None)
-            if why is None:
-                sectors[r.sector], groups[r.group] = sectors.get(r.sector, 0) + 1, groups.get(r.group, 0) + 1
-                names, spent = names + 1, spent + budget
-            out.append((r.day, r.id, why is None, why, budget if why is None else 0.0))
-        return pd.DataFrame(out, columns=["day", "id", "selected", "reason", "budget"])
-
-    return c.groupBy("day").applyInPandas(fold, f"day date, id {kinds['id']}, selected boolean, reason string, budget double")
+    Ids are unique on a day; ``overlap``, if there, lowers the utility. Limits only ever fill up, so of a side and sector
+    no more than its first ``per_group`` candidates that nothing of their own speaks against can be taken: these few pass by
+    in order, and the reasons of all follow from running counts of what was taken before.
+    """
+    # fixed values: weights of the utility
+    utility = F.col("policy_utility") + 0.35 * F.col("ev") + 0.10 * F.col("confidence") - 0.50 * F.col("uncertainty")
+    if "overlap" in c.columns:
+        utility = utility - 0.25 * F.coalesce("overlap", F.lit(0.0))
+    capital = capital if cash is None else max(0.0, min(capital, cash - reserved))
+    share = capital * risk / top
+    size = clip(F.when(F.col("no_trade"), 0.0).otherwise(F.col("size")), 0, 2)
+    c = c.withColumn("utility", utility).withColumns({"group": F.concat_ws(":", "side", "sector"), "wish": share * size * clip(1 + F.col("utility"), 0.25, 1.5)})
+    order = [F.desc("utility"), F.desc("ev"), F.desc("confidence"), F.col("id")]
+    c = c.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(*order)))
+    own = F.when(F.col("held"), "already_open").when(F.col("no_trade"), "quote_policy_no_trade").when(F.col("ev") < least_ev, "below_ev_threshold")
+    c = c.withColumn("own", own)
+    first = F.row_number().over(Window.partitionBy("day", "group").orderBy("place"))
+    few = c.where("own IS NULL AND wish > 0").withColumn("n", first).where(F.col("n") <= per_group).select("day", "place", "sector", "wish")
+
+    def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        day, names, left, sectors = None, 0, capital, Counter()
+        for df in frames:
+            out = []
+            for r in df.itertuples(index=False):
+                if r.day != day:
+                    day, names, left, sectors = r.day, 0, capital, Counter()
+                if sectors[r.sector] < per_sector and names < min(turnover, top) and left > 0:
+                    budget = min(r.wish, left)
+                    out.append((r.day, r.place, budget))
+                    sectors[r.sector] += 1
+                    names, left = names + 1, left - budget
+            yield pd.DataFrame(out, columns=["day", "place", "taken"])
+
+    # sorted rows pass by, so a task holds what one day has left and not its rows
+    taken = few.repartition("day").sortWithinPartitions("day", "place").mapInPandas(take, "day date, place int, taken double")
+    both = c.join(taken, ["day", "place"], "left").withColumns({"one": F.col("taken").isNotNull().cast("int"), "budget": F.coalesce("taken", F.lit(0.0))})
+    before = lambda x, *keys: F.coalesce(F.sum(x).over(Window.partitionBy("day", *keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.least(F.col("wish"), F.greatest(F.lit(0.0), capital - before("budget")))
+    why = (
+        F.when(F.col("own").isNotNull(), F.col("own")).when(before("one", "sector") >= per_sector, "sector_cap").when(before("one", "group") >= per_group, "correlated_cap")
+        .when(before("one") >= turnover, "turnover_budget").when(before("one") >= top, "top_n_limit").when(room <= 0, "capital_reserved")
+    )
+    return both.select("day", "id", (F.col("one") == 1).alias("selected"), why.alias("reason"), "budget")
 
 
 def simulate_fills(legs: DataFrame, bars: DataFrame, days: int = 30, part: float = 0.5, slippage_bps: float = 0.0, cap: bool = True) -> DataFrame:

@@ -277,14 +277,22 @@ def budget_allocation(t: Tables) -> DataFrame:
     return K.allocate(c, 20_000.0).select("batch", "id", r6("budget", 4).alias("budget"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey AS id, 'S' || (o_custkey % 7) AS sector, CASE WHEN o_orderkey % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, o_totalprice / 1e6 - 0.05::DOUBLE AS ev, (o_orderkey % 10) / 10.0::DOUBLE AS conf, (o_orderkey % 4) / 10.0::DOUBLE AS overlap, o_orderkey % 13 = 0 AS held FROM orders),
+    u AS (SELECT *, 0.5::DOUBLE + 0.35::DOUBLE * ev + 0.1::DOUBLE * conf - 0.5::DOUBLE * 0.1::DOUBLE - 0.25::DOUBLE * overlap AS utility FROM c), o AS (SELECT *, 90000.0::DOUBLE * 0.95 / 5 * greatest(0.25, least(1.5, 1 + utility)) AS wish, row_number() OVER (PARTITION BY day ORDER BY utility DESC, ev DESC, conf DESC, id) AS i FROM u),
+    f AS (SELECT day, 0::BIGINT AS i, []::VARCHAR[] AS secs, []::VARCHAR[] AS grps, 0.0::DOUBLE AS spent, NULL::BIGINT AS id, NULL::VARCHAR AS reason, 0.0::DOUBLE AS budget FROM o GROUP BY day
+          UNION ALL SELECT day, i, CASE WHEN reason IS NULL THEN list_append(secs, sector) ELSE secs END, CASE WHEN reason IS NULL THEN list_append(grps, side || sector) ELSE grps END, CASE WHEN reason IS NULL THEN spent + b ELSE spent END, id, reason, CASE WHEN reason IS NULL THEN b ELSE 0 END
+          FROM (SELECT f.day, o.i, f.secs, f.grps, f.spent, o.id, o.sector, o.side, least(o.wish, greatest(0, 90000 - f.spent)) AS b, CASE WHEN o.held THEN 'already_open' WHEN o.ev < 0 THEN 'below_ev_threshold' WHEN len(list_filter(f.secs, lambda x: x = o.sector)) >= 2 THEN 'sector_cap'
+                WHEN list_contains(f.grps, o.side || o.sector) THEN 'correlated_cap' WHEN len(f.secs) >= 5 THEN 'turnover_budget' WHEN least(o.wish, greatest(0, 90000 - f.spent)) <= 0 THEN 'capital_reserved' END AS reason FROM f JOIN o ON f.day = o.day AND o.i = f.i + 1))
+    SELECT day, id, reason IS NULL AS selected, reason, round(budget, 4) AS budget FROM f WHERE id IS NOT NULL""")
 def portfolio_greedy(t: Tables) -> DataFrame:
-    """Greedy selection under sector, correlation and capital limits, a fold for each decision date."""
+    """Greedy selection under sector, correlation and capital limits on each decision date."""
+    k = F.col("o_orderkey")
     c = t.orders.select(
-        F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("id"), F.concat(F.lit("S"), F.pmod("o_custkey", F.lit(7)).cast("string")).alias("sector"), F.when(F.col("o_orderkey") % 3 == 0, "SELL").otherwise("BUY").alias("side"),
-        (F.col("o_totalprice") / 1e6 - 0.05).alias("ev"), F.lit(0.1).alias("uncertainty"), (F.pmod("o_orderkey", F.lit(10)) / 10.0).alias("confidence"), F.lit(0.5).alias("policy_utility"), F.lit(1.0).alias("size"), F.lit(False).alias("no_trade"), F.lit(False).alias("held"),
+        F.to_date("o_orderdate").alias("day"), k.alias("id"), F.concat(F.lit("S"), F.pmod("o_custkey", F.lit(7)).cast("string")).alias("sector"), F.when(k % 3 == 0, "SELL").otherwise("BUY").alias("side"),
+        (F.col("o_totalprice") / 1e6 - 0.05).alias("ev"), F.lit(0.1).alias("uncertainty"), (F.pmod("o_orderkey", F.lit(10)) / 10.0).alias("confidence"), F.lit(0.5).alias("policy_utility"), F.lit(1.0).alias("size"),
+        F.lit(False).alias("no_trade"), (k % 13 == 0).alias("held"), (k % 4 / 10.0).alias("overlap"),
     )
-    return K.select_portfolio(c, 100_000.0)
+    return K.select_portfolio(c, 100_000.0, cash=95_000.0, reserved=5_000.0).select("day", "id", "selected", "reason", r6("budget", 4).alias("budget"))
 
 
 @query()
