@@ -75,11 +75,18 @@ def fair_quota(df: DataFrame, source: str, order: Sequence[Column], total: int)
     return top_per(df, [source], order, max(1, total // max(sources, 1))).orderBy(*order).limit(total)
 
 
-def overlaps(df: DataFrame, key: str, row: str, start: str, stop: str) -> DataFrame:
-    """Pairs of rows of a key whose closed intervals overlap, the smaller row number first."""
-    a, b = (df.select(key, F.col(row).alias(f"{s}_{row}"), F.col(start).alias(f"{s}_start"), F.col(stop).alias(f"{s}_stop")) for s in ("a", "b"))
+def overlaps(df: DataFrame, key: str, row: str, start: str, stop: str, span: int = 7) -> DataFrame:
+    """Pairs of rows of a key whose closed intervals of days overlap, the smaller row number first.
+
+    Intervals are dealt to the spans of ``span`` days that they touch, so rows of a key meet only in these; a pair is kept
+    in the first span that both touch. Intervals that end before they begin overlap nothing.
+    """
+    place = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / span)
+    cut = df.withColumns({"__first": place(F.col(start)), "__last": place(F.col(stop))}).where(F.col(start) <= F.col(stop))
+    cut = cut.withColumn("__span", F.explode(F.sequence("__first", "__last")))
+    a, b = (cut.select(key, "__span", F.col(row).alias(f"{s}_{row}"), F.col(start).alias(f"{s}_start"), F.col(stop).alias(f"{s}_stop"), F.col("__first").alias(f"__{s}")) for s in ("a", "b"))
     hit = (F.col(f"a_{row}") < F.col(f"b_{row}")) & (F.col("a_start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("a_stop"))
-    return a.join(b, key).where(hit)
+    return a.join(b, [key, "__span"]).where(hit & (F.greatest("__a", "__b") == F.col("__span"))).drop("__span", "__a", "__b")
 
 
 def all_of(*predicates: Column | None) -> Column:

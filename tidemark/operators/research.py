@@ -90,14 +90,15 @@ def memory_asof(events: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def memory_scalers(events: DataFrame, dates: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Mean and deviation of every feature over each date's memory, from sums by end date run forward: one row a date."""
+    """Mean and deviation of every feature over each date's memory, and its last end date, from sums by end date run forward: one row a date."""
     sums = [f(F.coalesce(F.col(c), F.lit(0.0))).alias(f"{n}_{c}") for c in features for n, f in (("s", F.sum), ("q", lambda x: F.sum(x * x)))]
     daily = events.groupBy("end_day").agg(F.count("*").alias("n"), *sums)
     rows = daily.withColumn("as_of", F.lit(None).cast("date")).unionByName(dates.select("as_of", F.col("as_of").alias("end_day")), allowMissingColumns=True)
     before = Window.orderBy("end_day").rangeBetween(Window.unboundedPreceding, -1)  # a row a day
     run = lambda c: F.sum(c).over(before)
     rows = rows.withColumn("end_day", F.datediff("end_day", F.lit("1970-01-01").cast("date")))
-    out = rows.select("as_of", run("n").alias("n"), *(run(f"{k}_{c}").alias(f"{k}_{c}") for c in features for k in "sq")).where("as_of IS NOT NULL AND n > 0")
+    last = F.date_add(F.lit("1970-01-01").cast("date"), F.max(F.when(F.col("as_of").isNull(), F.col("end_day"))).over(before))
+    out = rows.select("as_of", run("n").alias("n"), last.alias("last_end"), *(run(f"{k}_{c}").alias(f"{k}_{c}") for c in features for k in "sq")).where("as_of IS NOT NULL AND n > 0")
     for c in features:
         mean = F.col(f"s_{c}") / F.col("n")
         out = out.withColumns({f"mean_{c}": mean, f"std_{c}": F.when(F.col("n") == 1, 1.0).otherwise(F.greatest(F.lit(1e-8), F.sqrt(F.greatest(F.col(f"q_{c}") / F.col("n") - mean * mean, F.lit(0.0)))))}).drop(f"s_{c}", f"q_{c}")
@@ -108,7 +109,7 @@ def embed(rows: DataFrame, scalers: DataFrame, features: Sequence[str]) -> DataF
     """Standardised features in sorted order as ``vector``; the scalers are joined by ``as_of``."""
     out = rows.join(scalers, "as_of")
     z = [F.when(F.col(f"std_{c}") <= 1e-12, 0.0).otherwise((F.coalesce(c, F.lit(0.0)) - F.col(f"mean_{c}")) / F.col(f"std_{c}")) for c in sorted(features)]
-    return out.withColumn("vector", F.array(*z)).drop("n", *(f"{k}_{c}" for c in features for k in ("mean", "std")))
+    return out.withColumn("vector", F.array(*z)).drop("n", "last_end", *(f"{k}_{c}" for c in features for k in ("mean", "std")))
 
 
 def prototypes(memory: DataFrame, least: float = 0.985, half_life: float = 90.0, min_support: int = 1, min_decayed: float = 0.0) -> DataFrame:

@@ -60,6 +60,24 @@ def buckets(df: DataFrame, score: str, tie: str, n: int) -> DataFrame:
     return ranged.withColumn("bucket", F.floor((place - 1) / size).cast("int")).drop("__part")
 
 
+def percent_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Share of the other rows with a smaller value, by counts of equal values in ranges whose offsets are summed; nulls have none.
+
+    No task sorts more than a range. A single row has 0.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    cuts = sorted(set(counts.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.001)))
+    ranged = counts.withColumn("__part", sum(((F.col(value) > c).cast("int") for c in cuts), F.lit(0)))
+    sizes = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.sum("__n").alias("n")).collect()}  # 64 rows at most
+    offsets, total = [], 0
+    for p in range(len(cuts) + 1):
+        offsets.append(total)
+        total += sizes.get(p, 0)
+    inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    smaller = inside + F.get(F.array(*map(F.lit, offsets)), F.col("__part"))
+    return df.join(ranged.select(value, (smaller / max(total - 1, 1)).alias(out)), value)
+
+
 def calibration_fit(df: DataFrame, score: str, target: str) -> DataFrame:
     """Slope (ten times the regression slope, from 0.1 to 10) and intercept on the log odds."""
     x, y = F.col(score), F.col(target).cast("double")

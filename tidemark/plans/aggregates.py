@@ -22,9 +22,9 @@ def group_counts(t: Tables) -> DataFrame:
 
 @query("""SELECT l_suppkey, round(percent_rank() OVER (ORDER BY round(avg(l_extendedprice), 4)), 6) AS rank FROM lineitem GROUP BY 1""")
 def percent_rank_turnover(t: Tables) -> DataFrame:
-    """Percent rank of group means; only one row a supplier reaches the ordered window."""
-    mean = t.lineitem.groupBy("l_suppkey").agg(F.round(F.avg("l_extendedprice"), 4).alias("m"))
-    return mean.select("l_suppkey", r6(F.percent_rank().over(Window.orderBy("m"))).alias("rank"))
+    """Percent rank of group means, without a window over all groups."""
+    mean = t.lineitem.groupBy("l_suppkey").agg(r6(F.avg("l_extendedprice"), 4).alias("m"))
+    return A.percent_ranks(mean, "m", "rank").select("l_suppkey", r6("rank").alias("rank"))
 
 
 @query("""SELECT user_id, round(count(DISTINCT CASE WHEN ts >= '2024-01-08' THEN event_id END) / 7.0, 6) AS heat FROM events WHERE ts < '2024-01-15' GROUP BY 1""")

@@ -82,8 +82,8 @@ def event_memory(t: Tables) -> DataFrame:
 
 
 def _memory(events: DataFrame, dates: DataFrame) -> DataFrame:
-    scalers = S.memory_scalers(events, dates, FEATURES).select("as_of", "n", r6("mean_ret_1").alias("mean_ret_1"), r6("std_ret_1").alias("std_ret_1"))
-    return scalers.join(S.memory_asof(events, dates).groupBy("as_of").agg((F.max("end_day") < F.col("as_of")).alias("leak_free")), "as_of")
+    scalers = S.memory_scalers(events, dates, FEATURES)
+    return scalers.select("as_of", "n", r6("mean_ret_1").alias("mean_ret_1"), r6("std_ret_1").alias("std_ret_1"), (F.col("last_end") < F.col("as_of")).alias("leak_free"))
 
 
 def _prototypes(t: Tables) -> tuple[DataFrame, DataFrame]:
