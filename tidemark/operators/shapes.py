@@ -34,8 +34,11 @@ def _centred(x: Column) -> Column:
 
 
 def ordinal_ranks(x: Column) -> Column:
-    """Place of each value in ascending order; equal values in order of appearance."""
-    ordered = F.array_sort(F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    """Place of each value in ascending order; values that are equal to twelve digits in order of appearance.
+
+    Differences of logarithms that are the same number come out a last bit apart, on each machine another one.
+    """
+    ordered = F.array_sort(F.transform(x, lambda v, i: F.struct(F.round(v * 1e12).alias("v"), i.alias("i"))))
     back = F.array_sort(F.transform(ordered, lambda p, rank: F.struct(p["i"].alias("i"), rank.alias("rank"))))
     return F.transform(back, lambda p: p["rank"].cast("double"))
 

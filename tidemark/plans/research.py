@@ -137,12 +137,61 @@ def _paths(t: Tables) -> DataFrame:
     return path.select("key", *(part(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
 
 
-@query()
+def _shape_sql() -> str:
+    """The shape vectors with list functions, one step a common table expression."""
+    each = lambda x, f: f"list_transform({x}, lambda t: {f})"
+    places = lambda n, f, i="i": f"list_transform(range(1, {n} + 1), lambda {i}: {f})"
+    steps = lambda x: places(f"len({x}) - 1", f"{x}[i + 1] - {x}[i]")
+    mean = lambda x: f"(list_sum({x}) / len({x}))"
+    both = lambda f: places("len(c)", f)
+    ranks = lambda x: places(f"len({x})", f"len(list_filter(range(1, len({x}) + 1), lambda j: round({x}[j] * 1e12) < round({x}[i] * 1e12) OR round({x}[j] * 1e12) = round({x}[i] * 1e12) AND j < i))::DOUBLE")
+
+    def corr(x: str, y: str) -> str:
+        dot = lambda p, q: f"list_sum({places(f'len({x})', f'({p}[i] - list_avg({p})) * ({q}[i] - list_avg({q}))')})"
+        return f"CASE WHEN len({x}) > 1 AND sqrt({dot(x, x)} * {dot(y, y)}) > 0 THEN {dot(x, y)} / sqrt({dot(x, x)} * {dot(y, y)}) ELSE 0 END"
+
+    def resampled(x: str) -> str:
+        at = f"(i - 1) * (len({x}) - 1) / 4.0"
+        return f"list_transform(range(1, 6), lambda i: {x}[floor({at})::INT + 1] + ({x}[least(floor({at})::INT + 1, len({x}) - 1) + 1] - {x}[floor({at})::INT + 1]) * ({at} - floor({at})))"
+
+    safe = "greatest(abs(c[i]), 1e-9)"
+    series = {
+        "moves": steps("lc"), "flows": steps("lv"), "body": steps("b0"), "up": steps("u0"), "down": steps("d0"), "rng": steps("r0"), "s1": steps("pc"), "s2": steps("pv"),
+        "s3": both(f"(c[i] - o[i]) / {safe}"), "s4": both(f"(h[i] - greatest(o[i], c[i])) / {safe}"), "s5": both(f"(least(o[i], c[i]) - l[i]) / {safe}"), "s6": both(f"(h[i] - l[i]) / {safe}"), "s7": both(f"list_avg(tr[greatest(i - 6, 1):i]) / {safe}"),
+    }
+    six = ("moves", "flows", "body", "up", "down", "rng")
+    spread = {f"sd_{x}": f"sqrt(list_sum({each(x, f'(t - {mean(x)}) * (t - {mean(x)})')}) / len({x}))" for x in six}
+    scaled = {f"z_{x}": each(x, f"CASE WHEN sd_{x} < 1e-8 THEN 0 ELSE greatest(-5, least(5, (t - {mean(x)}) / sd_{x})) END") for x in six}
+    ranked = {"k_moves": ranks("moves"), "k_flows": ranks("flows"), "k_body": ranks("ab"), "k_rng": ranks("rng"), "m1": "moves[1:len(moves) - 1]", "m2": "moves[2:len(moves)]"}
+    run = "list_max(list_transform(string_split(array_to_string(list_transform(moves, lambda t: CASE WHEN t > 0 THEN 'u' ELSE '.' END), ''), '.'), lambda t: len(t)))"
+    n = "len(moves)"
+    meta = [
+        f"sqrt(list_sum({each('moves', 't * t')}) / {n})", f"sqrt(list_sum({each('moves', 'least(t, 0) * least(t, 0)')}) / {n})", f"len(list_filter(moves, lambda t: t > 0)) / {n}", run, corr("m1", "m2"),
+        f"list_sum({places(n, f'(i - 1 - ({n} - 1) / 2.0) * moves[i]')}) / ({n} * ({n} * {n} - 1) / 12.0)", corr("k_moves", "k_flows"),
+    ]
+    more = [f"len(list_filter(range(1, len(body) + 1), lambda i: abs(body[i]) <= 0.1::DOUBLE * (rng[i] + 1e-9))) / len(body)", f"(list_sum({places('len(up)', 'up[i] - down[i]')}) / len(up))", corr("k_body", "k_rng")]
+    squash = lambda m: "[" + ", ".join(f"tanh(({x})::DOUBLE) * 0.5::DOUBLE" for x in m) + "]"
+    concat = lambda parts: "flatten([" + ", ".join(parts) + "])"
+    segments = lambda x: f"list_transform(range(0, 5), lambda i: list_avg({x}[floor(i * len({x}) / 5)::INT + 1:floor((i + 1) * len({x}) / 5)::INT]))"
+    named = lambda d: ", ".join(f"{e} AS {k}" for k, e in d.items())
+    kinds = {"v1": concat([resampled("z_moves"), resampled("z_flows"), squash(meta)]), "v2": concat([*(resampled(f"z_{x}") for x in six), squash(meta + more)]), "pre": concat([segments(f"s{i}") for i in range(1, 8)])}
+    rows = " UNION ALL ".join(f"SELECT key, '{k}' AS kind, unnest({x}) AS value, generate_subscripts({x}, 1) AS place FROM w" for k, x in (("v1", "v1"), ("v2", "v2"), ("premarket", "unit")))
+    return f"""WITH {BARS}, p AS (SELECT key, list(open ORDER BY day) AS o, list(high ORDER BY day) AS h, list(low ORDER BY day) AS l, list(close ORDER BY day) AS c, list(volume::DOUBLE ORDER BY day) AS v FROM bars GROUP BY 1 HAVING count(*) >= 12),
+    a AS (SELECT *, {each('c', 'ln(t + 1e-9)')} AS lc, {each('v', 'ln(t + 1)')} AS lv, {each('c', 'ln(greatest(t, 1e-9))')} AS pc, {each('v', 'ln(greatest(t, 1))')} AS pv, {both('(c[i] - o[i]) / (o[i] + 1e-9)')} AS b0, {both('(h[i] - greatest(o[i], c[i])) / (o[i] + 1e-9)')} AS u0,
+          {both('(least(o[i], c[i]) - l[i]) / (o[i] + 1e-9)')} AS d0, {both('(h[i] - l[i]) / (o[i] + 1e-9)')} AS r0, {both('greatest(h[i] - l[i], abs(h[i] - c[greatest(i - 1, 1)]), abs(l[i] - c[greatest(i - 1, 1)]))')} AS tr FROM p),
+    s AS (SELECT key, {named(series)} FROM a), d AS (SELECT *, {named(spread)}, {each('body', 'abs(t)')} AS ab FROM s), z AS (SELECT *, {named(scaled | ranked)} FROM d), k AS (SELECT key, {named(kinds)} FROM z),
+    w AS (SELECT *, list_transform(pre, lambda t: (t / sqrt(list_sum(list_transform(pre, lambda x: x * x))))::FLOAT::DOUBLE) AS unit FROM k), r AS ({rows})
+    SELECT key, kind, CAST(place AS INT) AS place, round(value, 5) + 0.0::DOUBLE AS value FROM r"""
+
+
+@query(_shape_sql())
 def shape_vectors(t: Tables) -> DataFrame:
-    """Three kinds of shape vector of each key's path (held against NumPy in the tests)."""
+    """Three kinds of shape vector of each key's path, one row a component (held against NumPy in the tests as well)."""
     o, h, low, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-    rounded = lambda x: F.transform(x, lambda z: F.round(z.cast("double"), 5))
-    return _paths(t).select("key", rounded(H.shape_v1(c, v)).alias("v1"), rounded(H.shape_v2(o, h, low, c, v)).alias("v2"), rounded(H.premarket_shape(o, h, low, c, v, 5)).alias("premarket"))
+    made = {"v1": H.shape_v1(c, v), "v2": H.shape_v2(o, h, low, c, v), "premarket": H.premarket_shape(o, h, low, c, v, 5).cast("array<double>")}
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("vector")) for k, x in made.items()))
+    rows = _paths(t).select("key", F.explode_outer(kinds).alias("k")).select("key", "k.kind", F.posexplode_outer("k.vector").alias("place", "value"))
+    return rows.select("key", "kind", (F.col("place") + 1).alias("place"), r6("value", 5).alias("value"))
 
 
 @query("""
