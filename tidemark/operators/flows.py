@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as V
-from ..functions.scalars import clip
 from .relational import top_per
 
 
@@ -94,6 +93,7 @@ def fold_objective(folds: DataFrame, spread: float = 0.5) -> DataFrame:
 
 def coverage_score(zero_share: Column, filled_share: Column, macro_share: Column, own_proxy: Column) -> Column:
     """From 1 down: features that are zero by default, filled by zero, missing macro series, and a sector without other members."""
+    # fixed values: the weights
     return F.greatest(F.lit(0.0), 1 - (0.35 * zero_share + 0.35 * filled_share + 0.20 * (1 - macro_share) + F.when(own_proxy, 0.25).otherwise(0.0)))
 
 
@@ -140,6 +140,3 @@ def audit(rows: DataFrame, text: str, large: int) -> DataFrame:
     size = F.coalesce(F.octet_length(text), F.lit(0))
     return rows.withColumn("bytes", size.cast("long")).withColumn("advice", F.when(size == 0, "drop").when(size > large, "prune").otherwise("keep"))
 
-
-def drawdown_penalty(fall: Column, allowed: float) -> Column:
-    return clip(fall - allowed, 0, 1e12)

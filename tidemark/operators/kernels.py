@@ -291,6 +291,7 @@ def first_leg(s: Column, price: Column, market: str, side: str, tuning: LadderTu
     It falls with the signal's strength, leans on the gain so far, and gives way to what the target's label says about
     the first days (``adverse``: their mean excursion) and to a standing recommendation (``wanted``).
     """
+    # fixed values: the coefficients of pull, eagerness and adverse moves
     t, sell = tuning, side == "SELL"
     sign, step = (1 if sell else -1), tick_size(price, market) / price
     pull = 0.8 + (s + 1) * 0.8 if sell else 2.4 - (s + 1) * 0.8

@@ -140,6 +140,7 @@ def prototypes(memory: DataFrame, least: float = 0.985, half_life: float = 90.0,
 
 def candidate_scores(queries: DataFrame, pool: DataFrame, side: str = "buy", weights: dict[str, float] | None = None) -> DataFrame:
     """Linear blend of similarity, quality, matches and history for each query (``as_of, q, qv, q_regime, q_sector``) and prototype of its date."""
+    # fixed values: the weights of the blend
     w = {"similarity": 0.35, "quality": 0.15, "regime": 0.10, "sector": 0.10, "liquidity": 0.05, "support": 0.10, "mean": 0.10, "win_rate": 0.03, "uncertainty": 0.02} | (weights or {})
     both = queries.join(pool, "as_of").withColumn("similarity", V.cosine(F.col("qv"), F.col("vector")))
     same = lambda c: (F.col(f"q_{c}") == F.col(c)).cast("double")
@@ -156,6 +157,7 @@ def distribution(queries: DataFrame, pool: DataFrame, side: str, top: int = 5, t
     b = queries.join(pool, "as_of").withColumn("similarity", F.greatest(F.lit(0.0), V.cosine(F.col("qv"), F.col("vector"))))
     match = lambda c: F.coalesce((F.col(f"q_{c}") == F.col(c)).cast("double"), F.lit(0.0))
     b = b.withColumns({"same_regime": match("regime"), "same": F.greatest(match("regime"), match("sector"))})
+    # fixed values: the shares of support, freshness and likeness in a weight
     weight = F.exp(temperature * (F.col("similarity") - 1)) * (0.45 + 0.30 * F.least(F.lit(1.0), F.col("decayed") / 5) + 0.25 / (1 + F.greatest(F.lit(0.0), F.col("freshness")) / 30)) * (0.40 + 0.60 * F.col("same"))
     ret = (
         x("p_target") * F.greatest(x("q90"), F.lit(0.0)) + x("p_flat") * x("q50") + x("p_up") * F.greatest(x("mean"), F.lit(0.0)) - x("p_stop") * F.abs(F.least(x("q10"), F.lit(0.0))) - x("p_down") * F.abs(F.least(x("mean"), F.lit(0.0)))
@@ -181,6 +183,7 @@ def distribution(queries: DataFrame, pool: DataFrame, side: str, top: int = 5, t
 def gate_reasons(ess: bool = True, lower: bool = True, surface: bool = True) -> Column:
     """Reasons against a side. The switches for effective size and lower bound are separate, as each caller has its own."""
     c = F.col
+    # fixed values: names of the reasons and their thresholds
     checks = [("low_ess" if surface else "low_neff", (c("n_eff") < 1.5) if ess else None), ("high_uncertainty", c("uncertainty") > 0.08), ("wide_interval", (c("q90") - c("q10") > 0.08) if surface else None), ("regime_mismatch", c("regime_alignment") < 0.5),
               ("lower_bound_non_positive", (c("lower") <= 0) if lower else None), ("low_ev", c("utility") < 0.005), ("high_ambiguous_share", (c("p_ambiguous") >= 0.30) if surface else None), ("high_no_trade_share", (c("p_no_trade") >= 0.30) if surface else None)]
     return F.array_compact(F.array(*(F.when(p, name) for name, p in checks if p is not None)))
@@ -201,6 +204,7 @@ def decisions(buy: DataFrame, sell: DataFrame, margin: float = 0.05, feasible: b
     return b.select("as_of", "q", F.when(F.size(why) > 0, "ABSTAIN").otherwise(better).alias("side"), why.alias("reasons"))
 
 
+#: The grid of gaps and sizes.
 GAPS, SIZES = (0.002, 0.004, 0.006, 0.010, 0.015, 0.020, 0.030, 0.040, 0.050), (0.25, 0.50, 0.75, 1.00, 1.25, 1.50, 2.00)
 
 
@@ -208,6 +212,7 @@ def quote_policy(rows: DataFrame) -> DataFrame:
     """Best gap and size of a grid for each row (``q10, q50, q90, mae, mfe, atr_pct, uncertainty, n_eff, fill_proxy, cost, ev``)."""
     c = F.col
 
+    # fixed values: the coefficients of fill, utility and bound
     def cell(gap: float, size: float) -> Column:
         fill = clip(c("fill_proxy") / (1 + 1.6 * (gap / F.greatest(c("atr_pct"), F.lit(0.002)))) * (1 - 0.35 * F.least(c("uncertainty"), F.lit(0.8))), 0.01, 0.99)
         late = 0.35 * F.greatest(F.lit(0.0), gap - F.greatest(c("mfe") * 0.35, F.lit(0.0)))
