@@ -4,10 +4,10 @@ Many voters look at a text: one for each word of an insult lexicon, patterns of
 words and word beginnings that labelled training texts of the toxic class share (so other languages get voters too).
 A generative label model takes the rates at which voters fire, alone and in pairs, over all training texts: the
 covariance of two independent voters is p(1-p) times the product of their leanings, so each triple of voters gives
-their leanings, and pairs that these can't explain are taken as correlated and share their weight. Its posterior
-labels, and nothing else, train a linear classifier over the mined words and the voters on a bounded sample of all
-training texts. Given labels serve three ends only: the share of toxic texts, the mining of voters on three quarters of
-the labelled texts, and the scale of the classifier's log odds on the other quarter, which mining has not seen.
+their leanings, and pairs that these can't explain are taken as correlated and share their weight. A given label is
+one more voter, right in 49 of 50 cases, that abstains where there is none. The posterior labels of the labelled texts
+train a linear classifier over the mined words and the voters, which scores every text; its log odds are scaled to the
+given labels of the same texts. Texts of the held-out fold take part in none of this.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ DISGUISE = re.compile(r"[a-z][013457@$*!]+[a-z]")
 SPACED = re.compile(r"\b(?:[a-z] ){3,}[a-z]\b")
 LEET = str.maketrans("013457@$!", "oieastasi")
 MAX_LABELLED = 20_000
-MAX_FITTED = 20_000
 MAX_MINED = 2_048
-RIDGE = 0.0025
+#: Odds of a given label to be right, as a voter.
+GIVEN_ODDS = 49.0
 GROUPS = 8
 VOTERS = len(LEXICON) + 4 + 3 * GROUPS
 
@@ -90,7 +90,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         keys = [*(tallies[0].keys() | tallies[1].keys())]
         return pa.record_batch(
-            [pa.array([k for k, _ in keys], pa.int32()), pa.array([w for _, w in keys]), *(pa.array([t[k] for k in keys], pa.int64()) for t in tallies)], ["kind", "stem", "clean", "toxic"]
+            [pa.array([k for k, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.string()), *(pa.array([t[k] for k in keys], pa.int64()) for t in tallies)], ["kind", "stem", "clean", "toxic"]
         )
 
     for batch in batches:
@@ -181,7 +181,7 @@ def _design(fired: list[list[int]], mined: list[list[int]], n_mined: int) -> tup
     return rows, np.concatenate(cols) if cols else np.zeros(0, np.int64)
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, width: int, ridge: float = RIDGE, rounds: int = 400) -> np.ndarray:
+def fit_linear(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, width: int, ridge: float, rounds: int = 400) -> np.ndarray:
     """Logistic regression on soft labels by Adam over all rows, the mean loss with a ridge; the last weight is the bias."""
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     n = max(len(target), 1)
@@ -245,15 +245,13 @@ def _read(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, list, list]:
     return np.array(got["toxic"], float), got["fired"], got["mined"]
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, held_remainder: int = 0, max_labelled: int = MAX_LABELLED, max_mined: int = MAX_MINED, max_fitted: int = MAX_FITTED
-) -> Classifier:
-    """Mine voters on at most ``max_labelled`` labelled training rows, and fit on at most ``max_fitted`` training rows.
+def train(docs: DataFrame, labels: DataFrame, held_remainder: int = 0, max_labelled: int = MAX_LABELLED, max_mined: int = MAX_MINED) -> Classifier:
+    """Mine voters and fit the classifier on at most ``max_labelled`` labelled training rows.
 
     The label model's rates are taken over all training rows, labelled or not. Rows of the held-out fold are never read.
     Without labelled rows there are no mined voters, the prior is 0.05, and the label model's own log odds are the
     classifier's weights. Null labels and ids are left out; of several labels of an id the toxic one holds. Rows equal
-    in id and text are sampled once, so an id with any number of rows takes no more than its share of the samples.
+    in id and text are sampled once, so an id with any number of rows takes no more than its share of the sample.
     """
     learn = docs.where(~fold(F.col("doc_id"), held_remainder)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     given = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~fold(F.col("doc_id"), held_remainder))
@@ -261,11 +259,8 @@ def train(
     given = materialise(given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     joined = learn.join(F.broadcast(given), "doc_id")  # max_labelled rows of 12 bytes at most
     labelled = _sampled(joined, max_labelled, joined.count())
-    last = F.pmod(F.xxhash64(F.lit("scale"), "doc_id"), F.lit(4)) == 0
-    mined, scale = labelled.where(~last), labelled.where(last)
-
-    stems = mined.select("text", "toxic").mapInArrow(_tally, "kind int, stem string, clean long, toxic long").groupBy("kind", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = {r["toxic"]: r["count"] for r in mined.groupBy("toxic").count().collect()}
+    stems = labelled.select("text", "toxic").mapInArrow(_tally, "kind int, stem string, clean long, toxic long").groupBy("kind", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     voters = Voters()
     if clean and toxic:
@@ -288,18 +283,17 @@ def train(
 
     weights = np.zeros(VOTERS + n_mined + 1)
     if clean and toxic:
-        _, fired, found = _read(_sampled(learn, max_fitted, seen).withColumn("toxic", F.lit(0)), voters)
+        y, fired, found = _read(labelled, voters)
         fires = np.zeros((len(fired), VOTERS))
         for i, f in enumerate(fired):
             fires[i, f] = 1
-        posterior = 1 / (1 + np.exp(-np.clip(model.logits(fires), -40, 40)))
-        weights = fit_linear(*_design(fired, found, n_mined), posterior, VOTERS + n_mined)
-        y, fired, found = _read(scale, voters)
-        if 0 < y.sum() < len(y):
-            rows, cols = _design(fired, found, n_mined)
-            a, b = _calibrate(np.bincount(rows, weights[cols], len(y)) + weights[-1], y)
-            weights = a * weights
-            weights[-1] += b
+        given = np.where(y > 0, 1, -1) * np.log(GIVEN_ODDS)
+        posterior = 1 / (1 + np.exp(-np.clip(model.logits(fires) + given, -40, 40)))
+        rows, cols = _design(fired, found, n_mined)
+        w = fit_linear(rows, cols, posterior, VOTERS + n_mined, 1 / len(y))
+        a, b = _calibrate(np.bincount(rows, w[cols], len(y)) + w[-1], y)
+        weights = a * w
+        weights[-1] += b
     else:
         on, off = np.log(model.toxic / model.clean), np.log((1 - model.toxic) / (1 - model.clean))
         weights[:VOTERS] = np.where(both.diagonal() > 0, model.weight * (on - off), 2.0)
