@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_scoring, mixing, pii, simhash_anchors, token_counts, toxicity, url_rules, vector_search, warc
+from . import byte_bpe, decontamination, hard_negatives, lm_scoring, merkle, mixing, pii, simhash_anchors, token_counts, toxicity, url_rules, vector_search, warc
 from .common import table
 
-ORACLES: dict[str, str] = {"op4_url_verdicts": url_rules.oracle()}
+ORACLES: dict[str, str] = {"op4_url_verdicts": url_rules.oracle(), "op12_merkle_proofs": merkle.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
 
 
 def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +50,22 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ppm_scores, op2_warc_derivatives, op3_personal_data, op4_url_verdicts, op5_token_counts, op6_benchmark_leaks, op7_temperature_mix, op8_simhash_components, op9_nearest_vectors, op10_toxicity_scores,
+        op11_bpe_round_trip, op12_merkle_proofs, op13_hard_negatives,
     )
 }
