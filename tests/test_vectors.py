@@ -1,7 +1,10 @@
 """Vector searches held against NumPy over all pairs, and their stated queries."""
 
+import datetime
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import plans
 from tidemark.operators import vectors as X
@@ -40,3 +43,26 @@ def test_tiles_and_blocks_change_nothing(spark, monkeypatch):
                 ids = [i for i in np.lexsort((np.arange(150), -sim)) if i != q and (side is None or data[i][2] == side)]
                 want |= {(q, side, r + 1): i for r, i in enumerate(ids[:4])}
         assert got == want
+
+
+def test_timed_search_sees_earlier_days_only(spark, monkeypatch):
+    """Tiles along the day and several blocks of queries: the nearest of what was known before, a hot day included."""
+    monkeypatch.setattr(X, "TILE", 40)
+    monkeypatch.setattr(X, "MAX_BROADCAST_VECTORS", 60)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 6))
+    v[50:90] = v[50]
+    day = np.where(np.arange(200) % 3 == 0, 10, rng.integers(0, 30, 200)).tolist()
+    date = lambda d: datetime.date(2024, 1, 1) + datetime.timedelta(d)
+    data = [(i, v[i].tolist(), date(day[i]) if i != 7 else None, "x") for i in range(200)]
+    pool = spark.createDataFrame(data, "id long, v array<double>, known date, more string").repartition(5)
+    asked = pool.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("known").alias("at"))
+    got = {(r.q, r.rank): r.id for r in X.top_similar(X.nearest(asked, pool, 3, timed=True), ["q"], 3).collect()}
+    want = {}
+    for q in range(200):
+        sim = (v[q] * v).sum(axis=1) / (np.linalg.norm(v[q]) * np.linalg.norm(v, axis=1))
+        earlier = [i for i in np.lexsort((np.arange(200), -sim)) if day[i] < day[q] and 7 not in (i, q)]
+        want |= {(q, r + 1): i for r, i in enumerate(earlier[:3])}
+    assert got == want
+    none = X.nearest(asked.limit(0), pool, 3, timed=True)
+    assert none.count() == 0 and "known" in none.columns and X.nearest(asked, pool.limit(0), 3, timed=True).count() == 0

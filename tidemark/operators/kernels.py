@@ -6,8 +6,6 @@ for the few that do, always within one key, batch or date.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, interpolate, logistic, round_to_tick, tick_size
+from ..session import held as _held
 from .windows import by, first_index, forward, frame, rolling
 
 
@@ -166,20 +165,6 @@ def latest_price_and_range(bars: DataFrame, rows: int = 14, least_rows: int = 5,
     return last.groupBy("key").agg(F.max(F.when(F.col("n") == 1, F.col("close"))).alias("price"), F.when(F.count("*") < least_rows, default).otherwise(clip(mean, 0.01, 0.2)).alias("atr_pct"))
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """The rows written once to the folder that all executors share, and read again."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(path)
-    path = f"{path.rstrip('/')}/clusters-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _units(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(float)
     n = np.linalg.norm(x, axis=1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as V
+from ..session import held
 from .relational import top_per
 
 MAX_BROADCAST_VECTORS = 20_000
@@ -39,8 +40,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.astype(float).reshape(len(column), -1)
 
 
-def _best(asked: Callable[[], tuple[np.ndarray, np.ndarray]], k: int, per: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The ``k`` best of a tile for each query, equal ones in order of ``id``."""
+def _best(asked: Callable[[], tuple[np.ndarray, np.ndarray, np.ndarray | None]], k: int, per: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` best of a tile for each query, equal ones in order of ``id``; of queries with a day, those ``known`` before it."""
 
     def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.sqrt((x * x).sum(axis=1))
@@ -51,13 +52,20 @@ def _best(asked: Callable[[], tuple[np.ndarray, np.ndarray]], k: int, per: str |
         if not tile:
             return
         rows = pa.Table.from_batches(tile).sort_by("id")
-        ids, x, (q, a) = rows["id"].to_numpy(), _matrix(rows["v"]), asked()
+        ids, x, (q, a, day) = rows["id"].to_numpy(), _matrix(rows["v"]), asked()
+        known = None
+        if day is not None:
+            known = rows["known"].cast(pa.int32()).to_numpy()
+            later = day > known.min()
+            q, a, day = q[later], a[later], day[later]
         rows, (n, u), (an, au) = rows.drop_columns("v"), scaled(x), scaled(a)
         side = rows[per].to_numpy() if per else np.zeros(len(ids))
         sides = [np.flatnonzero(side == v) for v in set(side)]
         for lo in range(0, len(q), CHUNK):
             near = au[lo : lo + CHUNK] @ u.T
             near[q[lo : lo + CHUNK, None] == ids[None, :]] = -np.inf
+            if known is not None:
+                near[known[None, :] >= day[lo : lo + CHUNK, None]] = -np.inf
             for cols in sides:
                 s = near[:, cols]
                 least = np.partition(s, -min(k, len(cols)), axis=1)[:, -min(k, len(cols))]
@@ -79,24 +87,35 @@ def _best(asked: Callable[[], tuple[np.ndarray, np.ndarray]], k: int, per: str |
     return run
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int, per: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, pool: DataFrame, k: int, per: str | None = None, timed: bool = False) -> DataFrame:
     """Like :func:`similarities` by cosine, but each tile of the pool gives only its ``k`` best for a query (and value of ``per``).
 
-    What is left to rank is ``k`` rows a tile and query. Rows without a vector take no part. Each block of queries is
-    held by the driver and sent to the tasks; the work is all pairs, in matrix products.
+    What is left to rank is ``k`` rows a tile and query. Rows without a vector take no part. The driver sends one block
+    of queries at a time; of several, each block's rows are written before the next is sent. The work is all pairs, in
+    matrix products.
+
+    ``timed``: queries have a day ``at``, the pool a day ``known``, and a query sees what was known before its day. The
+    pool is then cut into tiles along ``known`` (and ``id``, so a day may have many tiles); a tile is compared with later
+    queries alone, and no row of the pool is copied for a date.
     """
-    rest = [c for c in pool.columns if c != "v"]
+    spark, rest = pool.sparkSession, [c for c in pool.columns if c != "v"]
     kinds = dict(pool.dtypes) | {"q": dict(queries.dtypes)["q"]}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("q", *rest)) + ", sim double"
-    queries, pool = queries.select("q", "qv").where("qv IS NOT NULL"), pool.select(*rest, "v").where("v IS NOT NULL")
-    tiles = pool.repartition(max(1, -(-pool.count() // TILE)))
+    queries, pool = queries.select("q", "qv", *(["at"] if timed else [])).where("qv IS NOT NULL"), pool.select(*rest, "v").where("v IS NOT NULL")
+    if timed:
+        queries, pool = queries.where("at IS NOT NULL"), pool.where("known IS NOT NULL")
+    count = max(1, -(-pool.count() // TILE))
+    tiles = pool.repartitionByRange(count, "known", "id") if timed else pool.repartition(count)
     blocks = max(1, -(-queries.count() // MAX_BROADCAST_VECTORS))
     out = None
     for b in range(blocks):
         part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).toArrow()  # about MAX_BROADCAST_VECTORS rows
-        held = (part["q"].to_numpy(), _matrix(part["qv"]) if part.num_rows else np.zeros((0, 1)))
-        shared = pool.sparkSession.sparkContext.broadcast(held)
+        days = part["at"].cast(pa.int32()).to_numpy() if timed else None
+        shared = spark.sparkContext.broadcast((part["q"].to_numpy(), _matrix(part["qv"]) if part.num_rows else np.zeros((0, 1)), days))
         each = tiles.mapInArrow(_best(lambda shared=shared: shared.value, k, per), schema)
+        if blocks > 1:
+            each = held(each)
+            shared.destroy()
         out = each if out is None else out.unionByName(each)
     return out
 

@@ -137,8 +137,8 @@ def _paths(t: Tables) -> DataFrame:
     return path.select("key", *(part(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
 
 
-def _shape_sql() -> str:
-    """The shape vectors with list functions, one step a common table expression."""
+def shape_steps(carry: str = "key") -> str:
+    """From ``p`` with lists o, h, l, c, v to ``k`` with the shape vectors, one step a common table expression; ``carry`` are p's other columns."""
     each = lambda x, f: f"list_transform({x}, lambda t: {f})"
     places = lambda n, f, i="i": f"list_transform(range(1, {n} + 1), lambda {i}: {f})"
     steps = lambda x: places(f"len({x}) - 1", f"{x}[i + 1] - {x}[i]")
@@ -175,11 +175,15 @@ def _shape_sql() -> str:
     segments = lambda x: f"list_transform(range(0, 5), lambda i: list_avg({x}[floor(i * len({x}) / 5)::INT + 1:floor((i + 1) * len({x}) / 5)::INT]))"
     named = lambda d: ", ".join(f"{e} AS {k}" for k, e in d.items())
     kinds = {"v1": concat([resampled("z_moves"), resampled("z_flows"), squash(meta)]), "v2": concat([*(resampled(f"z_{x}") for x in six), squash(meta + more)]), "pre": concat([segments(f"s{i}") for i in range(1, 8)])}
-    rows = " UNION ALL ".join(f"SELECT key, '{k}' AS kind, unnest({x}) AS value, generate_subscripts({x}, 1) AS place FROM w" for k, x in (("v1", "v1"), ("v2", "v2"), ("premarket", "unit")))
-    return f"""WITH {BARS}, p AS (SELECT key, list(open ORDER BY day) AS o, list(high ORDER BY day) AS h, list(low ORDER BY day) AS l, list(close ORDER BY day) AS c, list(volume::DOUBLE ORDER BY day) AS v FROM bars GROUP BY 1 HAVING count(*) >= 12),
+    return f"""
     a AS (SELECT *, {each('c', 'ln(t + 1e-9)')} AS lc, {each('v', 'ln(t + 1)')} AS lv, {each('c', 'ln(greatest(t, 1e-9))')} AS pc, {each('v', 'ln(greatest(t, 1))')} AS pv, {both('(c[i] - o[i]) / (o[i] + 1e-9)')} AS b0, {both('(h[i] - greatest(o[i], c[i])) / (o[i] + 1e-9)')} AS u0,
           {both('(least(o[i], c[i]) - l[i]) / (o[i] + 1e-9)')} AS d0, {both('(h[i] - l[i]) / (o[i] + 1e-9)')} AS r0, {both('greatest(h[i] - l[i], abs(h[i] - c[greatest(i - 1, 1)]), abs(l[i] - c[greatest(i - 1, 1)]))')} AS tr FROM p),
-    s AS (SELECT key, {named(series)} FROM a), d AS (SELECT *, {named(spread)}, {each('body', 'abs(t)')} AS ab FROM s), z AS (SELECT *, {named(scaled | ranked)} FROM d), k AS (SELECT key, {named(kinds)} FROM z),
+    s AS (SELECT {carry}, {named(series)} FROM a), d AS (SELECT *, {named(spread)}, {each('body', 'abs(t)')} AS ab FROM s), z AS (SELECT *, {named(scaled | ranked)} FROM d), k AS (SELECT {carry}, {named(kinds)} FROM z)"""
+
+
+def _shape_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT key, '{k}' AS kind, unnest({x}) AS value, generate_subscripts({x}, 1) AS place FROM w" for k, x in (("v1", "v1"), ("v2", "v2"), ("premarket", "unit")))
+    return f"""WITH {BARS}, p AS (SELECT key, list(open ORDER BY day) AS o, list(high ORDER BY day) AS h, list(low ORDER BY day) AS l, list(close ORDER BY day) AS c, list(volume::DOUBLE ORDER BY day) AS v FROM bars GROUP BY 1 HAVING count(*) >= 12), {shape_steps()},
     w AS (SELECT *, list_transform(pre, lambda t: (t / sqrt(list_sum(list_transform(pre, lambda x: x * x))))::FLOAT::DOUBLE) AS unit FROM k), r AS ({rows})
     SELECT key, kind, CAST(place AS INT) AS place, round(value, 5) + 0.0::DOUBLE AS value FROM r"""
 

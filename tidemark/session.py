@@ -1,8 +1,11 @@
-"""Session settings for the engine."""
+"""Session settings for the engine, and where it keeps tables between jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tidemark", **conf: str) -> SparkSession:
@@ -16,3 +19,21 @@ def session(name: str = "tidemark", **conf: str) -> SparkSession:
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     }
     return builder.config(map=fixed | conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a fresh one where that is unset and all run on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read again: cuts lineage, and lost executors cost no second evaluation."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
