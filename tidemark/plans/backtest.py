@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import backtest as B
+from ..operators import folds as D
+from .aggregates import PHI
 from .registry import Tables, query, r6
 from .research import shape_steps
 from .series import BARS, _bars
@@ -33,3 +35,87 @@ def neighbour_backtest(t: Tables) -> DataFrame:
     """Keys that 50 divides ask with every bar, against the earlier bars of all keys."""
     out = B.neighbour_backtest(_bars(t), F.col("key") % 50 == 0, LOOKBACK, NEAREST, EXIT, LEAST)
     return out.select("key", "from_day", "to_day", "signals", "correct", "peaks", *(r6(c).alias(c) for c in ("profit", "win_rate", "peak_rate", "return_rate")))
+
+
+HORIZON, FEE = 3, 0.001
+PLANS = f"""{BARS}, m AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS move, lead(day) OVER w AS entry_day, lead(open) OVER w AS entry,
+    last_value(close) OVER p AS exit, last_value(day) OVER p AS exit_day FROM bars WINDOW w AS (PARTITION BY key ORDER BY day), p AS (PARTITION BY key ORDER BY day ROWS BETWEEN 2 FOLLOWING AND {HORIZON + 1} FOLLOWING)),
+    o AS (SELECT key, day, CASE WHEN move < 0 THEN 'BUY' ELSE 'SELL' END AS side, floor(least(abs(move), 1) * 1000) / 1000 AS score, coalesce(volume >= 2 AND entry > 0, false) AS filled,
+          CASE WHEN exit IS NULL THEN 0 WHEN move < 0 THEN (exit - entry) / entry - {FEE} ELSE (entry - exit) / entry - {FEE} END AS ret, entry_day, exit_day, entry * 10 AS notional FROM m WHERE move IS NOT NULL),
+    days AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS ord FROM (SELECT DISTINCT day FROM o)), nd AS (SELECT count(*) AS n FROM days),
+    r AS (SELECT o.*, ord, CASE WHEN filled THEN ret ELSE 0 END AS got, round(score * 1000) AS step FROM o JOIN days USING (day))"""
+
+
+def _plans(t: Tables) -> DataFrame:
+    """A plan for each bar with one before it: buy what fell, sell what rose; filled at the next open on days with two ticks or more."""
+    w = Window.partitionBy("key").orderBy("day")
+    path = w.rowsBetween(2, HORIZON + 1)
+    m = _bars(t).withColumns({
+        "move": F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0)) - 1, "entry_day": F.lead("day").over(w), "entry": F.lead("open").over(w), "exit": F.last("close").over(path), "exit_day": F.last("day").over(path),
+    }).where("move IS NOT NULL")
+    falls, change = F.col("move") < 0, (F.col("exit") - F.col("entry")) / F.nullif(F.col("entry"), F.lit(0.0))
+    return m.select(
+        "key", "day", F.when(falls, "BUY").otherwise("SELL").alias("side"), (F.floor(F.least(F.abs("move"), F.lit(1.0)) * 1000) / 1000).alias("score"), F.coalesce((F.col("volume") >= 2) & (F.col("entry") > 0), F.lit(False)).alias("filled"),
+        F.when(F.col("exit").isNull(), 0.0).when(falls, change - FEE).otherwise(-change - FEE).alias("ret"), "entry_day", "exit_day", (F.col("entry") * 10).alias("notional"),
+    )
+
+
+def _fold_sql(ranges: str) -> str:
+    """Metrics of folds ``ranges(fold, part, lo, hi)`` by joining every plan with the folds that hold its day."""
+    z = lambda share: f"(total / filled * {share}) / (sqrt(greatest((squares - 2 * (total / filled * {share}) * total + filled * (total / filled * {share}) * (total / filled * {share})) / (filled - 1), 1e-12)) / sqrt(filled))"
+    return f"""WITH {PLANS}, {ranges}, f AS (SELECT DISTINCT fold, part, r.* FROM ranges JOIN r ON ord >= lo AND ord < hi), tt AS (SELECT * FROM f WHERE part = 'test'),
+    g AS (SELECT fold, count(*) FILTER (part = 'train') AS train_plans, coalesce(sum(got) FILTER (part = 'train') / nullif(count(*) FILTER (part = 'train' AND filled), 0), 0) AS train_expectancy, count(*) FILTER (part = 'test') AS plans,
+        count(*) FILTER (part = 'test' AND filled) AS filled, coalesce(sum(got) FILTER (part = 'test'), 0) AS total, coalesce(sum(got * got) FILTER (part = 'test'), 0) AS squares, coalesce(sum(notional) FILTER (part = 'test' AND filled), 0) AS turnover,
+        count(*) FILTER (part = 'test' AND filled AND got > 0) AS wins, count(*) FILTER (part = 'test' AND filled AND side = 'BUY') AS longs, coalesce(sum(got) FILTER (part = 'test' AND side = 'BUY'), 0) AS lt, count(*) FILTER (part = 'test' AND filled AND side = 'SELL') AS shorts,
+        coalesce(sum(got) FILTER (part = 'test' AND side = 'SELL'), 0) AS st FROM f GROUP BY 1),
+    e AS (SELECT fold, ord, sum(sum(got)) OVER (PARTITION BY fold ORDER BY ord) AS equity FROM tt GROUP BY 1, 2), dd AS (SELECT fold, max(greatest(0, peak) - equity) AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY fold ORDER BY ord) AS peak FROM e) GROUP BY 1),
+    c AS (SELECT fold, step, count(*) AS n, sum(score) AS scores, count(*) FILTER (filled) AS done, count(*) FILTER (filled AND got > 0) AS wins, sum(got) AS total FROM tt GROUP BY 1, 2),
+    cb AS (SELECT *, floor((sum(n) OVER (PARTITION BY fold ORDER BY step) - n) / greatest(1, floor(sum(n) OVER (PARTITION BY fold) / 5))) AS bucket FROM c),
+    b AS (SELECT fold, bucket, abs(sum(scores) / sum(n) - sum(wins) / greatest(1, sum(done))) AS gap, coalesce(sum(total) / nullif(sum(done), 0), 0) AS mean FROM cb GROUP BY 1, 2),
+    k AS (SELECT fold, count(*) FILTER (coalesce(before > mean, false)) = 0 AS monotonic, avg(gap) AS calibration_error FROM (SELECT *, lag(mean) OVER (PARTITION BY fold ORDER BY bucket) AS before FROM b) GROUP BY 1),
+    pr AS (SELECT x.fold, count(*) AS pairs FROM tt x JOIN tt y ON x.fold = y.fold AND x.key = y.key AND x.day < y.day AND x.filled AND y.filled AND NOT (x.exit_day < y.entry_day OR y.exit_day < x.entry_day) GROUP BY 1),
+    lk AS (SELECT fold, count(*) AS leaks FROM f WHERE EXISTS (SELECT 1 FROM ranges q JOIN days z ON z.ord = q.lo WHERE q.fold = f.fold AND q.part <> f.part AND q.lo > f.ord AND f.exit_day >= z.day) GROUP BY 1),
+    tp AS (SELECT fold, count(*) FILTER (filled AND got > 0) / greatest(1, count(*) FILTER (filled)) AS precision_at_k FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, ord, key, side) AS place FROM tt) WHERE place <= 2 GROUP BY 1),
+    x AS (SELECT fold, train_plans, train_expectancy, plans, filled, coalesce(total / nullif(filled, 0), 0) AS expectancy, total, coalesce(max_drawdown, 0) AS max_drawdown, turnover, coalesce(wins / nullif(filled, 0), 0) AS hit_rate, filled / greatest(plans, 1) AS coverage,
+        (plans - filled) / greatest(plans, 1) AS no_trade_ratio, coalesce(precision_at_k, 0) AS precision_at_k, longs, coalesce(lt / nullif(longs, 0), 0) AS long_expectancy, shorts, coalesce(st / nullif(shorts, 0), 0) AS short_expectancy,
+        CASE WHEN filled > 1 THEN {PHI.format(z=z("1.0"))} ELSE 0 END AS psr, CASE WHEN filled > 1 THEN {PHI.format(z=z("0.9"))} ELSE 0 END AS dsr, monotonic, calibration_error,
+        CASE WHEN filled <= 1 THEN filled ELSE filled / (1 + coalesce(pairs, 0) / filled) END AS effective_size, coalesce(leaks, 0) AS leaks
+        FROM g LEFT JOIN dd USING (fold) LEFT JOIN k USING (fold) LEFT JOIN pr USING (fold) LEFT JOIN lk USING (fold) LEFT JOIN tp USING (fold))"""
+
+
+REASONS = """list_concat(list_concat(CASE WHEN expectancy <= 0 THEN ['non_positive_expectancy'] ELSE [] END, CASE WHEN greatest(psr, dsr) < 0.55 THEN ['low_psr', 'low_psr_or_dsr'] ELSE [] END),
+    list_concat(CASE WHEN NOT monotonic THEN ['non_monotonic_bucket', 'non_monotonic_score_buckets'] ELSE [] END, CASE WHEN calibration_error > 0.25 THEN ['high_ece', 'high_calibration_error'] ELSE [] END))"""
+ROUNDED = ("train_expectancy", "expectancy", "total", "max_drawdown", "turnover", "hit_rate", "coverage", "no_trade_ratio", "precision_at_k", "long_expectancy", "short_expectancy", "psr", "dsr", "calibration_error", "effective_size")
+PLAIN = ("fold", "train_plans", "plans", "filled", "longs", "shorts", "monotonic", "leaks")
+FOLD_ROWS = f"SELECT {', '.join(PLAIN)}, {', '.join(f'round({c}, 6) AS {c}' for c in ROUNDED)}, {REASONS} AS rejections FROM x"
+PURGE, EMBARGO = D.purge_and_embargo(HORIZON)
+WALKS = f"""sz AS (SELECT n, n // 2 AS size, greatest(1, least({HORIZON}, n - n // 2 - {PURGE} - {EMBARGO})) AS step FROM nd WHERE n >= 3),
+    w AS (SELECT *, unnest(range(0, (n - size - {PURGE + EMBARGO} - step) // step + 1)) AS fold FROM sz WHERE n - size - {PURGE + EMBARGO} - step >= 0),
+    ranges AS (SELECT fold, 'train' AS part, fold * step AS lo, fold * step + size AS hi FROM w UNION ALL SELECT fold, 'test', fold * step + size + {PURGE + EMBARGO}, fold * step + size + {PURGE + EMBARGO} + step FROM w)"""
+GROUPS = 10
+CHOICES = f"""ch AS (SELECT row_number() OVER (ORDER BY i, j) - 1 AS fold, i, j FROM range(0, {GROUPS}) a(i) JOIN range(0, {GROUPS}) b(j) ON i < j), tr AS (SELECT fold, i * n // {GROUPS} AS a, (i + 1) * n // {GROUPS} AS b, j * n // {GROUPS} AS c, (j + 1) * n // {GROUPS} AS d, n FROM ch, nd),
+    al AS (SELECT fold, 'test' AS part, a AS lo, b AS hi FROM tr UNION ALL SELECT fold, 'test', c, d FROM tr UNION ALL SELECT fold, 'train', 0, a - {PURGE} FROM tr UNION ALL SELECT fold, 'train', b + {EMBARGO}, c - {PURGE} FROM tr UNION ALL SELECT fold, 'train', d + {EMBARGO}, n FROM tr), ranges AS (SELECT * FROM al WHERE lo < hi)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(r6(c).alias(c) if c in ROUNDED else c for c in df.columns))
+
+
+@query(f"{_fold_sql(WALKS)} {FOLD_ROWS}")
+def walk_forward_metrics(t: Tables) -> DataFrame:
+    """Walk-forward folds of reversal plans with purge and embargo from the horizon: the whole bundle of metrics, leaks and rejections."""
+    return _rounded(D.evaluate(_plans(t), lambda days: D.walk_forward_ranges(days, HORIZON)))
+
+
+@query(f"{_fold_sql(CHOICES)} {FOLD_ROWS}")
+def combinatorial_metrics(t: Tables) -> DataFrame:
+    """All 45 choices of two of ten blocks of days as test ranges."""
+    return _rounded(D.evaluate(_plans(t), lambda days: D.combinatorial_ranges(days, GROUPS, 2, HORIZON)))
+
+
+@query(f"""{_fold_sql(CHOICES)}, v AS (SELECT *, greatest(effective_size, longs + shorts, 1) AS w FROM x), ag AS (SELECT count(*) AS folds, sum(w * expectancy) / sum(w) AS expectancy, sum(w * psr) / sum(w) AS psr, sum(w * dsr) / sum(w) AS dsr,
+    sum(w * calibration_error) / sum(w) AS calibration_error, sum(total) AS total, bool_and(monotonic) AS monotonic, sum(effective_size) AS effective_size, sum(leaks) = 0 AS leak_free FROM v)
+    SELECT folds, {', '.join(f'round({c}, 6) AS {c}' for c in ('expectancy', 'psr', 'dsr', 'calibration_error', 'total', 'effective_size'))}, monotonic, leak_free, {REASONS} AS rejections FROM ag""")
+def fold_aggregate(t: Tables) -> DataFrame:
+    """The 45 folds in one row, weighted by effective size or trades."""
+    return _rounded(D.aggregate(D.evaluate(_plans(t), lambda days: D.combinatorial_ranges(days, GROUPS, 2, HORIZON))))
