@@ -5,7 +5,7 @@ words and word beginnings that labelled training texts of the toxic class share
 A generative label model takes the rates at which voters fire, alone and in pairs, over all training texts: the
 covariance of two independent voters is p(1-p) times the product of their leanings, so each triple of voters gives
 their leanings, and pairs that these can't explain are taken as correlated and share their weight. A given label is
-one more voter, right in 49 of 50 cases, that abstains where there is none. The posterior labels of the labelled texts
+one more voter, whose accuracy on either side the label model estimates too. The posterior labels of the labelled texts
 train a linear classifier over the mined words and the voters, which scores every text; its log odds are scaled to the
 given labels of the same texts. Texts of the held-out fold take part in none of this.
 """
@@ -35,8 +35,6 @@ SPACED = re.compile(r"\b(?:[a-z] ){3,}[a-z]\b")
 LEET = str.maketrans("013457@$!", "oieastasi")
 MAX_LABELLED = 20_000
 MAX_MINED = 2_048
-#: Odds of a given label to be right, as a voter.
-GIVEN_ODDS = 49.0
 GROUPS = 8
 VOTERS = len(LEXICON) + 4 + 3 * GROUPS
 
@@ -164,6 +162,18 @@ class LabelModel:
         return np.log(self.prior / (1 - self.prior)) + fires @ (self.weight * (on - off)) + (self.weight * off).sum()
 
 
+    def posteriors(self, fires: np.ndarray, given: np.ndarray, rounds: int = 10) -> np.ndarray:
+        """Of texts with a given label (0 or 1), which votes with the accuracy that the posteriors themselves show it to have."""
+        base = self.logits(fires)
+        p = 1 / (1 + np.exp(-np.clip(base, -40, 40)))
+        for _ in range(rounds):
+            hit = ((p * given).sum() + 0.5) / (p.sum() + 1)
+            slip = (((1 - p) * given).sum() + 0.5) / ((1 - p).sum() + 1)
+            vote = np.where(given > 0, np.log(hit / slip), np.log((1 - hit) / (1 - slip)))
+            p = 1 / (1 + np.exp(-np.clip(base + vote, -40, 40)))
+        return p
+
+
 def _looked(voters: Voters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +246,7 @@ def _sampled(rows: DataFrame, most: int, total: int) -> DataFrame:
     marked = rows.withColumn("mark", F.xxhash64("doc_id", "text"))
     if total > most:
         marked = marked.where(F.pmod("mark", F.lit(1 << 30)) < int((1 << 30) * most / total))
-    return materialise(marked.dropDuplicates(["doc_id", "mark"]).drop("mark").limit(most))
+    return materialise(marked.dropDuplicates(["doc_id", "mark"]).orderBy("mark", "doc_id").limit(most).drop("mark"))
 
 
 def _read(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, list, list]:
@@ -287,10 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, held_remainder: int = 0, max_label
         fires = np.zeros((len(fired), VOTERS))
         for i, f in enumerate(fired):
             fires[i, f] = 1
-        given = np.where(y > 0, 1, -1) * np.log(GIVEN_ODDS)
-        posterior = 1 / (1 + np.exp(-np.clip(model.logits(fires) + given, -40, 40)))
         rows, cols = _design(fired, found, n_mined)
-        w = fit_linear(rows, cols, posterior, VOTERS + n_mined, 1 / len(y))
+        w = fit_linear(rows, cols, model.posteriors(fires, y), VOTERS + n_mined, 1 / len(y))
         a, b = _calibrate(np.bincount(rows, w[cols], len(y)) + w[-1], y)
         weights = a * w
         weights[-1] += b
