@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words, and letters in them, that a task remembers; letters of text that it splits at a time.
-REMEMBER, REMEMBER_LETTERS = 1_000_000, 32 << 20
-PART = 2 << 20
+REMEMBER, REMEMBER_LETTERS = 400_000, 8 << 20
+PART = 1 << 20
 #: Letters of words that are merged at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 END = -1
 
 
