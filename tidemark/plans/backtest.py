@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import artifacts as A
 from ..operators import backtest as B
 from ..operators import folds as D
+from ..session import shared_folder
 from .aggregates import PHI
 from .registry import Tables, query, r6
 from .research import shape_steps
@@ -119,3 +123,25 @@ def combinatorial_metrics(t: Tables) -> DataFrame:
 def fold_aggregate(t: Tables) -> DataFrame:
     """The 45 folds in one row, weighted by effective size or trades."""
     return _rounded(D.aggregate(D.evaluate(_plans(t), lambda days: D.combinatorial_ranges(days, GROUPS, 2, HORIZON))))
+
+
+TRAIN_END, TEST_START = datetime.date(2024, 1, 15), datetime.date(2024, 1, 21)
+FEATURES = ("score", "reach", "ticks")
+
+
+@query(f"""WITH {PLANS}, s AS (SELECT o.*, coalesce((high - low) / nullif(close, 0), 0) AS reach, ln(volume + 1) AS ticks, CASE side WHEN 'SELL' THEN 2 ELSE 0 END + CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS state, CASE WHEN filled THEN ret ELSE 0 END AS got FROM o JOIN bars USING (key, day)),
+    t AS (SELECT * FROM s WHERE day <= DATE '{TRAIN_END}' AND exit_day <= DATE '{TRAIN_END}'), sc AS (SELECT {', '.join(f'avg({f}) AS m_{f}, greatest(1e-8, stddev_pop({f})) AS s_{f}' for f in FEATURES)} FROM t),
+    p AS (SELECT state, [{', '.join(f'avg(({f} - m_{f}) / s_{f})' for f in FEATURES)}] AS vector FROM t, sc GROUP BY 1),
+    c AS (SELECT greatest(0.1, least(10, regr_slope(CAST(got > 0 AS INT), score) * 10)) AS slope, ln(greatest(1e-6, avg(CAST(got > 0 AS INT))) / greatest(1e-6, 1 - avg(CAST(got > 0 AS INT)))) AS odds, avg(score) AS m, regr_slope(got, score) AS ev, avg(got) AS mg FROM t),
+    z AS (SELECT s.*, [{', '.join(f'({f} - m_{f}) / s_{f}' for f in FEATURES)}] AS z FROM s, sc WHERE day >= DATE '{TEST_START}'),
+    b AS (SELECT key, day, any_value(z) AS z, any_value(score) AS score, arg_max(p.state, [list_cosine_similarity(z, vector), -p.state]) AS match, max(list_cosine_similarity(z, vector)) AS similarity FROM z, p GROUP BY 1, 2)
+    SELECT key, day, {', '.join(f'round(z[{i + 1}], 6) AS z_{f}' for i, f in enumerate(FEATURES))}, match, round(similarity, 6) AS similarity, round(1 / (1 + exp(-(slope * score + odds - slope * m))), 6) AS probability, round(ev * score + mg - ev * m, 6) AS expected FROM b, c""")
+def frozen_scores(t: Tables) -> DataFrame:
+    """Plans of the test days scored by what was fitted on the training days, stored under its hash and loaded again."""
+    bars = _bars(t).select("key", "day", F.coalesce((F.col("high") - F.col("low")) / F.nullif(F.col("close"), F.lit(0.0)), F.lit(0.0)).alias("reach"), F.log(F.col("volume") + 1).alias("ticks"))
+    state = F.when(F.col("side") == "SELL", 2).otherwise(0) + (F.col("score") >= 0.5).cast("int")
+    rows = _plans(t).join(bars, ["key", "day"]).select("key", "day", F.col("exit_day").alias("outcome_day"), state.alias("state"), "score", F.when(F.col("filled"), F.col("ret")).otherwise(0.0).alias("ret"), "reach", "ticks")
+    root = f"{shared_folder(t.spark)}/artifacts"
+    name = A.fit(root, {"horizon_days": HORIZON, "fee": FEE, "features": list(FEATURES)}, rows, FEATURES, TRAIN_END, TEST_START)
+    out = A.score(t.spark, root, name, rows.where(F.col("day") >= F.lit(TEST_START)))
+    return out.select("key", "day", *(r6(F.get("z", F.lit(i))).alias(f"z_{f}") for i, f in enumerate(FEATURES)), "match", *(r6(c).alias(c) for c in ("similarity", "probability", "expected")))
