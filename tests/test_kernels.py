@@ -245,7 +245,6 @@ def test_statistics(spark):
     for f in A.combinatorial_folds(20, 5, 2, 1):
         assert not set(f["train"]) & set(f["test"]) and all(abs(a - b) > 1 for a in f["train"] for b in f["test"])
     assert A.rejections({"expectancy_after_cost": 1, "psr": 0.9, "score_decile_monotonicity": True, "calibration_error": 0.1}) == []
-    assert A.search({"x": [1, 2, 3]}, lambda p: p["x"], lambda v: v, 20)[0]["value"] == 3
     assert A.overlap_adjusted_size(5, 10) == pytest.approx(10 / 1.5)
 
 

@@ -130,17 +130,6 @@ def rejections(metrics: dict) -> list[str]:
     return [name for name, holds in checks if holds]
 
 
-def search(space: dict[str, Sequence], run, objective, trials: int, seed: int = 0) -> list[dict]:
-    """Random search on the driver: each trial is a Spark job that ``run`` starts; best first, ties in order of trial."""
-    import random
-
-    rng, out = random.Random(seed), []
-    for trial in range(trials):
-        params = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
-        out.append({"trial": trial, "params": params, "value": objective(run(params))})
-    return sorted(out, key=lambda t: (-t["value"], t["trial"]))
-
-
 def walk_forward(n_dates: int, train: int, test: int, purge: int, embargo: int = 0) -> list[dict]:
     """Folds as half-open ranges of date ordinals; training ends ``purge`` dates before testing begins."""
     folds, start = [], train + purge

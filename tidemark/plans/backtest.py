@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import artifacts as A
 from ..operators import backtest as B
 from ..operators import folds as D
+from ..operators import search as P
 from ..session import shared_folder
 from .aggregates import PHI
 from .registry import Tables, query, r6
@@ -145,3 +147,46 @@ def frozen_scores(t: Tables) -> DataFrame:
     name = A.fit(root, {"horizon_days": HORIZON, "fee": FEE, "features": list(FEATURES)}, rows, FEATURES, TRAIN_END, TEST_START)
     out = A.score(t.spark, root, name, rows.where(F.col("day") >= F.lit(TEST_START)))
     return out.select("key", "day", *(r6(F.get("z", F.lit(i))).alias(f"z_{f}") for i, f in enumerate(FEATURES)), "match", *(r6(c).alias(c) for c in ("similarity", "probability", "expected")))
+
+
+SPACE = {"low": [i / 10 for i in range(9)], "width": [0.2, 0.4, 1.0], "sides": [0, 1, 2]}
+SEARCH_FOLDS, DISCOVERY = 4, 0.8
+
+
+def _search_sql() -> str:
+    w, limits = P.WEIGHTS, P.LIMITS
+    z = lambda share: f"(total / filled * {share}) / (sqrt(greatest((squares - 2 * (total / filled * {share}) * total + filled * (total / filled * {share}) * (total / filled * {share})) / (filled - 1), 1e-12)) / sqrt(filled))"
+    phi = lambda share: f"CASE WHEN filled > 1 THEN greatest(0, least(1, {PHI.format(z='zz' + str(round(share * 10)))})) ELSE 0 END"
+    return f"""WITH {PLANS}, p AS (SELECT r.*, CASE WHEN ord < floor(n * {DISCOVERY}) THEN CAST(floor(ord * {SEARCH_FOLDS} / floor(n * {DISCOVERY})) AS INT) ELSE -1 END AS fold FROM r, nd),
+    grid AS (SELECT low, width, sides FROM (SELECT unnest([{', '.join(map(str, SPACE['low']))}])::DOUBLE AS low), (SELECT unnest([0.2, 0.4, 1.0])::DOUBLE AS width), (SELECT unnest([0, 1, 2]) AS sides)),
+    mm AS (SELECT low, width, sides, f.fold, count(p.key) AS plans, count(*) FILTER (filled) AS filled, count(*) FILTER (filled AND got > 0) AS wins, coalesce(sum(score) FILTER (filled), 0) AS scores, coalesce(sum(got), 0) AS total, coalesce(sum(got * got), 0) AS squares, any_value(f.n) AS fold_plans
+        FROM grid JOIN (SELECT fold, count(*) AS n FROM p GROUP BY 1) f ON true LEFT JOIN p ON p.fold = f.fold AND step >= round(low * 1000) AND step <= round((low + width) * 1000) AND (sides = 0 OR sides = 1 AND side = 'BUY' OR sides = 2 AND side = 'SELL') GROUP BY ALL),
+    v AS (SELECT *, coalesce(total / nullif(filled, 0), 0) AS mean FROM mm), e AS (SELECT *, sum(total) OVER (PARTITION BY low, width, sides ORDER BY fold) AS equity FROM v WHERE fold >= 0),
+    d AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY low, width, sides ORDER BY fold)) - equity AS fall FROM e),
+    a AS (SELECT low, width, sides, sum(plans) AS plans, sum(filled) AS filled, sum(wins) AS wins, sum(scores) AS scores, sum(total) AS total, sum(squares) AS squares, sum(fold_plans) AS fold_plans, avg(mean) AS expectancy, stddev_pop(mean) AS spread, max(fall) AS drawdown FROM d GROUP BY ALL),
+    b AS (SELECT *, CASE WHEN filled > 1 THEN greatest(-6, least(6, {z(1.0)})) END AS zz10, CASE WHEN filled > 1 THEN greatest(-6, least(6, {z(0.9)})) END AS zz9, filled / greatest(fold_plans, 1) AS coverage, (plans - filled) / greatest(plans, 1) AS no_trade_ratio, coalesce(abs(scores / nullif(filled, 0) - wins / nullif(filled, 0)), 0) AS calibration_error FROM a),
+    c AS (SELECT *, {phi(1.0)} AS psr, {phi(0.9)} AS dsr FROM b),
+    x AS (SELECT *, expectancy - {w['spread']} * spread - {w['calibration']} * calibration_error - {w['no_trade']} * no_trade_ratio - {w['drawdown']} * greatest(0, drawdown - {w['allowed_drawdown']}) AS value FROM c
+        WHERE psr >= {limits['min_psr']} AND dsr >= {limits['min_dsr']} AND filled >= {limits['min_filled']} AND coverage >= {limits['min_coverage']})
+    SELECT CAST(row_number() OVER (ORDER BY value DESC, low, sides, width) AS INT) AS place, low, width, sides, plans, filled, round(expectancy, 6) AS expectancy, round(spread, 6) AS spread, round(drawdown, 6) AS drawdown, round(calibration_error, 6) AS calibration_error,
+    round(coverage, 6) AS coverage, round(value, 6) AS value, round(h.mean, 6) AS holdout_expectancy FROM x LEFT JOIN (SELECT low, width, sides, mean FROM v WHERE fold < 0) h USING (low, width, sides) QUALIFY place <= 10"""
+
+
+@query(_search_sql())
+def parameter_search(t: Tables) -> DataFrame:
+    """The ten best of a grid of score ranges and sides by a constrained objective over four discovery folds, with their held-out mean.
+
+    The search has as many trials as the grid has points, so its best are those of comparing all.
+    """
+    plans = _plans(t)
+    days = D.trading_days(plans)
+    early = F.floor(F.col("n") * DISCOVERY)
+    fold = F.when(F.col("at") < early, F.floor(F.col("at") * SEARCH_FOLDS / early).cast("int")).otherwise(-1)
+    days = days.crossJoin(days.agg(F.count("*").alias("n"))).select("day", fold.alias("fold"))  # one row
+    prefixes = P.score_prefixes(plans.join(F.broadcast(days), "day"), F.col("fold"))  # a row a day
+    path = f"{shared_folder(t.spark)}/search-{uuid.uuid4().hex}"
+    found = P.search(t.spark, SPACE, P.score_range_trials(prefixes), 81, path)
+    top = P.best(found, SPACE, 10)
+    place = F.row_number().over(Window.orderBy(F.desc("value"), *sorted(SPACE)))  # ten rows
+    rounded = ("expectancy", "spread", "drawdown", "calibration_error", "coverage", "value", "holdout_expectancy")
+    return top.select(place.alias("place"), *SPACE, "plans", "filled", *(r6(c).alias(c) for c in rounded))
