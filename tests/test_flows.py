@@ -10,6 +10,7 @@ from tidemark.operators import flows as L
 from tidemark.operators import kernels as K
 from tidemark.operators import relational as R
 from tidemark.operators import statistics as A
+from tidemark.operators import vectors as X
 
 
 def day(n):
@@ -64,3 +65,13 @@ def test_portfolio_with_overlap_and_cash(spark):
     c = c.withColumns({"uncertainty": F.lit(0.0), "confidence": F.lit(0.5), "policy_utility": F.lit(0.1), "size": F.lit(1.0), "no_trade": F.lit(False), "held": F.lit(False)})
     got = {(r.day, r.id): r.budget for r in K.select_portfolio(c, 1000.0, top=2, cash=500.0, reserved=100.0).collect()}
     assert got[day(2), 2] == 0 and got[day(2), 1] > 0 and got[day(2), 3] > 0 and got[day(2), 1] + got[day(2), 3] <= 400 + 1e-9 and got[day(3), 1] > 0
+
+
+def test_signal_at_a_tie_and_weights_of_any_size(spark):
+    """A tie is no rise; two matches each way, reranked with weights that do not add up to one."""
+    tie = spark.createDataFrame([(1, "UP", 0.5), (1, "DOWN", 0.5), (2, "UP", 0.6), (2, "DOWN", 0.5), (3, "DOWN", 0.9)], "q long, direction string, sim double")
+    got = {r.q: (r.p_up, r.signal) for r in X.directional_signal(tie).collect()}
+    assert got[1] == (0.5, -0.5) and got[2][1] == got[2][0] > 0.5 and got[3][1] < -0.99
+    matches = spark.createDataFrame([(1, "UP", i, s, c) for i, (s, c) in enumerate([(0.9, 0.1), (0.5, 0.6)])], "q long, direction string, id int, shape_sim double, ctx_sim double")
+    one, many = ([(r.id, round(r.sim, 12)) for r in L.reranked(matches, a, b, 2).orderBy("rank").collect()] for a, b in ((0.25, 0.75), (1.0, 3.0)))
+    assert one == many == [(1, 0.575), (0, 0.3)]

@@ -63,8 +63,9 @@ def context_vectors(days: DataFrame, observed: DataFrame, breadth: DataFrame, se
 
 
 def reranked(matches: DataFrame, alpha: float, beta: float, k: int) -> DataFrame:
-    """The ``k`` best matches of each query and direction by ``alpha`` times shape and ``beta`` times context similarity, as ``sim``."""
-    scored = matches.withColumn("sim", alpha * F.col("shape_sim") + beta * F.col("ctx_sim"))
+    """The ``k`` best matches of each query and direction by shape and context similarity, weighted as ``alpha`` to ``beta``, as ``sim``."""
+    whole = alpha + beta if alpha + beta > 0 else 1.0
+    scored = matches.withColumn("sim", alpha / whole * F.col("shape_sim") + beta / whole * F.col("ctx_sim"))
     return top_per(scored, ["q", "direction"], [F.desc("sim"), F.col("id")], k, "rank")
 
 

@@ -132,14 +132,14 @@ def kernel_mixture(top: DataFrame, temperature: float, value: Column) -> DataFra
 
 
 def directional_signal(top: DataFrame, tau: float = 1.0) -> DataFrame:
-    """Signed probability from the log-sum-exp of the neighbours' similarities in either direction."""
+    """Signed probability from the log-sum-exp of the neighbours' similarities in either direction; up only if it is likelier."""
     m = F.max("sim")
     by = top.groupBy("q", "direction").agg(m.alias("m"), F.collect_list("sim").alias("s"))  # k values a group
     lse = by.withColumn("lse", F.col("m") / tau + F.log(V.total(F.transform("s", lambda x: F.exp((x - F.col("m")) / tau))) + 1e-12))
     wide = lse.groupBy("q").agg(F.max(F.when(F.col("direction") == "UP", F.col("lse"))).alias("up"), F.max(F.when(F.col("direction") == "DOWN", F.col("lse"))).alias("down"))
     margin = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.coalesce("up", F.lit(-50.0)) - F.coalesce("down", F.lit(-50.0))))
     p = 1 / (1 + F.exp(-margin))
-    return wide.select("q", p.alias("p_up"), F.when(margin >= 0, p).otherwise(-(1 - p)).alias("signal"))
+    return wide.select("q", p.alias("p_up"), F.when(margin > 0, p).otherwise(-(1 - p)).alias("signal"))
 
 
 def anchor_classes(sims: DataFrame, least: float = 0.52, gap: float = 0.005) -> DataFrame:

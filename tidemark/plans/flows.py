@@ -107,7 +107,7 @@ def context_vector(t: Tables) -> DataFrame:
     r AS (SELECT *, max(sim) OVER (PARTITION BY q, direction) AS m FROM s QUALIFY row_number() OVER (PARTITION BY q, direction ORDER BY sim DESC, id) <= 20),
     l AS (SELECT q, direction, max(m) + ln(sum(exp(sim - m)) + 1e-12) AS lse FROM r GROUP BY ALL),
     w AS (SELECT q, greatest(-50, least(50, coalesce(max(lse) FILTER (direction = 'UP'), -50) - coalesce(max(lse) FILTER (direction = 'DOWN'), -50))) AS d FROM l GROUP BY 1)
-    SELECT q, round(1 / (1 + exp(-d)), 6) AS p_up, round(CASE WHEN d >= 0 THEN 1 / (1 + exp(-d)) ELSE -(1 - 1 / (1 + exp(-d))) END, 6) AS signal FROM w""")
+    SELECT q, round(1 / (1 + exp(-d)), 6) AS p_up, round(CASE WHEN d > 0 THEN 1 / (1 + exp(-d)) ELSE -(1 - 1 / (1 + exp(-d))) END, 6) AS signal FROM w""")
 def reranked_signal(t: Tables) -> DataFrame:
     """Shape (first half of a vector) and context similarity (second half) blended, then log-sum-exp over the best of each direction."""
     pool = _pool(t).drop("label")

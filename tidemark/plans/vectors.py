@@ -52,7 +52,7 @@ def cosine_topk_by_direction(t: Tables, asked: DataFrame) -> DataFrame:
 
 @searches(f"""{SIMS}, lse AS (SELECT q, direction, max(sim) + ln(sum(exp(sim - m)) + 1e-12) AS lse FROM (SELECT *, max(sim) OVER (PARTITION BY q, direction) AS m FROM ranked WHERE side_rank <= 20) GROUP BY ALL),
     w AS (SELECT q, greatest(-50, least(50, coalesce(max(lse) FILTER (direction = 'UP'), -50) - coalesce(max(lse) FILTER (direction = 'DOWN'), -50))) AS d FROM lse GROUP BY 1)
-    SELECT q, round(1 / (1 + exp(-d)), 6) AS p_up, round(CASE WHEN d >= 0 THEN 1 / (1 + exp(-d)) ELSE -(1 - 1 / (1 + exp(-d))) END, 6) AS signal FROM w""")
+    SELECT q, round(1 / (1 + exp(-d)), 6) AS p_up, round(CASE WHEN d > 0 THEN 1 / (1 + exp(-d)) ELSE -(1 - 1 / (1 + exp(-d))) END, 6) AS signal FROM w""")
 def lse_signal(t: Tables, asked: DataFrame) -> DataFrame:
     top = X.top_similar(_sims(t, asked, 20, "direction"), ["q", "direction"], 20)
     return X.directional_signal(top).select("q", r6("p_up").alias("p_up"), r6("signal").alias("signal"))
