@@ -3,6 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidemark.streaming import bars as S
+from tidemark.streaming import replay as R
 
 
 def ticks(spark, sf, tmp_path):
@@ -34,12 +35,16 @@ def test_merge_sink_keeps_newest_and_survives_replay(spark, sf, tmp_path):
     sink = S.merge_into(path, ["user_id"], ["ts", "event_id"])
     q = S.land(stream.select("user_id", "ts", "event_id"), str(tmp_path / "ck"), sink)
     q.awaitTermination()
-    n = len(list((tmp_path / "out").iterdir()))
-    got = spark.read.parquet(f"{path}/v{n - 1}")
-    assert got.count() == table.select("user_id").distinct().count() and n == 4
+    want = {r.user_id: r.e for r in table.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("e")).collect()}
+    got = {r.user_id: r.event_id for r in spark.read.parquet(path).collect()}
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("*.parquet")}
+    assert got == want and files
+    sink(table.where("user_id = 1").select("user_id", "ts", "event_id"), 9)  # touches one partition
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("*.parquet")}
+    assert len(set(files.items()) - set(after.items())) == 1 and {r.user_id: r.event_id for r in spark.read.parquet(path).collect()} == want
     again = S.land(stream.select("user_id", "ts", "event_id"), str(tmp_path / "ck"), sink)
     again.awaitTermination()
-    assert len(list((tmp_path / "out").iterdir())) == n
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "out").rglob("*.parquet")} == after
 
 
 def test_snapshot_states(spark):
@@ -57,3 +62,41 @@ def test_spacing_and_dedup(spark, sf, tmp_path):
     q = S.once(stream, ["event_id"], "ts", "60 days").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == table.count()
+
+
+def at(h, minute=0):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h, minutes=minute)
+
+
+def test_lives_end_without_new_rows_of_the_key(spark):
+    """a is renewed in time and then ends; b's newest of a batch counts; c is older than the known; null times change nothing."""
+    rows = [("a", 1.0, at(0), 0), ("b", 1.0, at(0), 0), ("b", 2.0, at(1), 0), ("c", 5.0, at(2), 0), ("n", 1.0, None, 0), ("a", 2.0, at(3), 1), ("c", 6.0, at(1), 1), ("z", 0.0, at(7), 1), (None, 3.0, at(7), 2), ("z", None, at(30), 2)]
+    df = spark.createDataFrame(rows, "key string, value double, ts timestamp, arrival int")
+    build = lambda s: S.snapshot_lives(s, "key", "value", "ts", datetime.timedelta(hours=4), datetime.timedelta(hours=2), "2 hours")
+    got = sorted(((r.key, r.value, r.state, r.at) for r in R.run_blocks(df, build, store=R.ROCKS).collect()), key=str)
+    want = [("a", 1.0, "ACTIVE", at(0)), ("a", 2.0, "ACTIVE", at(3)), ("a", 2.0, "GRACE", at(7)), ("a", 2.0, "STALE", at(9)), ("b", 2.0, "ACTIVE", at(1)), ("b", 2.0, "GRACE", at(5)), ("b", 2.0, "STALE", at(7))]
+    want += [("c", 5.0, "ACTIVE", at(2)), ("c", 5.0, "GRACE", at(6)), ("c", 5.0, "STALE", at(8)), (None, 3.0, "ACTIVE", at(7)), (None, 3.0, "GRACE", at(11)), (None, 3.0, "STALE", at(13)), ("z", 0.0, "ACTIVE", at(7)), ("z", None, "ACTIVE", at(30))]
+    assert got == sorted(want, key=str)
+
+
+def test_spaced_state_expires_and_late_rows_go(spark):
+    rows = [(1, at(0), 0), (1, at(0, 30), 0), (1, at(2), 0), (2, at(5), 0), (1, at(1), 1), (1, at(6), 1), (1, at(2, 30), 1)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, arrival int")
+    got = sorted((r.user_id, r.ts) for r in R.run_blocks(df, lambda s: S.spaced_signals(s, "user_id", "ts", 3_600, "3 hours")).collect())
+    assert got == [(1, at(0)), (1, at(2)), (1, at(6)), (2, at(5))]
+
+
+def test_streams_of_nothing(spark):
+    none = spark.createDataFrame([], "user_id long, ts timestamp, value double, arrival int")
+    assert R.run_blocks(none, lambda s: S.once(s, ["user_id"], "ts")).collect() == []
+    assert R.run_blocks(none, lambda s: S.spaced_signals(s.select("user_id", "ts"), "user_id", "ts", 60)).columns == ["user_id", "ts"]
+
+
+def test_merge_of_a_batch_twice_and_of_null_keys(spark, tmp_path):
+    sink = S.merge_into(str(tmp_path / "t"), ["k"], ["n"], parts=3)
+    first = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (None, 5)], "k int, n int")
+    second = spark.createDataFrame([(2, 7), (3, 1), (None, 6)], "k int, n int")
+    for number, batch in enumerate((first, second, second)):
+        sink(batch, min(number, 1))
+    sink(first.limit(0), 2)
+    assert sorted(((r.k, r.n) for r in spark.read.parquet(str(tmp_path / "t")).collect()), key=str) == [(1, 2), (2, 7), (3, 1), (None, 6)]

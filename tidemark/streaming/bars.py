@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.relational import upsert
+from ..session import held
 
 
 def tumbling_bars(ticks: DataFrame, key: str, ts: str, price: str, tie: str, every: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -34,17 +37,30 @@ def once(ticks: DataFrame, keys: Sequence[str], ts: str, within: str = "6 hours"
     return ticks.withWatermark(ts, within).dropDuplicatesWithinWatermark(list(keys))
 
 
-def merge_into(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that upserts: versions of the table alternate, and a replayed batch changes nothing."""
+def merge_into(path: str, keys: Sequence[str], order: Sequence[str], parts: int = 16) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that keeps the newest row of each key in a table of ``parts`` partitions by hash of the key.
+
+    The newest is the largest in ``order``, nulls last, of equal ones the one that came later. Only partitions that a
+    batch touches are read and overwritten; what they become is written aside first. A batch that is replayed, also
+    after a crash half way, changes nothing more. Null keys are keys.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in order)))
-        new = batch.withColumn("__n", newest).where("__n = 1").drop("__n")
-        target, before = f"{path}/v{number}", f"{path}/v{number - 1}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(before)
-        known = number > 0 and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        (upsert(spark.read.parquet(before), new, keys) if known else new).write.mode("overwrite").parquet(target)
+        order_by = [F.col(c).desc_nulls_last() for c in order]
+
+        def newest(rows: DataFrame, *then) -> DataFrame:
+            return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by, *then))).where("__n = 1").drop("__n")
+
+        new = held(newest(batch).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")))
+        touched = [r[0] for r in new.select("part").distinct().collect()]  # `parts` at most
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("part").isin(touched))
+            both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+            new = held(newest(both, F.desc("__new")).drop("__new"))
+        if touched:
+            new.repartition("part").write.mode("overwrite").partitionBy("part").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     return write
 
@@ -61,20 +77,88 @@ def snapshot_state(snapshots: DataFrame, key: str, as_of, ttl: str = "1 hour", g
     return newest.withColumn("state", F.when(expiry >= as_of, "ACTIVE").when(expiry + F.expr(f"INTERVAL {grace}") >= as_of, "GRACE").otherwise("STALE"))
 
 
-def spaced_signals(stream: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Signals of a key that come at least ``gap_seconds`` after the one kept before, in arrival order of each batch."""
+def spaced_signals(stream: DataFrame, key: str, ts: str, gap_seconds: int, late: str = "0 seconds") -> DataFrame:
+    """Signals of a key that come at least ``gap_seconds`` after the one kept before, in order of time within a batch.
+
+    Rows that are not after the watermark are dropped. The state of a key goes once the watermark has passed the gap: what comes then is kept anyhow.
+    """
     kind = dict(stream.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
+        mark = state.getCurrentWatermarkMs()
         rows = pd.concat(list(batches)).sort_values(ts)
         kept = []
         for at in rows[ts]:
-            seconds = at.timestamp()
-            if last is None or seconds - last >= gap_seconds:
+            micros = at.value // 1_000
+            if micros > mark * 1_000 and (last is None or micros - last >= gap_seconds * 1_000_000):
                 kept.append(at)
-                last = seconds
-        state.update((last,))
+                last = micros
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last // 1_000 + gap_seconds * 1_000, mark + 1))
         yield pd.DataFrame({key: [k[0]] * len(kept), ts: kept})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class _Snapshots(StatefulProcessor):
+    """The newest snapshot of a key, and a timer for the end of its life, then for the end of its grace."""
+
+    def __init__(self, ttl_ms: int, grace_ms: int):
+        self.ttl, self.grace = ttl_ms, grace_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "value double, ts timestamp, due long, state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        best = max(((r.ts, r.value) for frame in rows for r in frame.itertuples() if not pd.isna(r.ts)), default=None, key=lambda r: (r[0], -math.inf if pd.isna(r[1]) else r[1]))
+        known = self.newest.get() if self.newest.exists() else None
+        if best is None or known is not None and pd.Timestamp(known[1]) >= best[0]:
+            return
+        if known is not None:
+            self.handle.deleteTimer(known[2])
+        due = best[0].value // 1_000_000 + self.ttl
+        value = None if pd.isna(best[1]) else float(best[1])
+        self.newest.update((value, best[0].to_pydatetime(), due, "ACTIVE"))
+        self.handle.registerTimer(due)
+        yield self._row(key, value, best[0], "ACTIVE", best[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        value, ts, due, state = self.newest.get()
+        if expiredTimerInfo.getExpiryTimeInMs() != due:
+            return
+        mark = timerValues.getCurrentWatermarkInMs()
+        if state == "ACTIVE":
+            yield self._row(key, value, ts, "GRACE", pd.Timestamp(due, unit="ms"))
+            due += self.grace
+            if due > mark:
+                self.newest.update((value, ts, due, "GRACE"))
+                self.handle.registerTimer(due)
+                return
+        self.newest.clear()
+        yield self._row(key, value, ts, "STALE", pd.Timestamp(due, unit="ms"))
+
+    def close(self) -> None:
+        pass
+
+    def _row(self, key, value, ts, state: str, at) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "value": [value], "ts": [ts], "state": [state], "at": [at]})
+
+
+def snapshot_lives(snapshots: DataFrame, key: str, value: str, ts: str, ttl: timedelta, grace: timedelta, late: str = "0 seconds") -> DataFrame:
+    """``key, value, ts, state, at``: a row when a key gets a newer snapshot (ACTIVE), when its life ends (GRACE) and when its grace ends (STALE).
+
+    The ends are told by timers once the watermark has passed them, without new rows of the key; a stale snapshot's
+    state is dropped. Of several snapshots in a batch the newest counts, of equal times the largest value; older ones
+    than the known, and null times, change nothing. Runs on the RocksDB state store.
+    """
+    rows = snapshots.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"), F.col(ts).alias("ts")).withWatermark("ts", late)
+    kind = dict(rows.dtypes)["key"]
+    schema = f"key {kind}, value double, ts timestamp, state string, at timestamp"
+    processor = _Snapshots(int(ttl.total_seconds() * 1000), int(grace.total_seconds() * 1000))
+    return rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
