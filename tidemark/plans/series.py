@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, dead_zone_sign, guarded_div, logistic
 from ..operators import kernels as K
+from ..operators import open_plans as O
 from ..operators import windows as W
 from .registry import Tables, query, r6
 
@@ -301,3 +302,40 @@ def broker_fills(t: Tables) -> DataFrame:
     bars = _bars(t, "event_type")
     legs = bars.where("day < '2024-01-20'").select("key", "day", F.xxhash64("key", "day").alias("leg_id"), (F.col("close") * 0.9).alias("limit_price"), F.lit(10).cast("long").alias("quantity"), F.lit("BUY").alias("side"))
     return K.simulate_fills(legs, bars, slippage_bps=5.0).drop("leg_id")
+
+
+OPEN_CASH = 12_000.0
+
+
+def _opening(t: Tables) -> DataFrame:
+    """Parts as candidates, a batch for each brand; some without a price or a signal."""
+    k = F.col("p_partkey")
+    return t.part.select(
+        F.col("p_brand").alias("batch"), k.alias("id"), F.when(k % 37 != 0, F.col("p_retailprice") / 10).alias("price"), F.when(k % 11 != 0, (F.col("p_size") % 10 + 1) / 100.0).alias("atr_pct"), ((k % 21) / 20.0).alias("signal"),
+        (1 + (F.col("p_size") % 4) / 4.0).alias("multiplier"), (k % 13 == 0).alias("earnings"),
+    )
+
+
+def _opening_sql() -> str:
+    return f"""WITH RECURSIVE c AS (SELECT p_brand AS batch, p_partkey AS id, CASE WHEN p_partkey % 37 <> 0 THEN p_retailprice / 10 END AS price, coalesce(CASE WHEN p_partkey % 11 <> 0 THEN (p_size % 10 + 1) / 100.0::DOUBLE END, 0.05) AS atr, (p_partkey % 21) / 20.0::DOUBLE AS signal, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
+    l AS (SELECT *, least(2 * {OPEN_CASH}::DOUBLE / size, 0.3 * {OPEN_CASH}::DOUBLE) AS cap, (floor(CAST(price * (1 - greatest(0.012::DOUBLE, 0.4::DOUBLE * atr)) AS DECIMAL(28,14)) / 0.01 + 0.5) * 0.01)::DOUBLE AS first FROM c WHERE price > 0 AND signal > 0),
+    p AS (SELECT *, signal / greatest(price * atr, 1e-9) * pow(least(1, cap / greatest(3 * first, 1e-9)), 2) AS priority, least(3 * first, cap) AS need FROM l),
+    k AS (SELECT * FROM (SELECT *, sum(need) OVER (PARTITION BY batch ORDER BY price, id ROWS UNBOUNDED PRECEDING) AS running FROM p) WHERE running <= {OPEN_CASH} AND need > 0),
+    o AS (SELECT *, sum(priority) OVER (PARTITION BY batch) AS total, {OPEN_CASH} - sum(need) OVER (PARTITION BY batch) AS rest0, row_number() OVER (PARTITION BY batch ORDER BY priority DESC, price, id) AS i FROM k),
+    f AS (SELECT batch, 0::BIGINT AS i, max(rest0) AS rest, NULL::BIGINT AS id, 0.0::DOUBLE AS budget FROM o GROUP BY batch
+          UNION ALL SELECT f.batch, o.i, f.rest - greatest(0, least(o.cap - o.need, f.rest * o.priority / o.total)), o.id, o.need + greatest(0, least(o.cap - o.need, f.rest * o.priority / o.total)) FROM f JOIN o ON f.batch = o.batch AND o.i = f.i + 1),
+    u AS (SELECT c.batch, c.id, c.price, c.signal, f.budget, coalesce(floor(f.budget / greatest(first, 1e-6)), 0)::BIGINT AS units FROM c LEFT JOIN l USING (batch, id) LEFT JOIN f ON f.batch = c.batch AND f.id = c.id)
+    SELECT batch, id, CASE WHEN price IS NULL OR price <= 0 OR signal <= 0 THEN 'INVALID' WHEN budget IS NULL THEN 'BUDGET_ALLOCATION' WHEN units <= 0 THEN 'BUDGET' WHEN units < 3 THEN 'GRANULARITY' ELSE 'OK' END AS code, round(budget, 4) AS budget, units FROM u"""
+
+
+@query(_opening_sql())
+def open_plan_codes(t: Tables) -> DataFrame:
+    """What each candidate of an opening session is bought with, or the reason that it is not."""
+    out = O.candidate_codes(_opening(t), OPEN_CASH, weight=0.3, penalty=2.0, micro=False)
+    return out.select("batch", "id", "code", r6("budget", 4).alias("budget"), "units")
+
+
+@query()
+def open_plans(t: Tables) -> DataFrame:
+    """The whole plan: legs after news and earnings, or one reason a candidate."""
+    return O.buy_plans(_opening(t), OPEN_CASH, weight=0.3, penalty=2.0, micro=False)
