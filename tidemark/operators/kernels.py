@@ -373,12 +373,13 @@ def allocate(c: DataFrame, cash: float, soft: float = 2.0, weight: float = 0.25,
     kept = kept.withColumn("rest", cash - F.sum("need").over(Window.partitionBy("batch")))
 
     def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, rest = None, 0.0
+        batch, rest = object(), 0.0
         for df in frames:
             budget = df["need"].to_numpy(float).copy()
             for i, r in enumerate(df.itertuples(index=False)):
-                if r.batch != batch:
-                    batch, rest = r.batch, r.rest
+                own = None if pd.isna(r.batch) else r.batch
+                if own != batch:
+                    batch, rest = own, r.rest
                 more = min(r.cap - r.need, rest * r.priority / (r.total or 1.0))
                 if more > 0:
                     budget[i], rest = budget[i] + more, rest - more
