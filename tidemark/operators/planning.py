@@ -38,7 +38,7 @@ def rescale_legs(legs: DataFrame, intensity: Column) -> DataFrame:
     return out.where("quantity > 0").drop("total", "goal", "exact", "whole")
 
 
-def ratchet(old: Column, price: Column, most: float = 0.3, fade: float = 0.03) -> Column:
+def ratchet(old: Column, price: Column, most: float | Column = 0.3, fade: float = 0.03) -> Column:
     """An old limit moved towards the price, far limits hardly at all."""
     return old + (price - old) * most * F.exp(-F.abs(price - old) / F.greatest(price, F.lit(1e-6)) / fade)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip, dead_zone_sign, guarded_div, logistic
 from ..operators import kernels as K
 from ..operators import open_plans as O
+from ..operators import rebalance as Z
+from ..operators import relational as R
 from ..operators import windows as W
 from .registry import Tables, query, r6
 
@@ -339,3 +341,54 @@ def open_plan_codes(t: Tables) -> DataFrame:
 def open_plans(t: Tables) -> DataFrame:
     """The whole plan: legs after news and earnings, or one reason a candidate."""
     return O.buy_plans(_opening(t), OPEN_CASH, weight=0.3, penalty=2.0, micro=False)
+
+
+VERSIONS = (0, 1, 2)
+
+
+def _standing(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Lines as standing legs of their part, and three predictions of each part."""
+    k, v = F.col("p_partkey"), F.col("version")
+    price = lambda n: F.col("p_retailprice") / 10 * (1 + ((k + n) % 7 - 3) / 200.0)
+    parts = t.part.select("p_partkey", "p_retailprice", F.explode(F.array(*map(F.lit, VERSIONS))).alias("version"))
+    predictions = parts.select("version", k.alias("symbol"), price(v).alias("price"), ((k * 3 + v * 5) % 21 / 10.0 - 1).alias("strength"), ((k + v) % 5 / 100.0).alias("expected_up"), ((k + 2 * v) % 4 / 100.0).alias("expected_down"))
+    lines = R.top_per(t.lineitem, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")])
+    off = F.col("l_discount") * 0.5 + 0.002
+    sells = F.col("l_returnflag") == "R"
+    legs = lines.join(t.part.select("p_partkey", (F.col("p_retailprice") / 10).alias("base")), F.col("l_partkey") == F.col("p_partkey")).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("leg_id"), F.col("p_partkey").alias("symbol"), F.when(sells, "SELL").otherwise("BUY").alias("side"), r6(F.col("base") * F.when(sells, 1 + off).otherwise(1 - off), 2).alias("limit_price"),
+    )
+    return legs, predictions
+
+
+def _rebalance_sql() -> str:
+    t = Z.RatchetTuning()
+    tick = lambda x: f"(floor(CAST({x} AS DECIMAL(28,14)) / 0.01 + 0.5) * 0.01)::DOUBLE"
+    at = lambda share: tick(f"(old + (price - old) * ({share}) * exp(-abs(price - old) / greatest(price, 1e-6) / {t.fade}::DOUBLE))")
+    up, down = f"{t.per_expected}::DOUBLE * greatest(0, eu)", f"{t.per_expected}::DOUBLE * greatest(0, ed)"
+    steps, last = [], "legs"
+    for v in VERSIONS:
+        steps.append(f"""
+    q{v} AS (SELECT l.*, l.limit_price AS old, p.price, p.s, p.eu, p.ed FROM {last} l LEFT JOIN pred p ON p.symbol = l.symbol AND p.version = {v} AND abs(p.s) >= {t.least_strength}),
+    n{v} AS (SELECT symbol, arg_min(old, [abs(price - old), leg_id]) FILTER (side = 'BUY') AS nb, arg_min(old, [abs(price - old), leg_id]) FILTER (side = 'SELL') AS ns, arg_min(old, [abs(price - old), leg_id]) FILTER (side = 'SELL' AND old > price) AS na FROM q{v} WHERE price IS NOT NULL GROUP BY 1),
+    c{v} AS (SELECT q.*, nb, ns, na, {at(f"least(least({t.up_step_most}::DOUBLE, {t.up_step}::DOUBLE + {up}) / {t.unit}::DOUBLE, {t.up_most}::DOUBLE)")} AS bu, {at(f"least(({t.sell_up_step}::DOUBLE + {up}) / {t.unit}::DOUBLE, {t.up_most}::DOUBLE)")} AS su,
+        {at(f"-least(least({t.up_step_most}::DOUBLE, {t.up_step}::DOUBLE + {down}) / {t.unit}::DOUBLE, {t.down_most}::DOUBLE)")} AS bd, greatest({at(f"-least(least({t.sell_down_step_most}::DOUBLE, {t.sell_down_step}::DOUBLE + {down}) / {t.unit}::DOUBLE, {t.down_most}::DOUBLE)")}, {tick("price * 1.0001::DOUBLE")}) AS sd FROM q{v} q LEFT JOIN n{v} USING (symbol)),
+    m{v} AS (SELECT leg_id, symbol, side, first_price, old, CASE WHEN s >= {t.least_strength} AND side = 'BUY' AND (price - nb) / price >= {t.trigger_discount}::DOUBLE AND bu > old AND bu < price THEN bu WHEN s >= {t.least_strength} AND side = 'SELL' AND (ns - price) / price <= {t.trigger_premium}::DOUBLE AND su > old AND su > price THEN su
+        WHEN s <= -{t.least_strength} AND side = 'BUY' AND old < price AND bd < old AND bd < price THEN bd WHEN s <= -{t.least_strength} AND side = 'SELL' AND old > price AND (na - price) / price >= {t.least_premium}::DOUBLE AND sd < old AND sd > price THEN sd END AS new, moves FROM c{v}),
+    l{v} AS (SELECT leg_id, symbol, side, first_price, coalesce(new, old) AS limit_price, moves + CASE WHEN new IS NULL THEN 0 ELSE 1 END AS moves FROM m{v})""")
+        last = f"l{v}"
+    return f"""WITH x AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
+    pred AS (SELECT version, p_partkey AS symbol, p_retailprice / 10 * (1 + ((p_partkey + version) % 7 - 3) / 200.0::DOUBLE) AS price, (p_partkey * 3 + version * 5) % 21 / 10.0::DOUBLE - 1 AS s, (p_partkey + version) % 5 / 100.0::DOUBLE AS eu, (p_partkey + 2 * version) % 4 / 100.0::DOUBLE AS ed FROM part, (SELECT unnest([0, 1, 2]) AS version)),
+    legs AS (SELECT l_orderkey * 10 + l_linenumber AS leg_id, p_partkey AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, round(p_retailprice / 10 * CASE WHEN l_returnflag = 'R' THEN 1 + (l_discount * 0.5::DOUBLE + 0.002::DOUBLE) ELSE 1 - (l_discount * 0.5::DOUBLE + 0.002::DOUBLE) END, 2) AS limit_price FROM x JOIN part ON p_partkey = l_partkey),
+    legs0 AS (SELECT leg_id, symbol, side, limit_price AS first_price, limit_price, 0 AS moves FROM legs), {','.join(steps).replace("FROM legs l", "FROM legs0 l")}
+    SELECT leg_id, symbol, side, first_price, round(limit_price, 2) AS limit_price, moves::BIGINT AS moves FROM {last}"""
+
+
+@query(_rebalance_sql())
+def rebalanced_legs(t: Tables) -> DataFrame:
+    """Every line's limit after three predictions of its part, and how often it was moved."""
+    legs, predictions = _standing(t)
+    now, log = Z.rebalance(legs, predictions, VERSIONS)
+    moves = log.groupBy("leg_id").agg(F.count("*").alias("moves"), F.min_by("old_price", "version").alias("first_price"))
+    out = now.join(moves, "leg_id", "left")
+    return out.select("leg_id", "symbol", "side", F.coalesce("first_price", "limit_price").alias("first_price"), r6("limit_price", 2).alias("limit_price"), F.coalesce("moves", F.lit(0)).alias("moves"))
