@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..operators import artifacts as A
 from ..operators import backtest as B
+from ..operators import batch as J
 from ..operators import folds as D
 from ..operators import search as P
-from ..session import shared_folder
+from ..session import held, shared_folder
 from .aggregates import PHI
 from .registry import Tables, query, r6
 from .research import shape_steps
@@ -190,3 +191,27 @@ def parameter_search(t: Tables) -> DataFrame:
     place = F.row_number().over(Window.orderBy(F.desc("value"), *sorted(SPACE)))  # ten rows
     rounded = ("expectancy", "spread", "drawdown", "calibration_error", "coverage", "value", "holdout_expectancy")
     return top.select(place.alias("place"), *SPACE, "plans", "filled", *(r6(c).alias(c) for c in rounded))
+
+
+def _batch_sql() -> str:
+    lists = ", ".join(f"list({c}) OVER past AS {c[0]}" for c in ("open", "high", "low", "close")) + ", list(volume::DOUBLE) OVER past AS v"
+    return f"""WITH {BARS}, states AS (SELECT 0 AS run, * FROM bars WHERE day < (SELECT max(day) FROM bars) UNION ALL SELECT 1, * FROM bars),
+    w AS (SELECT run, key, day, close, {lists} FROM states WINDOW past AS (PARTITION BY run, key ORDER BY day ROWS BETWEEN {LOOKBACK - 1} PRECEDING AND CURRENT ROW)),
+    p AS (SELECT * FROM w WHERE len(c) = {LOOKBACK} AND close >= list_max(c) AND c[1] > 0 AND close / nullif(c[1], 0) - 1 >= 0.05), {shape_steps("run, key, day")},
+    done AS (SELECT key, CASE WHEN max(day) = (SELECT max(day) FROM bars) THEN 1 ELSE 0 END AS run FROM bars GROUP BY 1),
+    x AS (SELECT q.key, q.day, q.run, e.key * 1000000 + date_diff('day', DATE '1970-01-01', e.day) AS match, list_cosine_similarity(q.v2, e.v2) AS sim, row_number() OVER (PARTITION BY q.key, q.day ORDER BY list_cosine_similarity(q.v2, e.v2) DESC, e.key, e.day) AS rank
+        FROM k q JOIN done USING (key, run) JOIN k e ON e.run = q.run AND (e.key <> q.key OR e.day <> q.day))
+    SELECT key, day, CAST(run AS INT) AS run, CAST(rank AS INT) AS rank, match, round(sim, 6) AS sim FROM x WHERE rank <= {NEAREST}"""
+
+
+@query(_batch_sql())
+def signal_batch(t: Tables) -> DataFrame:
+    """The job over all bars but the last day's, then again over all, then once more: keys with a bar on the last day were done twice, none a third time."""
+    job = J.signal_batch(t.spark, f"{shared_folder(t.spark)}/batch-{uuid.uuid4().hex}", LOOKBACK, 0.05, NEAREST)
+    bars = held(_bars(t))
+    last = bars.agg(F.max("day").alias("last"))
+    job.run(bars.crossJoin(last).where("day < last").drop("last"))  # one row
+    job.run(bars)
+    if job.run(bars) != {"changed": 0, "gone": 0}:
+        raise RuntimeError("a run over the same rows found changes")
+    return job.table("matches").select("key", "day", F.col("run").cast("int").alias("run"), "rank", "match", r6("sim").alias("sim"))
