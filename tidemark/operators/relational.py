@@ -34,21 +34,47 @@ def divide(df: DataFrame, keys: Sequence[str], item: str, wanted: int | DataFram
     return df.groupBy(*keys).agg(F.count_distinct(item).alias("n_items")).where(F.col("n_items") == wanted)
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, values: Sequence[str], tie: Sequence[str] = (), strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, values: Sequence[str], tie: Sequence[str] = (), strict: bool = False, pieces: int = 1) -> DataFrame:
     """Each left row with the values of the newest right row at or before (``strict``: before) its time.
 
     A union of both sides sorted once by key and time; no range join. Equal right times go to the larger ``tie``.
+    Where few keys hold all rows, ``pieces`` cuts time into as many ranges of about equal counts: rows are sorted within
+    a key's range, and the last right row of each range is carried into those after it, so no task holds a whole key.
     """
     names = [f"__{v}" for v in values]
     ties = [f"__tie{i}" for i in range(len(tie))]
     kinds = {f.name: f.dataType for f in right.schema}
     a = left.select(*keys, F.struct(left.columns).alias("__row"), F.col(left_at).alias("__at"), F.lit(0 if strict else 1).alias("__side"), *(F.lit(None).cast(kinds[t]).alias(n) for t, n in zip(tie, ties, strict=True)), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__v"))
     b = right.select(*keys, F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(right_at).alias("__at"), F.lit(1 if strict else 0).alias("__side"), *(F.col(t).alias(n) for t, n in zip(tie, ties, strict=True)), F.struct(*values).alias("__v"))
-    order = Window.partitionBy(*keys).orderBy("__at", "__side", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__v", F.last("__v", ignorenulls=True).over(order)).where(F.col("__row").isNotNull())
+    both = a.unionByName(b)
+    if pieces == 1:
+        order = Window.partitionBy(*keys).orderBy("__at", "__side", *ties).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("__v", F.last("__v", ignorenulls=True).over(order)).where(F.col("__row").isNotNull())
+    else:
+        both = _asof_in_pieces(both, list(keys), ties, pieces)
     return both.select("__row.*", *(F.col(f"__v.{v}").alias(n) for v, n in zip(values, names, strict=True))).withColumnsRenamed({n: f"asof_{v}" for v, n in zip(values, names, strict=True)})
 
 
+def _asof_in_pieces(both: DataFrame, keys: list[str], ties: list[str], pieces: int) -> DataFrame:
+    """Left rows with the last right value of their key, by ranges of time; rows without a time come before all others."""
+    at = F.col("__at").cast("timestamp").cast("double") if dict(both.dtypes)["__at"] in ("date", "timestamp", "timestamp_ntz") else F.col("__at").cast("double")
+    both = both.withColumn("__when", at)
+    cuts = sorted(set(both.approxQuantile("__when", [i / pieces for i in range(1, pieces)], 0.1 / pieces)))
+    piece = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("__when"))), F.lit(0))
+    both = both.withColumn("__piece", F.when(F.col("__when").isNull(), -1).otherwise(piece)).drop("__when")
+    own = Window.partitionBy(*keys, "__piece").orderBy("__at", "__side", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("__v", F.last("__v", ignorenulls=True).over(own)).where(F.col("__row").isNotNull())
+    ends = both.where(F.col("__v").isNotNull()).groupBy(*keys, "__piece").agg(F.max_by("__v", F.struct("__at", *ties)).alias("__end"))
+    # a row for each key and piece: what is carried into a piece is the end of the last one before it that has any
+    here = rows.select(*keys, "__piece", F.lit(None).cast(ends.schema["__end"].dataType).alias("__end"))
+    grid = here.unionByName(ends).groupBy(*keys, "__piece").agg(F.first("__end", ignorenulls=True).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"__k{i}" for i in range(len(keys))]
+    carried = grid.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("__piece").alias("__p"), "__carried")
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)] + [F.col("__piece") == F.col("__p")]
+    return rows.join(carried, same, "left").withColumn("__v", F.coalesce("__v", "__carried"))
+
+
 def missing(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(other, list(on), "left_anti")
 

@@ -54,6 +54,31 @@ def context_features(series: DataFrame) -> DataFrame:
     })
 
 
+#: Ranges of time into which few series are cut when they are joined with all anchors.
+PIECES = 64
+
+
+def order_violations(anchors: DataFrame, observed: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``name, key, anchor, observed, published, cause``: what each anchor would be joined with by time of observation, and what is wrong with it.
+
+    ``anchors`` are ``key, anchor``; ``observed`` are ``name, observed, published``. NO_SOURCE: nothing observed by then;
+    UNDATED: it has no time of publication; LOOK_AHEAD: it was published after the anchor; else null. All pairs come
+    from one sorted pass in ranges of time, so neither a long series nor a hot key is a single task.
+    """
+    named = anchors.crossJoin(F.broadcast(anchors.sparkSession.createDataFrame([(n,) for n in names], "name string")))  # a few names
+    out = asof(named, observed, ["name"], "anchor", "observed", ["observed", "published"], ["published"], pieces=PIECES).withColumnsRenamed({"asof_observed": "observed", "asof_published": "published"})
+    cause = F.when(F.col("observed").isNull(), "NO_SOURCE").when(F.col("published").isNull(), "UNDATED").when(F.col("published") > F.col("anchor"), "LOOK_AHEAD")
+    return out.withColumn("cause", cause)
+
+
+def violation_report(pairs: DataFrame) -> DataFrame:
+    """``name, cause, rows, share, keys, worst_hours`` of :func:`order_violations`; pairs in order have the cause OK. Shares are of the name's pairs."""
+    lead = (F.col("published").cast("timestamp").cast("double") - F.col("anchor").cast("timestamp").cast("double")) / 3_600
+    by = pairs.groupBy("name", F.coalesce("cause", F.lit("OK")).alias("cause")).agg(F.count("*").alias("rows"), F.count_distinct("key").alias("keys"), F.max(F.when(F.col("cause") == "LOOK_AHEAD", lead)).alias("worst_hours"))
+    total = F.sum("rows").over(Window.partitionBy("name"))  # a few causes
+    return by.withColumn("share", F.col("rows") / total)
+
+
 def freshness(anchors: DataFrame, macro: DataFrame, bar_times: DataFrame, names: Sequence[str]) -> DataFrame:
     """How old each macro series is at each anchor (``key, anchor``): days, bars, stale flag and age bucket.
 
@@ -61,7 +86,7 @@ def freshness(anchors: DataFrame, macro: DataFrame, bar_times: DataFrame, names:
     counts, so there is no range join. A series with nothing published is 999 days and bars old, stale, bucket 3.
     """
     counted = bar_times.withColumn("bars", F.row_number().over(Window.partitionBy("key").orderBy("at"))).select("key", "at", "bars")
-    out = asof(anchors.crossJoin(F.broadcast(anchors.sparkSession.createDataFrame([(n,) for n in names], "name string"))), macro, ["name"], "anchor", "published", ["published", "value"])  # a few names
+    out = asof(anchors.crossJoin(F.broadcast(anchors.sparkSession.createDataFrame([(n,) for n in names], "name string"))), macro, ["name"], "anchor", "published", ["published", "value"], pieces=PIECES)  # a few names
     out = asof(out.withColumnRenamed("asof_published", "source_at").withColumnRenamed("asof_value", "level"), counted, ["key"], "anchor", "at", ["bars"]).withColumnRenamed("asof_bars", "now")
     known = out.where("source_at IS NOT NULL")
     then = asof(known, counted, ["key"], "source_at", "at", ["bars"]).withColumnRenamed("asof_bars", "then")

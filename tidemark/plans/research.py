@@ -63,6 +63,19 @@ def macro_freshness(t: Tables) -> DataFrame:
     return out.select("event_id", "name", r6("days_since_update").alias("days_since_update"), "bars_since_update", "is_stale", "age_bucket")
 
 
+@query("""WITH a AS (SELECT user_id AS key, ts AS anchor FROM events WHERE event_type = 'error'), m AS (SELECT event_type AS name, ts AS observed, CASE WHEN event_id % 17 <> 0 THEN ts + CASE WHEN event_id % 4 = 0 THEN INTERVAL 1 HOUR * (event_id % 5) ELSE INTERVAL 0 HOUR END END AS published FROM events WHERE event_type IN ('view', 'click')),
+    x AS (SELECT a.key, a.anchor, n.name FROM a, (VALUES ('view'), ('click'), ('none')) n(name)), y AS (SELECT x.*, m.observed, m.published FROM x ASOF LEFT JOIN m ON x.name = m.name AND x.anchor >= m.observed),
+    z AS (SELECT *, CASE WHEN observed IS NULL THEN 'NO_SOURCE' WHEN published IS NULL THEN 'UNDATED' WHEN published > anchor THEN 'LOOK_AHEAD' ELSE 'OK' END AS cause FROM y)
+    SELECT name, cause, count(*) AS rows, count(DISTINCT key) AS keys, round(count(*) / sum(count(*)) OVER (PARTITION BY name), 6) AS share, round(max(CASE WHEN cause = 'LOOK_AHEAD' THEN (epoch_us(published) - epoch_us(anchor)) / 3600e6 END), 6) AS worst_hours FROM z GROUP BY 1, 2""")
+def order_violations(t: Tables) -> DataFrame:
+    """What a join by time of observation would use before it was published, by series and cause."""
+    anchors = t.events.where("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("ts").alias("anchor"))
+    late = F.col("ts") + F.make_dt_interval(hours=F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 5).cast("int")).otherwise(0))
+    observed = t.events.where(F.col("event_type").isin("view", "click")).select(F.col("event_type").alias("name"), F.col("ts").alias("observed"), F.when(F.col("event_id") % 17 != 0, late).alias("published"))
+    out = S.violation_report(S.order_violations(anchors, observed, ["view", "click", "none"]))
+    return out.select("name", "cause", "rows", "keys", r6("share").alias("share"), r6("worst_hours").alias("worst_hours"))
+
+
 def _dates(t: Tables) -> DataFrame:
     """Decision dates: the day after each day with a bar, so that every bar is asked about once."""
     return _bars(t).select(F.date_add("day", 1).alias("as_of")).distinct()
