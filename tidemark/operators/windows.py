@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +63,13 @@ def path_features(bars: DataFrame) -> DataFrame:
 
 
 def ewm(x: str, span: int, least: int) -> Column:
-    """Exponentially weighted mean with adjusted weights over all rows so far."""
-    seen = F.collect_list(x).over(by().rowsBetween(Window.unboundedPreceding, 0))
+    """Exponentially weighted mean with adjusted weights over all rows so far; null with fewer than ``least`` values.
+
+    Rows so far back that their weight is under 1e-18 of the newest row's cannot change a double and are not gathered,
+    so the work is in proportion to a key's rows, however many it has.
+    """
+    reach = max(least, math.ceil(math.log(1e-18) / math.log(1 - 2 / (span + 1)))) if span > 1 else max(least, 1)
+    seen = F.collect_list(x).over(by().rowsBetween(1 - reach, 0))  # `reach` values
     return F.when(F.size(seen) >= least, ewm_last(seen, span))
 
 
