@@ -55,11 +55,17 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
     return both.select("__row.*", *(F.col(f"__v.{v}").alias(n) for v, n in zip(values, names, strict=True))).withColumnsRenamed({n: f"asof_{v}" for v, n in zip(values, names, strict=True)})
 
 
+def range_cuts(df: DataFrame, column: str, ranges: int) -> list[float]:
+    """Values that cut a numeric column into ranges of about equal counts, fewer where values repeat; none without values."""
+    found = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
+    return sorted(set(found or []))
+
+
 def _asof_in_pieces(both: DataFrame, keys: list[str], ties: list[str], pieces: int) -> DataFrame:
     """Left rows with the last right value of their key, by ranges of time; rows without a time come before all others."""
     at = F.col("__at").cast("timestamp").cast("double") if dict(both.dtypes)["__at"] in ("date", "timestamp", "timestamp_ntz") else F.col("__at").cast("double")
     both = both.withColumn("__when", at)
-    cuts = sorted(set(both.approxQuantile("__when", [i / pieces for i in range(1, pieces)], 0.1 / pieces)))
+    cuts = range_cuts(both, "__when", pieces)
     piece = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("__when"))), F.lit(0))
     both = both.withColumn("__piece", F.when(F.col("__when").isNull(), -1).otherwise(piece)).drop("__when")
     own = Window.partitionBy(*keys, "__piece").orderBy("__at", "__side", *ties).rowsBetween(Window.unboundedPreceding, 0)

@@ -10,13 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .relational import range_cuts
 
-def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, qs: Sequence[float], tie: str) -> DataFrame:
-    """Smallest value at which the weight so far reaches each share of the total."""
-    order = Window.partitionBy(*keys).orderBy(value, tie).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.greatest(F.sum(weight).over(Window.partitionBy(*keys)), F.lit(1e-12))
-    cdf = df.withColumn("__cdf", F.sum(weight).over(order) / total)
-    return cdf.groupBy(*keys).agg(*(F.min(F.when(F.col("__cdf") >= q, F.col(value))).alias(f"q{round(q * 100)}") for q in qs))
+
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, qs: Sequence[float], tie: str | None = None, ranges: int = 64) -> DataFrame:
+    """Smallest value at which the weight so far reaches each share of the total.
+
+    Weights are first added up by value, so rows of equal value need no order and ``tie`` has no effect. Values are cut
+    into ranges of about equal counts; a task sorts one range of a key, and the ranges' sums are run forward, so a key
+    that holds all rows is not in one piece. Null values come before all others and are never the result.
+    """
+    sums = df.groupBy(*keys, F.col(value).alias("__x")).agg(F.coalesce(F.sum(weight), F.lit(0)).cast("double").alias("__w"))
+    cuts = range_cuts(sums, "__x", ranges)
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col("__x").cast("double")))
+    sums = sums.withColumn("__part", F.when(F.col("__x").isNull(), -1).otherwise(part))
+    whole = Window.partitionBy(*keys)  # a row a range
+    ends = sums.groupBy(*keys, "__part").agg(F.sum("__w").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    names = [f"__k{i}" for i in range(len(keys))]
+    ends = ends.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("__part").alias("__p"), before.alias("__before"), F.greatest(F.sum("__s").over(whole), F.lit(1e-12)).alias("__total"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)] + [F.col("__part") == F.col("__p")]
+    inside = F.sum("__w").over(Window.partitionBy(*keys, "__part").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    cdf = sums.withColumn("__inside", inside).join(ends, same).withColumn("__cdf", (F.col("__before") + F.col("__inside")) / F.col("__total"))
+    return cdf.groupBy(*keys).agg(*(F.min(F.when(F.col("__cdf") >= q, F.col("__x"))).alias(f"q{round(q * 100)}") for q in qs))
 
 
 def log_sum_exp(df: DataFrame, keys: Sequence[str], x: str, tau: float) -> DataFrame:
