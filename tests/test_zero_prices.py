@@ -47,7 +47,7 @@ def folder(tmp_path_factory):
 
 
 #: Queries that differed from their SQL where a price is zero.
-DIFFERED = ["event_memory", "fold_objective", "fold_validation", "missingness", "multiscale_features"]
+DIFFERED = ["event_memory", "fold_objective", "fold_validation", "missingness", "multiscale_features", "returns_vol_atr"]
 
 
 @pytest.mark.parametrize("name", DIFFERED)
