@@ -17,8 +17,11 @@ from .registry import ORACLES, Tables, query, r6
     SELECT o_orderkey, o_custkey, o_orderpriority, l_linenumber, l_quantity FROM orders LEFT JOIN last_leg ON l_orderkey = o_orderkey
     WHERE l_orderkey IS NULL OR l_linestatus = 'O'""")
 def latest_child_pending(t: Tables) -> DataFrame:
-    """Orders with no line, or whose newest line is still open: the predicate stays above the outer join."""
-    last = R.newest(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", "l_shipdate"), ["l_orderkey"], ["l_shipdate", "l_linenumber"])
+    """Orders with no line, or whose newest line is still open: the predicate stays above the outer join.
+
+    Lines that share order, date and number go by what is returned of them, so that each run gives the same rows.
+    """
+    last = R.newest(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", "l_shipdate"), ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_linestatus", "l_quantity"])
     both = t.orders.join(last, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return both.where(F.col("l_orderkey").isNull() | (F.col("l_linestatus") == "O")).select("o_orderkey", "o_custkey", "o_orderpriority", "l_linenumber", "l_quantity")
 
