@@ -12,6 +12,16 @@ from tidemark.operators import kernels as K
 from tidemark.plans import QUERIES
 
 
+def test_percent_rank_turnover_keeps_equal_means(spark, tmp_path):
+    """The mean of each supplier ends in half of the last digit kept; sums of doubles fall on either side of it."""
+    draw = random.Random(5)
+    prices = [round(draw.uniform(900, 100_000), 2) for _ in range(199)]
+    prices.append(round(200 * 52_446.48835 - sum(prices), 2))
+    rows = [(s, p) for s in range(40) for p in draw.sample(prices, len(prices))]
+    pq.write_table(pa.table({"l_suppkey": [r[0] for r in rows], "l_extendedprice": [r[1] for r in rows]}), tmp_path / "lineitem.parquet")
+    assert {r["rank"] for r in QUERIES["percent_rank_turnover"](spark, str(tmp_path)).collect()} == {0.0}
+
+
 def test_latest_child_pending_is_determined(spark, tmp_path):
     day, found = dt.datetime(2024, 1, 1), set()
     at = {"o_orderkey": [1], "o_custkey": [1], "o_orderpriority": ["x"]}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import statistics as A
-from .registry import Tables, query, r6
+from .registry import Tables, exact_mean, query, r6
 
 
 @query("""SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
@@ -22,8 +22,8 @@ def group_counts(t: Tables) -> DataFrame:
 
 @query("""SELECT l_suppkey, round(percent_rank() OVER (ORDER BY round(avg(l_extendedprice), 4)), 6) AS rank FROM lineitem GROUP BY 1""")
 def percent_rank_turnover(t: Tables) -> DataFrame:
-    """Percent rank of group means, without a window over all groups."""
-    mean = t.lineitem.groupBy("l_suppkey").agg(r6(F.avg("l_extendedprice"), 4).alias("m"))
+    """Percent rank of group means, without a window over all groups. Means are exact, so that equal ones stay equal."""
+    mean = t.lineitem.groupBy("l_suppkey").agg(r6(exact_mean("l_extendedprice"), 4).alias("m"))
     return A.percent_ranks(mean, "m", "rank").select("l_suppkey", r6("rank").alias("rank"))
 
 
