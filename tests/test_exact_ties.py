@@ -22,6 +22,13 @@ def test_percent_rank_turnover_keeps_equal_means(spark, tmp_path):
     assert {r["rank"] for r in QUERIES["percent_rank_turnover"](spark, str(tmp_path)).collect()} == {0.0}
 
 
+def test_allocate_keeps_what_fits_exactly(spark):
+    """Half of 820 candidates need all of the cash together."""
+    rows = [("a", i, 100.0 + i, 0.05, 0.5) for i in range(820)]
+    out = K.allocate(spark.createDataFrame(rows, "batch string, id long, price double, atr_pct double, signal double"), 12_000.0, weight=0.3, legs=3, penalty=2.0)
+    assert out.count() == 410
+
+
 def test_latest_child_pending_is_determined(spark, tmp_path):
     day, found = dt.datetime(2024, 1, 1), set()
     at = {"o_orderkey": [1], "o_custkey": [1], "o_orderpriority": ["x"]}
