@@ -36,9 +36,16 @@ def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: s
 
 
 def log_sum_exp(df: DataFrame, keys: Sequence[str], x: str, tau: float) -> DataFrame:
-    """tau * log of the sum of exponentials of x / tau, taken from the largest; 1e-12 inside the logarithm."""
-    top = df.withColumn("__m", F.max(x).over(Window.partitionBy(*keys)))
-    out = top.groupBy(*keys).agg(F.max("__m").alias("m"), F.sum(F.exp((F.col(x) - F.col("__m")) / tau)).alias("s"))
+    """tau * log of the sum of exponentials of x / tau, taken from the largest; 1e-12 inside the logarithm.
+
+    Equal values are counted first; the largest of each key comes by a join, so no task holds a key's rows.
+    """
+    counts = df.groupBy(*keys, F.col(x).alias("__x")).agg(F.count("*").alias("__n"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    top = counts.groupBy(*keys).agg(F.max("__x").alias("__m")).withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    both = counts.join(top, same) if same else counts.crossJoin(top)
+    out = both.groupBy(*keys).agg(F.max("__m").alias("m"), F.sum(F.col("__n") * F.exp((F.col("__x") - F.col("__m")) / tau)).alias("s"))
     return out.select(*keys, (F.col("m") / tau + F.log(F.col("s") + 1e-12)).alias("lse"))
 
 
