@@ -20,3 +20,7 @@ def test_log_sum_exp_sorts_no_key(spark):
     assert "Window" not in _plan(out)
     got = {r["k"]: r["lse"] for r in out.collect()}
     assert got["a"] == pytest.approx(3 + math.log(2 * math.exp(-2) + 1 + 1e-12)) and got[None] == pytest.approx(2 + math.log(1 + 1e-12)) and got["b"] is None
+
+
+def test_prototype_stats_gathers_prices_once(spark, sf):
+    assert _plan(QUERIES["prototype_stats"](spark, sf)).count("percentile(") == 1

@@ -164,12 +164,15 @@ def scaler_zscore(t: Tables) -> DataFrame:
     SELECT l_linenumber AS l_shipmode_proxy, count(*) AS n, avg(l_extendedprice) AS mean, median(l_extendedprice) AS median, stddev_pop(l_extendedprice) AS std, quantile_cont(l_extendedprice, 0.1) AS q10,
     quantile_cont(l_extendedprice, 0.9) AS q90, avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END) AS win FROM lineitem GROUP BY 1)""")
 def prototype_stats(t: Tables) -> DataFrame:
-    x = "l_extendedprice"
-    q = lambda p: F.percentile(x, p)
-    return t.lineitem.groupBy(F.col("l_linenumber").alias("l_shipmode_proxy")).agg(
-        F.count("*").alias("n"), r6(F.avg(x), 4).alias("mean"), r6(q(0.5), 4).alias("median"), r6(F.stddev_pop(x), 4).alias("std"), r6(q(0.1), 4).alias("q10"), r6(q(0.9), 4).alias("q90"),
-        r6(F.avg(F.when(F.col("l_discount") > 0.04, 1.0).otherwise(0.0))).alias("win"),
-    )
+    """Statistics of each group. Equal prices are counted first, and one exact percentile over the counts gives all quantiles."""
+    x = F.col("l_extendedprice")
+    counts = t.lineitem.groupBy(F.col("l_linenumber").alias("l_shipmode_proxy"), x).agg(F.count("*").alias("c"), F.count_if(F.col("l_discount") > 0.04).alias("wins"))
+    c = F.when(x.isNotNull(), F.col("c"))
+    q = F.percentile(x, F.array(*map(F.lit, (0.1, 0.5, 0.9))), F.col("c"))
+    out = counts.groupBy("l_shipmode_proxy").agg(F.sum("c").alias("n"), F.sum(c).alias("seen"), F.sum(x * c).alias("s"), F.sum(x * x * c).alias("qs"), q.alias("q"), F.sum("wins").alias("wins"))
+    mean = F.col("s") / F.nullif(F.col("seen"), F.lit(0))
+    std = F.sqrt(F.greatest(F.col("qs") / F.nullif(F.col("seen"), F.lit(0)) - mean * mean, F.lit(0.0)))
+    return out.select("l_shipmode_proxy", "n", r6(mean, 4).alias("mean"), r6(F.col("q")[1], 4).alias("median"), r6(std, 4).alias("std"), r6(F.col("q")[0], 4).alias("q10"), r6(F.col("q")[2], 4).alias("q90"), r6(F.col("wins") / F.col("n")).alias("win"))
 
 
 @query("""SELECT l_suppkey, round(sum(pow(0.5, greatest(0, date_diff('day', CAST(l_shipdate AS DATE), DATE '2001-12-31')) / 90.0)), 6) AS support FROM lineitem GROUP BY 1""")
