@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import random
 
 import pytest
 
+from tidemark.operators import research as S
 from tidemark.operators import statistics as A
 from tidemark.plans import QUERIES
 
+DAY = dt.date(2024, 1, 9)
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -24,3 +29,24 @@ def test_log_sum_exp_sorts_no_key(spark):
 
 def test_prototype_stats_gathers_prices_once(spark, sf):
     assert _plan(QUERIES["prototype_stats"](spark, sf)).count("percentile(") == 1
+
+
+def test_likely_gives_the_heaviest_prototypes(spark, monkeypatch):
+    """A few rows for each query leave the tasks, in pieces and in blocks of pairs; they are those of comparing all."""
+    monkeypatch.setattr(S, "PIECE_ROWS", 40)
+    monkeypatch.setattr(S, "PAIRS", 100)
+    draw = random.Random(3)
+    vector = lambda: [draw.uniform(-1, 1) for _ in range(3)]
+    asked = [(DAY, i, vector() if i else [0.0] * 3, draw.choice(["UP", None]), draw.choice("01")) for i in range(100)]
+    pool = [(DAY, c, vector(), draw.choice(["UP", "DOWN", None]), draw.choice("01"), draw.uniform(0, 9), draw.uniform(0, 60)) for c in range(30)]
+
+    def weight(q, p):
+        dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+        size = math.sqrt(dot(q[2], q[2]) * dot(p[2], p[2]))
+        same = q[3] is not None and q[3] == p[3] or q[4] == p[4]
+        return math.exp(12 * (max(0.0, dot(q[2], p[2]) / size if size else 0.0) - 1)) * (0.45 + 0.3 * min(1, p[5] / 5) + 0.25 / (1 + p[6] / 30)) * (0.4 + 0.6 * same)
+
+    a = spark.createDataFrame(asked, "as_of date, q long, qv array<double>, q_regime string, q_sector string")
+    b = spark.createDataFrame(pool, "as_of date, cluster int, vector array<double>, regime string, sector string, decayed double, freshness double")
+    wanted = {(q[1], p[1]) for q in asked for p in sorted(pool, key=lambda p: -weight(q, p))[:5]}
+    assert {(r["q"], r["cluster"]) for r in S.likely(a, b, 5).collect()} == wanted
