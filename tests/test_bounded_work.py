@@ -50,3 +50,8 @@ def test_likely_gives_the_heaviest_prototypes(spark, monkeypatch):
     b = spark.createDataFrame(pool, "as_of date, cluster int, vector array<double>, regime string, sector string, decayed double, freshness double")
     wanted = {(q[1], p[1]) for q in asked for p in sorted(pool, key=lambda p: -weight(q, p))[:5]}
     assert {(r["q"], r["cluster"]) for r in S.likely(a, b, 5).collect()} == wanted
+
+
+def test_prototype_scores_asks_with_the_stated_queries(spark, sf):
+    asked = {r["q"] for r in QUERIES["prototype_scores"](spark, sf).select("q").distinct().collect()}
+    assert asked and all(q % 50 == 0 for q in asked)
