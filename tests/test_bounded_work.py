@@ -10,6 +10,7 @@ import pytest
 
 from tidemark.operators import research as S
 from tidemark.operators import statistics as A
+from tidemark.operators import vectors as X
 from tidemark.plans import QUERIES
 
 DAY = dt.date(2024, 1, 9)
@@ -55,3 +56,8 @@ def test_likely_gives_the_heaviest_prototypes(spark, monkeypatch):
 def test_prototype_scores_asks_with_the_stated_queries(spark, sf):
     asked = {r["q"] for r in QUERIES["prototype_scores"](spark, sf).select("q").distinct().collect()}
     assert asked and all(q % 50 == 0 for q in asked)
+
+
+def test_a_search_task_holds_few_similarities():
+    """Several copies of a chunk's similarities are held at once."""
+    assert X.TILE * X.CHUNK * 8 <= 10e6
