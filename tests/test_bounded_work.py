@@ -61,3 +61,12 @@ def test_prototype_scores_asks_with_the_stated_queries(spark, sf):
 def test_a_search_task_holds_few_similarities():
     """Several copies of a chunk's similarities are held at once."""
     assert X.TILE * X.CHUNK * 8 <= 10e6
+
+
+def test_distribution_ranks_only_what_is_likely(spark):
+    """The windows of a distribution come after the pieces in which pairs are weighed, not after a join of all pairs."""
+    a = spark.createDataFrame([], "as_of date, q long, qv array<double>, q_regime string, q_sector string")
+    side = "struct<" + ", ".join(f"{c}: double" for c in ("mean", "mae", "mfe", "q10", "q50", "q90", "uncertainty", "p_target", "p_stop", "p_flat", "p_ambiguous", "p_no_trade", "p_up", "p_down")) + ">"
+    b = spark.createDataFrame([], f"as_of date, cluster int, vector array<double>, regime string, sector string, decayed double, freshness double, buy {side}")
+    out = S.distribution(a, b, "buy")
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().analyzed().toString() and out.count() == 0
