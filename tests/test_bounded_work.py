@@ -8,6 +8,7 @@ import random
 
 import pytest
 
+from tidemark.operators import kernels as K
 from tidemark.operators import research as S
 from tidemark.operators import statistics as A
 from tidemark.operators import vectors as X
@@ -70,3 +71,20 @@ def test_distribution_ranks_only_what_is_likely(spark):
     b = spark.createDataFrame([], f"as_of date, cluster int, vector array<double>, regime string, sector string, decayed double, freshness double, buy {side}")
     out = S.distribution(a, b, "buy")
     assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().analyzed().toString() and out.count() == 0
+
+
+def test_clusters_shuffle_no_memory(spark, monkeypatch):
+    """With facts apart, each date's memory is neither shuffled nor written; the prototypes are the same."""
+    monkeypatch.setattr(K, "BLOCK_ROWS", 7)
+    draw = random.Random(5)
+    vectors = [[draw.uniform(-1, 1) for _ in range(2)] for _ in range(60)]
+    side = "label string, mae double, mfe double, after_cost double"
+    kinds = f"row_id long, day date, quality double, liquidity double, regime string, sector string, buy struct<{side}>, sell struct<{side}>"
+    facts = spark.createDataFrame([(i, DAY, draw.random(), draw.random(), "UP", "1", ("FLAT", 0.1, 0.2, i / 64), ("UP_FIRST", 0.1, 0.2, -i / 64)) for i in range(60)], kinds)
+    ids = spark.createDataFrame([(DAY + dt.timedelta(d), i, v) for d in (1, 2) for i, v in enumerate(vectors) if (i + d) % 5], "as_of date, row_id long, vector array<double>").repartition(3)
+    cols = ("as_of", "cluster", "vector", "support", "last_day", "regime", "sector", "freshness", "buy.median", "sell.q10")
+    rows = lambda p: sorted(map(str, p.select(*cols).collect()))
+    got = rows(S.prototypes(ids, 0.9, facts=facts))
+    assert got == rows(S.prototypes(ids.join(facts, "row_id"), 0.9)) and len(got) > 10
+    first = K._first_ids(ids, 7)
+    assert {r["as_of"]: r["last"] for r in first.collect()} == {DAY + dt.timedelta(1): 7, DAY + dt.timedelta(2): 7}
