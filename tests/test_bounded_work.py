@@ -88,3 +88,19 @@ def test_clusters_shuffle_no_memory(spark, monkeypatch):
     assert got == rows(S.prototypes(ids.join(facts, "row_id"), 0.9)) and len(got) > 10
     first = K._first_ids(ids, 7)
     assert {r["as_of"]: r["last"] for r in first.collect()} == {DAY + dt.timedelta(1): 7, DAY + dt.timedelta(2): 7}
+
+
+def test_continuations_are_folded_in_one_pass_a_task(spark):
+    """No call a key; a key that goes on in the next batch keeps its state, and a null key is a key."""
+    draw = random.Random(8)
+    rows = [(k, DAY + dt.timedelta(d), 100 * (1 + draw.uniform(-0.1, 0.1))) for k in (1, 2, None, 3) for d in range(40)]
+    bars = spark.createDataFrame(rows, "key long, day date, close double")
+    out = lambda: K.trend_v2(bars, "UP", 3, 5, 0.05, 5.0, 1.0)
+    assert "FlatMapGroupsInPandas" not in _plan(out())
+    want = sorted(map(str, out().collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(map(str, out().collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and any("key=None" in r for r in got) and len(got) > 4
