@@ -104,3 +104,10 @@ def test_continuations_are_folded_in_one_pass_a_task(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and any("key=None" in r for r in got) and len(got) > 4
+
+
+def test_ladders_shuffle_nothing(spark):
+    o = spark.createDataFrame([(1, 50.0, 0.4, 9), (2, 0.03, -1.0, 59)], "id long, price double, strength double, quantity long")
+    plan = K.ladder(o)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Window", "Sort", "Aggregate"))
+    assert {r["id"]: r["n"] for r in K.ladder(o).groupBy("id").agg({"quantity": "sum"}).toDF("id", "n").collect()} == {1: 9, 2: 59}
