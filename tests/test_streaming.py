@@ -100,3 +100,16 @@ def test_merge_of_a_batch_twice_and_of_null_keys(spark, tmp_path):
         sink(batch, min(number, 1))
     sink(first.limit(0), 2)
     assert sorted(((r.k, r.n) for r in spark.read.parquet(str(tmp_path / "t")).collect()), key=str) == [(1, 2), (2, 7), (3, 1), (None, 6)]
+
+
+def test_keys_of_a_stream_share_calls(spark, monkeypatch):
+    """Many keys in few groups: keys in one group stay apart, and long keys keep all their digits."""
+    monkeypatch.setattr(S, "GROUPS", 2)
+    keys = [(1 << 60) + i for i in range(9)] + [None]
+    rows = [(k, float(i), at(i), 0) for i, k in enumerate(keys)] + [(k, float(i), at(i + 30), 1) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "user_id long, value double, ts timestamp, arrival int")
+    spaced = lambda s: S.spaced_signals(s.select("user_id", "ts"), "user_id", "ts", 40 * 3_600, "60 days")
+    lives = lambda s: S.snapshot_lives(s, "user_id", "value", "ts", datetime.timedelta(hours=20), datetime.timedelta(hours=1), "60 days")
+    assert sorted(((r.user_id, r.ts) for r in R.run_blocks(df, spaced).collect()), key=str) == sorted(((k, at(i)) for i, k in enumerate(keys)), key=str)
+    want = [(k, float(i), "ACTIVE", at(i + h)) for i, k in enumerate(keys) for h in (0, 30)]
+    assert sorted(((r.key, r.value, r.state, r.at) for r in R.run_blocks(df, lives).collect()), key=str) == sorted(want, key=str)

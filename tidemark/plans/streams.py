@@ -66,5 +66,5 @@ def stream_spaced(t: Tables) -> DataFrame:
 def stream_snapshot_lives(t: Tables) -> DataFrame:
     """The newest value of each user: active for twelve hours, in grace for six more, then stale, told by timers without new rows."""
     build = lambda s: S.snapshot_lives(s, "user_id", "value", "ts", timedelta(hours=12), timedelta(hours=6), "1 hour")
-    out = R.run_blocks(_events(t), build, store=R.ROCKS)
+    out = R.run_blocks(_events(t), build)
     return out.select(F.col("key").alias("user_id"), r6("value").alias("value"), F.col("ts").cast("timestamp_ntz").alias("ts"), "state", F.col("at").cast("timestamp_ntz").alias("at"))

@@ -9,7 +9,6 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import held
@@ -77,77 +76,48 @@ def snapshot_state(snapshots: DataFrame, key: str, as_of, ttl: str = "1 hour", g
     return newest.withColumn("state", F.when(expiry >= as_of, "ACTIVE").when(expiry + F.expr(f"INTERVAL {grace}") >= as_of, "GRACE").otherwise("STALE"))
 
 
+#: Groups into which the keys of a stateful stream are dealt: a call and a stored state a group and batch, not a key.
+GROUPS = 1_024
+
+
+def _dealt(stream: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The stream with ``__group`` and its key as text, which holds every key exactly, and the key's type."""
+    return stream.withColumn("__group", F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int")).withColumn(key, F.col(key).cast("string")), dict(stream.dtypes)[key]
+
+
+def _micros(times: pd.Series) -> list[int]:
+    return times.to_numpy("datetime64[us]").astype("int64").tolist()
+
+
 def spaced_signals(stream: DataFrame, key: str, ts: str, gap_seconds: int, late: str = "0 seconds") -> DataFrame:
     """Signals of a key that come at least ``gap_seconds`` after the one kept before, in order of time within a batch.
 
     Rows that are not after the watermark are dropped. The state of a key goes once the watermark has passed the gap: what comes then is kept anyhow.
     """
-    kind = dict(stream.dtypes)[key]
+    gap = gap_seconds * 1_000_000
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
         mark = state.getCurrentWatermarkMs()
-        rows = pd.concat(list(batches)).sort_values(ts)
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = [] if state.hasTimedOut else sorted(((at, name) for df in batches for at, name in zip(_micros(df[ts]), df[key], strict=True)), key=lambda r: r[0])
         kept = []
-        for at in rows[ts]:
-            micros = at.value // 1_000
-            if micros > mark * 1_000 and (last is None or micros - last >= gap_seconds * 1_000_000):
-                kept.append(at)
-                last = micros
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last // 1_000 + gap_seconds * 1_000, mark + 1))
-        yield pd.DataFrame({key: [k[0]] * len(kept), ts: kept})
-
-    return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-class _Snapshots(StatefulProcessor):
-    """The newest snapshot of a key, and a timer for the end of its life, then for the end of its grace."""
-
-    def __init__(self, ttl_ms: int, grace_ms: int):
-        self.ttl, self.grace = ttl_ms, grace_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", "value double, ts timestamp, due long, state string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = max(((r.ts, r.value) for frame in rows for r in frame.itertuples() if not pd.isna(r.ts)), default=None, key=lambda r: (r[0], -math.inf if pd.isna(r[1]) else r[1]))
-        known = self.newest.get() if self.newest.exists() else None
-        if best is None or known is not None and pd.Timestamp(known[1]) >= best[0]:
-            return
-        if known is not None:
-            self.handle.deleteTimer(known[2])
-        due = best[0].value // 1_000_000 + self.ttl
-        value = None if pd.isna(best[1]) else float(best[1])
-        self.newest.update((value, best[0].to_pydatetime(), due, "ACTIVE"))
-        self.handle.registerTimer(due)
-        yield self._row(key, value, best[0], "ACTIVE", best[0])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        value, ts, due, state = self.newest.get()
-        if expiredTimerInfo.getExpiryTimeInMs() != due:
-            return
-        mark = timerValues.getCurrentWatermarkInMs()
-        if state == "ACTIVE":
-            yield self._row(key, value, ts, "GRACE", pd.Timestamp(due, unit="ms"))
-            due += self.grace
-            if due > mark:
-                self.newest.update((value, ts, due, "GRACE"))
-                self.handle.registerTimer(due)
-                return
-        self.newest.clear()
-        yield self._row(key, value, ts, "STALE", pd.Timestamp(due, unit="ms"))
-
-    def close(self) -> None:
-        pass
-
-    def _row(self, key, value, ts, state: str, at) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "value": [value], "ts": [ts], "state": [state], "at": [at]})
+        for at, name in rows:
+            before = last.get(name)
+            if at > mark * 1_000 and (before is None or at - before >= gap):
+                kept.append((name, at))
+                last[name] = at
+        last = {name: at for name, at in last.items() if (at + gap) // 1_000 >= mark}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp(max((min(last.values()) + gap) // 1_000, mark + 1))
+        elif state.exists:
+            state.remove()
+        if kept:
+            yield pd.DataFrame({key: [name for name, _ in kept], ts: pd.to_datetime([at for _, at in kept], unit="us")})
+
+    rows, kind = _dealt(stream.withWatermark(ts, late), key)
+    out = rows.groupBy("__group").applyInPandasWithState(step, f"{key} string, {ts} timestamp", "keys array<string>, lasts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn(key, F.col(key).cast(kind))
 
 
 def snapshot_lives(snapshots: DataFrame, key: str, value: str, ts: str, ttl: timedelta, grace: timedelta, late: str = "0 seconds") -> DataFrame:
@@ -155,10 +125,46 @@ def snapshot_lives(snapshots: DataFrame, key: str, value: str, ts: str, ttl: tim
 
     The ends are told by timers once the watermark has passed them, without new rows of the key; a stale snapshot's
     state is dropped. Of several snapshots in a batch the newest counts, of equal times the largest value; older ones
-    than the known, and null times, change nothing. Runs on the RocksDB state store.
+    than the known, and null times, change nothing. A group's timer is set for the first end of any of its keys.
     """
+    life, extra = int(ttl.total_seconds() * 1000), int(grace.total_seconds() * 1000)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        known = {name: rest for name, *rest in zip(*state.get, strict=True)} if state.exists else {}  # value, micros, due, in grace
+        newest: dict = {}
+        for df in () if state.hasTimedOut else batches:
+            df = df[df["ts"].notna()]
+            for name, at, v in zip(df["key"], _micros(df["ts"]), df["value"].tolist(), strict=True):
+                found = (at, -math.inf if pd.isna(v) else v, None if pd.isna(v) else v)
+                if name not in newest or found[:2] > newest[name][:2]:
+                    newest[name] = found
+        out = []
+        for name, (at, _, v) in newest.items():
+            if name not in known or at > known[name][1]:
+                known[name] = [v, at, at // 1_000 + life, False]
+                out.append((name, v, at, "ACTIVE", at))
+        for name in [name for name, rest in known.items() if rest[2] <= mark]:
+            v, at, due, ending = known[name]
+            if not ending:
+                out.append((name, v, at, "GRACE", due * 1_000))
+                due += extra
+                if due > mark:
+                    known[name] = [v, at, due, True]
+                    continue
+            del known[name]
+            out.append((name, v, at, "STALE", due * 1_000))
+        if known:
+            state.update((list(known), *map(list, zip(*known.values(), strict=True))))
+            state.setTimeoutTimestamp(min(rest[2] for rest in known.values()) - 1)  # fires when the watermark is past it
+        elif state.exists:
+            state.remove()
+        if out:
+            rows = pd.DataFrame(out, columns=["key", "value", "ts", "state", "at"])
+            yield rows.assign(value=rows["value"].astype("Float64"), ts=pd.to_datetime(rows["ts"], unit="us"), at=pd.to_datetime(rows["at"], unit="us"))
+
     rows = snapshots.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"), F.col(ts).alias("ts")).withWatermark("ts", late)
-    kind = dict(rows.dtypes)["key"]
-    schema = f"key {kind}, value double, ts timestamp, state string, at timestamp"
-    processor = _Snapshots(int(ttl.total_seconds() * 1000), int(grace.total_seconds() * 1000))
-    return rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    rows, kind = _dealt(rows, "key")
+    schema, stored = "key string, value double, ts timestamp, state string, at timestamp", "keys array<string>, newest array<double>, times array<long>, due array<long>, ending array<boolean>"
+    out = rows.groupBy("__group").applyInPandasWithState(step, schema, stored, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("key", F.col("key").cast(kind))
