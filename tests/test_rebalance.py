@@ -82,3 +82,11 @@ def test_nothing_to_do(spark):
     assert now.collect() == [] == log.collect()
     now, log = Z.rebalance(spark.createDataFrame([(1, "s", "BUY", 0.5, "x")], LEGS), predictions.limit(0), [])
     assert now.count() == 1 and log.collect() == []
+
+
+def test_a_leg_carries_its_moves(spark):
+    """What a leg has been through is in its row: nothing is joined or grouped by leg, and equal ids stay apart."""
+    legs = spark.createDataFrame([(1, "s", "BUY", 95.0, "x"), (1, "s", "BUY", 90.0, "y"), (2, "t", "SELL", 9.0, "x")], LEGS)
+    predictions = spark.createDataFrame([(v, "s", 100.0, 0.9, 0.02, 0.0) for v in range(2)], PREDICTIONS)
+    got = {(r.leg_id, r.note): [(m.version, m.old_price) for m in r.moves] for r in Z.carried(legs, predictions, range(2)).collect()}
+    assert [m[0] for m in got[1, "x"]] == [0, 1] and got[1, "x"][0][1] == 95.0 and got[1, "y"][0][1] == 90.0 and got[2, "x"] == []

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as V
 from ..functions.scalars import round_to_tick
 from ..session import held
 from .planning import ratchet
@@ -46,25 +46,50 @@ def nearest_legs(legs: DataFrame, facts: DataFrame) -> DataFrame:
     return facts.join(found, "symbol")
 
 
-def _moves(t: RatchetTuning, market: str) -> tuple[Column, Column]:
-    """The new limit of a leg beside its symbol's facts, and what was done; both null where the leg stays."""
+def _move(t: RatchetTuning, market: str) -> Column:
+    """``new_price, action`` of a leg beside its symbol's facts; null where the leg stays. Only the case that applies is worked out, once."""
     price, old, s = F.col("price"), F.col("limit_price"), F.col("strength")
     buy, sell = F.col("side") == "BUY", F.col("side") == "SELL"
     up, down = F.greatest(F.lit(0.0), F.col("expected_up")), F.greatest(F.lit(0.0), F.col("expected_down"))
     step = lambda base, more, most: F.least(F.lit(most), F.lit(base) + t.per_expected * more)
-    at = lambda share: round_to_tick(ratchet(old, price, share, t.fade), market, "")
-    buy_up = at(F.least(step(t.up_step, up, t.up_step_most) / t.unit, F.lit(t.up_most)))
-    sell_up = at(F.least((t.sell_up_step + t.per_expected * up) / t.unit, F.lit(t.up_most)))
-    buy_down = at(-F.least(step(t.up_step, down, t.up_step_most) / t.unit, F.lit(t.down_most)))
-    sell_down = F.greatest(at(-F.least(step(t.sell_down_step, down, t.sell_down_step_most) / t.unit, F.lit(t.down_most))), round_to_tick(price * 1.0001, market, ""))
     rises, falls = s >= t.least_strength, s <= -t.least_strength
-    cases = (
-        ("RATCHET_UP", buy_up, rises & buy & ((price - F.col("near_buy")) / price >= t.trigger_discount) & (buy_up > old) & (buy_up < price)),
-        ("RATCHET_UP", sell_up, rises & sell & ((F.col("near_sell") - price) / price <= t.trigger_premium) & (sell_up > old) & (sell_up > price)),
-        ("RATCHET_DOWN", buy_down, falls & buy & (old < price) & (buy_down < old) & (buy_down < price)),
-        ("RATCHET_DOWN", sell_down, falls & sell & (old > price) & ((F.col("near_above") - price) / price >= max(t.least_premium, 0.001)) & (sell_down < old) & (sell_down > price)),
+    sell_down = falls & sell & (old > price) & ((F.col("near_above") - price) / price >= max(t.least_premium, 0.001))
+    share = (
+        F.when(rises & buy & ((price - F.col("near_buy")) / price >= t.trigger_discount), F.least(step(t.up_step, up, t.up_step_most) / t.unit, F.lit(t.up_most)))
+        .when(rises & sell & ((F.col("near_sell") - price) / price <= t.trigger_premium), F.least((t.sell_up_step + t.per_expected * up) / t.unit, F.lit(t.up_most)))
+        .when(falls & buy & (old < price), -F.least(step(t.up_step, down, t.up_step_most) / t.unit, F.lit(t.down_most)))
+        .when(sell_down, -F.least(step(t.sell_down_step, down, t.sell_down_step_most) / t.unit, F.lit(t.down_most)))
     )
-    return F.coalesce(*(F.when(c, x) for _, x, c in cases)), F.coalesce(*(F.when(c, F.lit(n)) for n, _, c in cases))
+    tick = lambda x: round_to_tick(x, market, "")
+
+    def taken(x: Column) -> Column:
+        side = F.when(buy, x < price).otherwise(x > price)
+        way = F.when(rises, x > old).otherwise(x < old)
+        return F.when(side & way, F.struct(x.alias("new_price"), F.when(rises, "RATCHET_UP").otherwise("RATCHET_DOWN").alias("action")))
+
+    lowest = lambda x: F.when(sell_down, F.greatest(x, tick(price * 1.0001))).otherwise(x)
+    return V.once(share, lambda a: F.when(a.isNotNull(), V.once(tick(ratchet(old, price, a, t.fade)), lambda x: V.once(lowest(x), taken))))
+
+
+_MOVES = "array<struct<version: int, old_price: double, new_price: double, action: string>>"
+
+
+def carried(legs: DataFrame, predictions: DataFrame, versions: Sequence[int], market: str = "US", tuning: RatchetTuning | None = None) -> DataFrame:
+    """The legs as they stand after the versions in turn, with their ``moves`` in order (see :func:`rebalance`).
+
+    A leg carries its moves along, so a version is one join by symbol and none by leg.
+    """
+    t, now = tuning or RatchetTuning(), held(legs.withColumns({"limit_price": F.col("limit_price").cast("double"), "moves": F.array().cast(_MOVES)}))
+    names = now.columns
+    for v in versions:
+        facts = predictions.where((F.col("version") == v) & (F.col("price") > 0)).select("symbol", F.col("price").cast("double"), "strength", F.coalesce("expected_up", F.lit(0.0)).alias("expected_up"), F.coalesce("expected_down", F.lit(0.0)).alias("expected_down"))
+        facts = facts.where(F.abs("strength") >= t.least_strength)
+        near = nearest_legs(now.where("limit_price > 0").select("leg_id", "symbol", "side", "limit_price"), facts)
+        both = now.join(near, "symbol", "left").withColumn("__move", F.when(F.col("limit_price") > 0, _move(t, market)))
+        move = F.struct(F.lit(v).cast("int").alias("version"), F.col("limit_price").alias("old_price"), F.col("__move.new_price"), F.col("__move.action"))
+        both = both.withColumn("moves", F.when(F.col("__move").isNotNull(), F.concat("moves", F.array(move))).otherwise(F.col("moves"))).withColumn("limit_price", F.coalesce("__move.new_price", "limit_price"))
+        now = held(both.select(names))
+    return now
 
 
 def rebalance(legs: DataFrame, predictions: DataFrame, versions: Sequence[int], market: str = "US", tuning: RatchetTuning | None = None) -> tuple[DataFrame, DataFrame]:
@@ -75,14 +100,5 @@ def rebalance(legs: DataFrame, predictions: DataFrame, versions: Sequence[int],
     the price and a sell over it; on a rise limits only rise, on a fall they only fall. Legs without a limit over zero,
     symbols without a price over zero or a prediction, and weak predictions leave everything as it is.
     """
-    t, log, now = tuning or RatchetTuning(), [], legs
-    for v in versions:
-        facts = predictions.where((F.col("version") == v) & (F.col("price") > 0)).select("symbol", F.col("price").cast("double"), "strength", F.coalesce("expected_up", F.lit(0.0)).alias("expected_up"), F.coalesce("expected_down", F.lit(0.0)).alias("expected_down"))
-        facts = facts.where(F.abs("strength") >= t.least_strength)
-        standing = now.where("limit_price > 0")
-        new, action = _moves(t, market)
-        moved = held(standing.join(nearest_legs(standing, facts), "symbol").withColumn("new_price", new).withColumn("action", action).where("action IS NOT NULL").select("leg_id", F.col("limit_price").alias("old_price"), "new_price", "action"))
-        log.append(moved.withColumn("version", F.lit(v)))
-        now = held(now.join(moved.select("leg_id", "new_price"), "leg_id", "left").withColumn("limit_price", F.coalesce("new_price", "limit_price")).drop("new_price"))
-    empty = legs.limit(0).select("leg_id", F.col("limit_price").alias("old_price"), F.col("limit_price").alias("new_price"), F.lit("").alias("action"), F.lit(0).alias("version"))
-    return now, reduce(DataFrame.unionByName, log) if log else empty
+    now = carried(legs, predictions, versions, market, tuning)
+    return now.drop("moves"), now.select("leg_id", F.explode("moves").alias("m")).select("leg_id", "m.*")
