@@ -66,3 +66,49 @@ def test_timed_search_sees_earlier_days_only(spark, monkeypatch):
     assert got == want
     none = X.nearest(asked.limit(0), pool, 3, timed=True)
     assert none.count() == 0 and "known" in none.columns and X.nearest(asked, pool.limit(0), 3, timed=True).count() == 0
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """Three different vectors in 90 rows: three are asked with, three are compared; every row finds what comparing all finds."""
+    asked, compared, best = [], spark.sparkContext.accumulator(0), X._best
+
+    def counted(queries, *rest):
+        asked.append(len(queries()[0]))
+        run = best(queries, *rest)
+
+        def seen(batches):
+            held = list(batches)
+            compared.add(sum(b.num_rows for b in held))
+            return run(iter(held))
+
+        return seen
+
+    monkeypatch.setattr(X, "_best", counted)
+    v = [[1.0, 0.0], [0.8, 0.6], [0.0, 2.0]]
+    rows = [(i, v[0 if i == 4 else 1 + i % 2]) for i in range(90)] + [(90, [float("nan"), 1.0]), (91, [None, 1.0])]
+    pool = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    for r in X.top_similar(X.nearest(pool.selectExpr("id AS q", "v AS qv"), pool, 3), ["q"], 3).collect():
+        got.setdefault(r.q, []).append(r.id)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    assert got == {i: sorted((j for j in range(90) if j != i), key=lambda j: (-round(cos(rows[i][1], rows[j][1]), 12), j))[:3] for i in range(90)}
+    assert sum(asked) == 5 and compared.value == 5  # the two that take no part are dropped in the task
+
+
+def test_rough_products_lose_no_neighbour(spark, monkeypatch):
+    """Similarities closer together than single precision tells apart, zero vectors, and fewer rows than neighbours."""
+    monkeypatch.setattr(X, "FIRST", 8)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1, 12)) + 1e-6 * rng.normal(size=(300, 12))
+    v[250:] = rng.normal(size=(50, 12))
+    v[[3, 299]] = 0
+    pool = spark.createDataFrame([(i, x.tolist(), "UP" if i < 298 else "DOWN") for i, x in enumerate(v)], "id long, v array<double>, direction string")
+    got = {(r.q, r.direction, r.rank): r.id for r in X.top_similar(X.nearest(pool.selectExpr("id AS q", "v AS qv"), pool, 5, "direction"), ["q", "direction"], 5).collect()}
+    n, want = np.sqrt((v * v).sum(axis=1)), {}
+    for q in range(300):
+        dot = (v[q] * v).sum(axis=1)
+        sim = np.divide(dot, n[q] * n, out=np.zeros(300), where=n[q] * n > 0)
+        for side, ids in (("UP", range(298)), ("DOWN", range(298, 300))):
+            best = sorted((i for i in ids if i != q), key=lambda i: (-sim[i], i))[:5]
+            want |= {(q, side, r + 1): i for r, i in enumerate(best)}
+    assert got == want
