@@ -113,3 +113,12 @@ def test_clashing_names(spark):
     rows = [(i, "one two three four five six" if i < 3 else f"text {i} is not like the others", "a", i, "b", i, "c", i) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept_mark string, kept_id int, kept_same string, same int, mark string, kept_0 int")
     assert sorted(keep_one(docs).collect()) == sorted(x for x in docs.collect() if x.doc_id in (0, 3, 4, 5))
+
+
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_copies_of_fingerprints_are_not_sent(spark, crowd):
+    """However few fingerprints there are, what they are replicated to meets by a shuffle."""
+    fps = common.materialise(spark.range(40).select((F.col("id") % 20).alias("fp")).distinct())
+    found = links(fps, 4, NARROW, crowd)
+    assert "SortMergeJoin [anchor" in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in found.collect()} == {(a, b) for a in range(20) for b in range(20) if a < b and (a ^ b).bit_count() <= 4}

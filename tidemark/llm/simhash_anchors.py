@@ -123,7 +123,8 @@ def links(fps: DataFrame, threshold: int = 4, layout: tuple = NARROW, crowd: int
         visit = visit.join(sent, "anchor", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
         keys = ["anchor", "part"]
     close = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold)
-    return home.join(visit, keys).where(close).select("u", "v")
+    # merged, never sent: a table is sized by what is read, before each row becomes 66 copies or several hundred
+    return home.hint("merge").join(visit.hint("merge"), keys).where(close).select("u", "v")
 
 
 def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
