@@ -29,6 +29,12 @@ def test_allocate_keeps_what_fits_exactly(spark):
     assert out.count() == 410
 
 
+def test_allocate_keeps_what_fits_exactly_however_many(spark):
+    """Half of 98,000 candidates need all of the cash together; a running sum of doubles drifts over it by then."""
+    rows = spark.range(98_000).selectExpr("'a' AS batch", "id", "100.0D + id AS price", "0.05D AS atr_pct", "0.5D AS signal")
+    assert K.allocate(rows, 20_000.0).count() == 49_000
+
+
 def test_latest_child_pending_is_determined(spark, tmp_path):
     day, found = dt.datetime(2024, 1, 1), set()
     at = {"o_orderkey": [1], "o_custkey": [1], "o_orderpriority": ["x"]}
