@@ -60,3 +60,17 @@ def test_like_sql(spark, folder, name):
     wanted = sorted(map(text, want.fetchall()))
     assert sorted(map(text, QUERIES[name](spark, folder).select(columns).collect())) == wanted
     assert any("nan" in r or "inf" in r for r in wanted) or name == "missingness"
+
+
+@pytest.mark.parametrize("name", ["returns_vol_atr"])
+def test_a_single_infinite_return_deviates_by_nothing(spark, tmp_path, name):
+    """The first return of a key is infinite, as it opens with a price of zero; so the second bar has one return."""
+    rows = [(d, dt.datetime(2024, 1, 1 + d, 10), 1, "view", (0.0, 2.0, 3.0)[d], "{}") for d in range(3)]
+    names = ("event_id", "ts", "user_id", "event_type", "value", "props")
+    pq.write_table(pa.table(dict(zip(names, zip(*rows, strict=True), strict=True))), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    column = "vol_20" if name == "returns_vol_atr" else "realized_vol_20"
+    wanted = [v for (v,) in con.execute(f"SELECT {column} FROM ({ORACLES[name]}) ORDER BY day").fetchall()]
+    got = [r[0] for r in QUERIES[name](spark, str(tmp_path)).orderBy("day").select(column).collect()]
+    assert _same(got, wanted) and wanted[1] == 0.0
