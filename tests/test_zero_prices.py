@@ -62,7 +62,7 @@ def test_like_sql(spark, folder, name):
     assert any("nan" in r or "inf" in r for r in wanted) or name == "missingness"
 
 
-@pytest.mark.parametrize("name", ["returns_vol_atr"])
+@pytest.mark.parametrize("name", ["multiscale_features", "returns_vol_atr"])
 def test_a_single_infinite_return_deviates_by_nothing(spark, tmp_path, name):
     """The first return of a key is infinite, as it opens with a price of zero; so the second bar has one return."""
     rows = [(d, dt.datetime(2024, 1, 1 + d, 10), 1, "view", (0.0, 2.0, 3.0)[d], "{}") for d in range(3)]
